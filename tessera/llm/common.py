@@ -43,10 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, so
     a lost executor costs a read and not a recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
