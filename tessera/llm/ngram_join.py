@@ -12,7 +12,7 @@ for each prefix shingle, are used twice:
    are cut into blocks by size, and blocks out of reach are skipped; so are pairs whose distances
    to the pivot, known from step 1, differ by more than a link allows (the distance is a metric).
 
-Comparisons count the common shingles of two whole texts.
+Pairs whose parity maps, small bit sets, differ in more bits than a link allows are left out. Other comparisons count the common shingles of two whole texts.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ from tessera.llm.tokens import in_parts
 
 WORDS = 4
 PERCENT = 85
-BUCKETS = 1 << 20
+BUCKETS = 1 << 22
 SLICES = 64
+#: Bits of a set's parity map at most; fewer for sets of fewer shingles.
+MAP_BITS = 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -72,7 +74,23 @@ class Shingler:
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(44)).astype(np.int64)
+    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+
+
+def _parity_map(h: np.ndarray) -> np.ndarray:
+    """One bit for each bucket of hashes, whether it holds an odd number: two maps differ in no more
+    bits than the sets differ in shingles. Folding a map in halves gives that of half the size."""
+    bits = min(MAP_BITS, max(64, 1 << (len(h) - 1).bit_length())) if len(h) else 64
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_be_near(x: Column, y: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether parity maps x and y, of sets of sizes n and m, allow a link."""
+    fold = lambda a, size: F.when(F.size(a) > size, F.zip_with(F.slice(a, F.lit(1), size), F.slice(a, size + 1, size), lambda p, q: p.bitwiseXOR(q))).otherwise(a)
+    size = F.least(F.size(x), F.size(y))
+    differ = F.aggregate(F.zip_with(fold(x, size), fold(y, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+    return (100 + percent) * differ <= (100 - percent) * (n + m)
 
 
 def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
@@ -85,8 +103,7 @@ def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         shingler, counts = Shingler(words), np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for _, texts in in_parts(batch.column(0).to_pylist()):
-                found = [shingler(t) for t in texts]
-                counts += np.bincount(_bucket(np.concatenate(found)), minlength=BUCKETS).astype(np.uint32)
+                np.add.at(counts, _bucket(np.concatenate([shingler(t) for t in texts])), np.uint32(1))
         if counts.any():
             cut = [zlib.compress(counts[i * wide : (i + 1) * wide].tobytes(), 1) for i in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "counts"])
@@ -107,10 +124,10 @@ def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, levels: np.ndarray | None = None) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set; null if it is empty) and, with levels, prefix: the
-    hashes one of which any linked set has in its own prefix, in the common order."""
+    """doc_id, n_shingles, digest (of the set; null if it is empty) and, with levels, prefix (the
+    hashes one of which any linked set has in its own prefix, in the common order) and parity."""
     held = docs.sparkSession.sparkContext.broadcast(levels)
-    names = ["doc_id", "n_shingles", "digest"] + ["prefix"] * (levels is not None)
+    names = ["doc_id", "n_shingles", "digest"] + ["prefix", "parity"] * (levels is not None)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -118,7 +135,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, le
         shingler, levels = Shingler(words), held.value
         for batch in batches:
             for start, texts in in_parts(batch.column(1).to_pylist()):
-                n, digests, prefixes = [], [], []
+                n, digests, prefixes, maps = [], [], [], []
                 for t in texts:
                     h = shingler(t)
                     n.append(len(h))
@@ -126,10 +143,11 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, le
                     if levels is not None:
                         first = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
                         prefixes.append(h[np.lexsort((h, levels[_bucket(h)]))[:first]].view(np.int64))
+                        maps.append(_parity_map(h))
                 columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(prefixes, pa.list_(pa.int64()))] if levels is not None else []), names=names)
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(x, pa.list_(pa.int64())) for x in (prefixes, maps)] if levels is not None else []), names=names)
 
-    schema = "doc_id long, n_shingles long, digest binary" + (", prefix array<long>" if levels is not None else "")
+    schema = "doc_id long, n_shingles long, digest binary" + (", prefix array<long>, parity array<long>" if levels is not None else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, schema)
 
 
@@ -181,8 +199,10 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """a, b: links between classes that connect what all links between them would connect.
 
-    docs: doc_id and text, one row for each id that sets (doc_id, n_shingles, prefix) names; sets has one row
+    docs: doc_id and text, one row for each id that sets (doc_id, n_shingles, prefix, parity) names; sets has one row
     for each class."""
+    sets = materialise(sets, "classes")
+    maps = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "parity")
     listed = sets.select("doc_id", "n_shingles", F.posexplode("prefix").alias("place", "token"))
     lists = listed.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("pivot")).where(F.col("rows") > 1).drop("rows")
     listed = materialise(listed.join(lists, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "pivot"), "lists", compression="zstd")
@@ -190,7 +210,9 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     # Step 1: each with its lists' pivots.
     pivots = listed.where("id = pivot").select("token", F.col("n").alias("m"), F.col("place").alias("there"))
     first = listed.where("id <> pivot").join(pivots, "token").where(_may_link(F.col("n"), F.col("place"), F.col("m"), F.col("there"), percent))
-    first = materialise(first.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+    first = first.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    first = first.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").where(_may_be_near(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent))
+    first = materialise(first.select("a", "b"), "pairs")
     ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
     texts = materialise(_packed_texts(docs, ids), "texts")
     seen = materialise(_compared(first, texts, words), "compared")
@@ -204,12 +226,13 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     mixed = shares.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("parts > 1").select("token", "most")
     distance = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("far"))
     named = named.join(mixed, "token").join(distance, ["id", "pivot"], "left").withColumn("far", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("far")))
+    named = named.join(maps.select("id", "parity"), "id")
     named = materialise(named.withColumn("block", F.floor(F.log("n") / math.log(100 / percent))), "open-lists", compression="zstd")
-    left = named.where("component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    right = named.select("token", "block", F.col("id").alias("b"), "n", "place", "component", "far")
-    open_ = left.join(right, ["token", "block"]).where((F.col("ac") != F.col("component")) & _may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent))
+    left = named.where("component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    right = named.select("token", "block", F.col("id").alias("b"), "n", "place", "component", "far", F.col("parity").alias("y"))
     near = F.coalesce(F.abs(F.col("af") - F.col("far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    second = open_.where(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    open_ = left.join(right, ["token", "block"]).where((F.col("ac") != F.col("component")) & _may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent) & near & _may_be_near(F.col("x"), F.col("y"), F.col("an"), F.col("n"), percent))
+    second = open_.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
     more_ids = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
     # Whose place in a list ruled out its pivot has no text yet.
@@ -228,8 +251,8 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     several texts link what those texts link."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     levels = shingle_levels(docs, words)
-    classes = shingle_sets(docs, words, percent, levels).where("digest is not null and doc_id is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"))
-    found = components(links(docs, classes.select("doc_id", "n_shingles", "prefix"), words, percent))
+    classes = shingle_sets(docs, words, percent, levels).where("digest is not null and doc_id is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
+    found = components(links(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent))
     sets = shingle_sets(docs, words, percent)
     rows = materialise(sets, "sets")
     named = rows.where("digest is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"))
