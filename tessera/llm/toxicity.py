@@ -85,6 +85,8 @@ def fit(labelled: DataFrame, categories: list[str], folds: int = FOLDS, features
     rows = labelled.select("doc_id", *[F.col(c).cast("int") for c in categories], F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "text")
     rows = materialise(rows.mapInArrow(split, ", ".join(["doc_id long", *[f"{c} int" for c in categories], "fold int", "features array<string>"])), "labelled")
     total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    if not total["n"]:
+        return Chain(categories, {}, [np.append(np.zeros(k, np.float32), np.float32(-8)) for k in range(len(categories))])
     each = rows.select(*categories, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= LEAST_ROWS)
     chosen: dict[str, int] = {}
     for c in categories:
@@ -156,7 +158,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     labels: doc_id, quality, toxic (0/1), fitted on about `sample` rows of them at most, chosen by a hash of the
     id. Null labels are not used; of labels that repeat a doc_id the largest counts. Without
-    labels of both values nothing can be learned: the probabilities are null and toxic is false."""
+    labels of both values nothing can be learned: the probabilities are null and toxic is false. Where no
+    labelled row is in docs, nothing is toxic."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
     n = known.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n)))
