@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, personal_data, quality_rules, repeats, token_counts, toxicity
+from tessera.llm.common import materialise
 from tessera.llm.components import components
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -244,12 +245,12 @@ def test_pipeline(spark, tmp_path):
     rows = [(i, prose(60 + i) if i % 6 else BASE + " " * i, "en", "ab"[i % 2], 1) for i in range(30)] + [(40, BASE + " tail", "en", "a", 1), (41, "short", "en", "a", 1), (42, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    good = corpus_pipeline.quality(spark, docs, "")
+    good = materialise(corpus_pipeline.quality(spark, docs, ""), "stage")
     assert {r.doc_id for r in good.collect()} == {r[0] for r in rows} - {41, 42}
-    exact = corpus_pipeline.exact_copies(spark, good, "")
+    exact = materialise(corpus_pipeline.exact_copies(spark, good, ""), "stage")
     assert {r.doc_id for r in exact.collect()} == {r[0] for r in rows if r[0] % 6 or r[0] == 24} - {41, 42} | {40}
-    near = corpus_pipeline.near_copies(spark, exact, "")
+    near = materialise(corpus_pipeline.near_copies(spark, exact, ""), "stage")
     assert {r.doc_id for r in near.collect()} == {r.doc_id for r in exact.collect()} - {40}
-    mixed = corpus_pipeline.source_mix(spark, near, "")
+    mixed = materialise(corpus_pipeline.source_mix(spark, near, ""), "stage")
     assert mixed.columns == docs.columns
     assert Counter((r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == Counter((r.doc_id, 0) for r in mixed.collect())
