@@ -9,20 +9,23 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-SERIES = W.partitionBy("symbol").orderBy("date")
+
+def by_date() -> WindowSpec:
+    return W.partitionBy("symbol").orderBy("date")
 
 
 def full(fn: Callable[[Column], Column], column: str, n: int, before: bool = False) -> Column:
     """fn over the last n rows, or the n rows before this one; null until there are n."""
-    frame = SERIES.rowsBetween(-n, -1) if before else SERIES.rowsBetween(1 - n, 0)
+    frame = by_date().rowsBetween(-n, -1) if before else by_date().rowsBetween(1 - n, 0)
     return F.when(F.count(column).over(frame) == n, fn(F.col(column)).over(frame))
 
 
 def crossed(value: str, level: float, side: int) -> Column:
     """value was on or below the level in the row before and is above it now (side 1), or the reverse (-1)."""
-    was, now = F.lag(value).over(SERIES), F.col(value)
+    was, now = F.lag(value).over(by_date()), F.col(value)
     return F.coalesce((side * was <= side * level) & (side * now > side * level), F.lit(False))
 
 
@@ -72,8 +75,8 @@ def confirmed_crosses(spreads: DataFrame, gap: float, side: int = 1) -> DataFram
     """spreads: symbol, date, spread. A crossing of 0 arms, a spread on or below 0 disarms, and the first spread of
     at least gap while armed is the confirmed cross."""
     s = spreads.where("spread is not null").withColumn("v", side * F.col("spread"))
-    s = s.withColumn("crossed", F.coalesce((F.lag("v").over(SERIES) <= 0) & (F.col("v") > 0), F.lit(False)))
-    upto = SERIES.rowsBetween(W.unboundedPreceding, 0)
+    s = s.withColumn("crossed", F.coalesce((F.lag("v").over(by_date()) <= 0) & (F.col("v") > 0), F.lit(False)))
+    upto = by_date().rowsBetween(W.unboundedPreceding, 0)
     s = s.withColumn("run", F.sum(F.when(F.col("v") <= 0, 1).otherwise(0)).over(upto)).withColumn("armed", F.max(F.when(F.col("crossed"), F.col("date"))).over(W.partitionBy("symbol", "run").orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
     hit = s.where((F.col("v") >= gap) & F.col("armed").isNotNull())
     return hit.groupBy("symbol", "armed").agg(F.min("date").alias("date")).select("symbol", "date")

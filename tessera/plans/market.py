@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.operators import series
-from tessera.operators.series import SERIES, crossed, full
+from tessera.operators.series import by_date, crossed, full
 from tessera.sources.tables import BARS, bars
 
 ACTIONS = "VALUES ('1-URGENT', DATE '1995-03-01', 'split', 0.5D), ('1-URGENT', DATE '1996-05-20', 'demerger', 0.8D), ('2-HIGH', DATE '1997-01-15', 'bonus', 0.25D)"
@@ -48,14 +48,14 @@ def smoothed_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unrecorded_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     actions = spark.sql(f"SELECT * FROM {ACTIONS} AS t(symbol, date, kind, factor)")
-    b = bars(spark, sf_dir).withColumn("gap", F.col("open") / F.lag("close").over(SERIES) - 1)
+    b = bars(spark, sf_dir).withColumn("gap", F.col("open") / F.lag("close").over(by_date()) - 1)
     return b.where(F.abs("gap") > 0.25).join(F.broadcast(actions.select("symbol", "date")), ["symbol", "date"], "left_anti").select("symbol", "date", "gap")
 
 
 def rule_firings(b: DataFrame) -> DataFrame:
     """symbol, date, bar, signal, value: all rules in one pass over one window's shuffle."""
-    b = b.withColumn("bar", F.row_number().over(SERIES)).withColumn("spread", full(F.avg, "close", 50) / full(F.avg, "close", 200) - 1)
-    b = b.withColumn("move", F.col("close") / F.lag("close").over(SERIES) - 1).withColumn("gap", F.col("open") / F.lag("close").over(SERIES) - 1)
+    b = b.withColumn("bar", F.row_number().over(by_date())).withColumn("spread", full(F.avg, "close", 50) / full(F.avg, "close", 200) - 1)
+    b = b.withColumn("move", F.col("close") / F.lag("close").over(by_date()) - 1).withColumn("gap", F.col("open") / F.lag("close").over(by_date()) - 1)
     b = b.withColumn("multiple", F.try_divide("volume", full(F.avg, "volume", 20, before=True)))
     b = b.withColumn("top", full(F.max, "high", 252, before=True)).withColumn("bottom", full(F.min, "low", 252, before=True))
     b = b.withColumn("rose", crossed("spread", 0, 1)).withColumn("fell", crossed("spread", 0, -1))
@@ -99,8 +99,8 @@ def confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_panel(b: DataFrame) -> DataFrame:
     """symbol, date, bar, horizon, entry_date, excess: return from the next open to the close h bars on, less the
     benchmark's between the same dates."""
-    b = b.withColumn("bar", F.row_number().over(SERIES)).withColumn("entry_date", F.lead("date").over(SERIES)).withColumn("entry", F.lead("open").over(SERIES))
-    exits = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("date", h).over(SERIES).alias("exit_date"), F.lead("close", h).over(SERIES).alias("exit")) for h in HORIZONS])
+    b = b.withColumn("bar", F.row_number().over(by_date())).withColumn("entry_date", F.lead("date").over(by_date())).withColumn("entry", F.lead("open").over(by_date()))
+    exits = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lead("date", h).over(by_date()).alias("exit_date"), F.lead("close", h).over(by_date()).alias("exit")) for h in HORIZONS])
     panel = b.withColumn("exits", exits).select("symbol", "date", "bar", "entry_date", "entry", F.explode("exits").alias("x")).select("symbol", "date", "bar", "entry_date", "entry", "x.*")
     base = b.where(F.col("symbol") == BENCHMARK)
     enter, leave = base.select(F.col("date").alias("entry_date"), F.col("open").alias("bench_in")), base.select(F.col("date").alias("exit_date"), F.col("close").alias("bench_out"))
@@ -143,14 +143,14 @@ def bootstrap_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def last_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last close and change, and the extremes of the 52 weeks before the last day."""
-    b = bars(spark, sf_dir).withColumn("prev", F.lag("close").over(SERIES)).withColumn("last", F.max("date").over(W.partitionBy("symbol")))
+    b = bars(spark, sf_dir).withColumn("prev", F.lag("close").over(by_date())).withColumn("last", F.max("date").over(W.partitionBy("symbol")))
     year = F.col("date") > F.date_sub("last", 364)
     return b.groupBy("symbol").agg(F.max_by("close", "date").alias("close"), F.max_by("prev", "date").alias("previous"), F.max(F.when(year, F.col("high"))).alias("high_52w"), F.min(F.when(year, F.col("low"))).alias("low_52w"))
 
 
 def price_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Moves of over 3 % and whether at least 3 symbols moved so on that day in one direction."""
-    b = bars(spark, sf_dir).withColumn("move", F.col("close") / F.lag("close").over(SERIES) - 1).where("abs(move) > 0.03")
+    b = bars(spark, sf_dir).withColumn("move", F.col("close") / F.lag("close").over(by_date()) - 1).where("abs(move) > 0.03")
     b = b.withColumn("direction", F.when(F.col("move") > 0, "up").otherwise("down"))
     return b.select("symbol", "date", "move", "direction", (F.count("*").over(W.partitionBy("date", "direction")) >= 3).alias("market_wide"))
 
