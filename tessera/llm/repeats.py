@@ -9,7 +9,8 @@ Equal strings have equal anchors, so that two strings are equal only if their an
 suffixes meet. Documents come in batches. A new batch gets its own index, which is merge-scanned
 against itself and all indexes before it; seeds that occur twice are hits. Indexes of equal size are
 merged when the next batch comes, so that there are as many as the logarithm of the batches.
-Indexes are bucketed and sorted tables: scans and merges need no shuffle.
+Indexes are tables of sorted files. A seed's suffixes may stand in many of them: a scan counts seeds within
+each file first and shuffles the counts.
 
 Anchors of hits are compared with their surroundings, all strings that have them as anchor.
 Equal surroundings are known by their hash. Those that differ are compared string by
@@ -37,6 +38,7 @@ MANY = 5000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(5).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 31) - 1)
+SUFFIXES = "fp long, context long, doc_id long, place int, before int, after int"
 
 
 def _power(n: int) -> np.uint64:
@@ -109,7 +111,7 @@ def suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFra
                 columns = [fp.view(np.int64), np.array(context, np.uint64).view(np.int64), ids[start + text], place.astype(np.int32), (place - first).astype(np.int32), (last - place).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["fp", "context", "doc_id", "place", "before", "after"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, "fp long, context long, doc_id long, place int, before int, after int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SUFFIXES)
 
 
 class SuffixFamily:
@@ -117,32 +119,33 @@ class SuffixFamily:
 
     def __init__(self, docs: DataFrame, length: int = LENGTH, seed: int = SEED):
         self.spark, self.length, self.seed = docs.sparkSession, length, seed
-        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name, self.made = f"suffixes_{uuid.uuid4().hex}", 0
-        self.levels: list[tuple[int, str]] = []  # (batches in it, table)
+        self.levels: list[tuple[int, str]] = []  # (batches in it, path)
         self.hits: list[DataFrame] = []
 
     def _write(self, rows: DataFrame) -> str:
-        self.made += 1
-        table = f"{self.name}_{self.made}"
-        path = f"{shared_dir(self.spark)}/{table}"
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", path).format("parquet").saveAsTable(table)
-        return table
+        path = f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
+        rows.sortWithinPartitions("fp").write.parquet(path)
+        return path
+
+    def _level(self, path: str) -> DataFrame:
+        return self.spark.read.schema(SUFFIXES).parquet(path)
 
     def add(self, docs: DataFrame) -> None:
         """Indexes a batch, scans it against itself and every level, and notes the hits."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, self._write(self.spark.table(a).unionByName(self.spark.table(b)))))
+            # In ranges of seed and document, so that a seed that many documents have is in many ranges.
+            both = self._level(a).unionByName(self._level(b)).repartitionByRange("fp", "doc_id", "place")
+            self.levels.append((n + m, self._write(both)))
             for old in (a, b):
                 self._drop(old)
-        table = self._write(suffixes(docs, self.length, self.seed))
-        new = self.spark.table(table).select("fp")
-        hits = new.groupBy("fp").count().where("count > 1").select("fp")
+        path = self._write(suffixes(docs, self.length, self.seed))
+        new = self._level(path).groupBy("fp").agg(F.count("*").alias("n"))
+        hits = new.where("n > 1").select("fp")
         for _, level in self.levels:
-            hits = hits.unionByName(new.distinct().join(self.spark.table(level).select("fp"), "fp", "left_semi"))
+            hits = hits.unionByName(new.select("fp").join(self._level(level).select("fp").distinct(), "fp", "left_semi"))
         self.hits.append(materialise(hits, "hits"))
-        self.levels.append((1, table))
+        self.levels.append((1, path))
 
     def found(self) -> DataFrame:
         """The suffixes of all levels whose seeds were hit."""
@@ -150,21 +153,19 @@ class SuffixFamily:
         for h in self.hits[1:]:
             hits = hits.unionByName(h)
         hits = materialise(hits.distinct(), "hits")
-        out = [self.spark.table(t).join(hits, "fp", "left_semi") for _, t in self.levels]
+        out = [self._level(level).join(hits, "fp", "left_semi") for _, level in self.levels]
         all_ = out[0]
         for x in out[1:]:
             all_ = all_.unionByName(x)
         return all_
 
-    def _drop(self, table: str) -> None:
-        path = f"{shared_dir(self.spark)}/{table}"
-        self.spark.sql(f"DROP TABLE {table}")
+    def _drop(self, path: str) -> None:
         jvm = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm, True)
 
     def drop(self) -> None:
-        for _, table in self.levels:
-            self._drop(table)
+        for _, path in self.levels:
+            self._drop(path)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
