@@ -7,7 +7,7 @@ for each prefix shingle, are used twice:
 1. Each class in a list is compared with the list's pivot, its smallest id, if their sizes and
    places in the list (which bound the overlap) allow a link.
 2. The pivot's answers stand for the sets that are highly similar to it: what is linked with it is in
-   its component and needs no search of its own. Only the classes that are not in the component
+   its component and needs no search of its own. Only the classes, pivots aside, that are not in the component
    which most of a list is in are compared with the others of other components. Lists
    are cut into blocks by size, and blocks out of reach are skipped; so are pairs whose distances
    to the pivot, known from step 1, differ by more than a link allows (the distance is a metric).
@@ -204,8 +204,8 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     sets = materialise(sets, "classes")
     maps = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "parity")
     listed = sets.select("doc_id", "n_shingles", F.posexplode("prefix").alias("place", "token"))
-    lists = listed.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("pivot")).where(F.col("rows") > 1).drop("rows")
-    listed = materialise(listed.join(lists, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "pivot"), "lists", compression="zstd")
+    lists = listed.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("pivot")).where(F.col("rows") > 1)
+    listed = materialise(listed.join(lists, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "pivot", "rows"), "lists", compression="zstd")
 
     # Step 1: each with its lists' pivots.
     pivots = listed.where("id = pivot").select("token", F.col("n").alias("m"), F.col("place").alias("there"))
@@ -219,13 +219,14 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     linked = (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("m"))
     found = seen.where(linked).select("a", "b")
 
-    # Step 2: what the components so far leave open.
+    # Step 2: what the components so far leave open. A pair's first common shingle heads a list that step 1 used if one
+    # of the two is its pivot; so pivots, and lists of two, have no more to give.
     within = components(found)
-    named = listed.join(within, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    named = listed.where("id <> pivot and rows > 2").drop("rows").join(within, "id", "left").withColumn("component", F.coalesce("component", "id"))
     shares = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
     mixed = shares.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("parts > 1").select("token", "most")
     distance = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("far"))
-    named = named.join(mixed, "token").join(distance, ["id", "pivot"], "left").withColumn("far", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("far")))
+    named = named.join(mixed, "token").join(distance, ["id", "pivot"], "left")
     named = named.join(maps.select("id", "parity"), "id")
     named = materialise(named.withColumn("block", F.floor(F.log("n") / math.log(100 / percent))), "open-lists", compression="zstd")
     left = named.where("component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
