@@ -80,7 +80,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
 def _parity_map(h: np.ndarray) -> np.ndarray:
     """One bit for each bucket of hashes, whether it holds an odd number: two maps differ in no more
     bits than the sets differ in shingles. Folding a map in halves gives that of half the size."""
-    bits = min(MAP_BITS, max(64, 1 << (len(h) - 1).bit_length())) if len(h) else 64
+    over = 1 << max(0, len(h) - 1).bit_length()
+    bits = min(MAP_BITS, max(64, min(over, 128), over // 2))
     odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
