@@ -44,7 +44,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 class Shingler:
     """Sorted distinct 64-bit hashes of a text's word n-grams; of all words in one if they are fewer."""
 
-    def __init__(self, words: int = WORDS, remembered: int = 400_000):
+    def __init__(self, words: int = WORDS, remembered: int = 100_000):
         self.words, self.remembered, self.known = words, remembered, {}
 
     def __call__(self, text: str | None) -> np.ndarray:
