@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that 5-word shingles link at 0.85, the one with the smallest id stays."""
-    return ngram_join.keep_one(docs, words=5)
+    """Of each group of documents that 5-word shingles link at 0.8, the one with the smallest id stays."""
+    return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
