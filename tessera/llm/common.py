@@ -50,3 +50,11 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number that tells every row from all others, written so that it stays, and that column's name."""
+    name = "_n"
+    while name in docs.columns:
+        name += "_"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name

@@ -18,7 +18,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, text_or_empty, without_blanks
+from tessera.llm.common import materialise, numbered, text_or_empty, without_blanks
 
 #: One more code point weighs more than any doc_id.
 _LENGTH = Decimal(2 * 10**19)
@@ -41,15 +41,15 @@ def sha256_digest(norm: Column) -> Column:
     return F.sha2(norm, 256)
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest, salts: int = 16) -> DataFrame:
-    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_digest, salts: int = 16, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, and the columns of carry.
 
     docs: doc_id and text; other columns are ignored. A null text is the empty text, and all
     empty texts form one group. Ties of length go to the smallest doc_id; rows that repeat
     a doc_id are each counted, and all rows that have the kept doc_id stay. A null doc_id loses
     to any other. An empty table gives an empty result.
     digest: the lookup key of a content; the result does not depend on it."""
-    rows = docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.length("text").alias("chars"), without_blanks(F.col("text")).alias("norm"))
+    rows = docs.select("doc_id", *carry, text_or_empty().alias("text")).select("doc_id", *carry, F.length("text").alias("chars"), without_blanks(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")
     by_salt = rows.groupBy("digest", "norm", salt).agg(F.count("*").alias("n"), F.max(_preference(F.col("doc_id"), F.col("chars"))).alias("best"))
@@ -57,23 +57,30 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_di
     by_digest = materialise(contents.groupBy("digest").agg(F.count("*").alias("contents"), F.max("n").alias("group_size"), F.max("best").alias("best")), "exact-groups")
 
     alone = by_digest.where("contents = 1").select("digest", "group_size", "best")
-    out = rows.select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256")).join(alone, "digest")
+    out = rows.select("doc_id", *carry, "digest", F.sha2("norm", 256).alias("text_sha256")).join(alone, "digest")
     clash = by_digest.where("contents > 1").select("digest")
     if not clash.isEmpty():
         mixed = rows.join(clash, "digest", "left_semi")
         of = mixed.groupBy("digest", "norm").agg(F.count("*").alias("group_size"), F.max(_preference(F.col("doc_id"), F.col("chars"))).alias("best"))
-        out = out.unionByName(mixed.join(of, ["digest", "norm"]).select("doc_id", "digest", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best"))
+        out = out.unionByName(mixed.join(of, ["digest", "norm"]).select("doc_id", *carry, "digest", F.sha2("norm", 256).alias("text_sha256"), "group_size", "best"))
     keep = _preferred_id(F.col("best"))
-    return out.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return out.select("doc_id", keep.alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256", *carry)
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their columns; of rows that repeat both doc_id and
-    normalised text, one stays."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi")
-    unnamed = docs.where(F.col("doc_id").isNull()).join(kept.where("doc_id is null").limit(1).select(F.lit(1).alias("_any")), F.lit(True), "left_semi")
-    return known.unionByName(unnamed)
+    """The rows of docs that stay, with their columns: one for each normalised text, the longest of those with
+    the smallest doc_id, whether or not ids repeat or are null."""
+    rows, n = numbered(docs)
+    kept = materialise(exact_groups(rows, carry=(n,)).where("kept").select("text_sha256", n), "exact-kept")
+    by_digest = kept.groupBy("text_sha256").agg(F.count("*").alias("rows"), F.min(n).alias(n))
+    stay = by_digest.where("rows = 1").select(n)
+    again = by_digest.where("rows > 1").select("text_sha256")
+    if not again.isEmpty():
+        # Rows that share the kept doc_id: told apart by length and number, within equal contents.
+        ties = rows.join(kept.join(again, "text_sha256", "left_semi").select(n), n, "left_semi")
+        ties = ties.select(n, "doc_id", F.length(text_or_empty()).alias("chars"), without_blanks(text_or_empty()).alias("norm"))
+        stay = stay.unionByName(ties.groupBy("norm").agg(F.min_by(n, F.struct(-F.col("chars"), n)).alias(n)).select(n))
+    return rows.join(stay, n, "left_semi").drop(n)
 
 
 ORACLE = r"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import materialise, numbered
 from tessera.llm.components import components
 from tessera.llm.tokens import in_parts
 
@@ -263,6 +263,10 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs whose doc_id names its group, and those without doc_id."""
-    kept = similar_groups(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """Of each group of rows of docs that hang together one: that with the smallest doc_id, a null one last. Rows
+    without words are alone."""
+    rows, n = numbered(docs)
+    group = similar_groups(rows.select(F.col(n).alias("doc_id"), "text"), words, percent).select(F.col("doc_id").alias(n), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", n)
+    kept = rows.select("doc_id", n).join(group, n).groupBy("component_id").agg(F.min_by(n, order).alias(n)).select(n)
+    return rows.join(kept, n, "left_semi").drop(n)

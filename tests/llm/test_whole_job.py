@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 from test_llm import VOCABULARY, groups, words
 from tokenizers import Tokenizer
 
+from tessera.llm import exact_dedup, ngram_join
+
 NAMES = iter(range(10**6))
 
 
@@ -76,3 +78,16 @@ def test_pipeline_against_a_plain_one(spark, tmp_path):
     t = Tokenizer.from_file(VOCABULARY)
     want = Counter({(i, 0, 0, len(t.encode(texts[i], add_special_tokens=False).ids) + 1): n for i, n in plain_mix([r for r in exact if r[0] in kept]).items()})
     assert Counter((r.doc_id, r.piece, r.start, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_copies_that_ids_do_not_tell_apart(spark):
+    a, b, c, d = (" ".join(new_words(60)) for _ in range(4))
+    rows = [(5, a, 0), (5, a, 0), (5, b, 0), (4, b, 1), (7, c, 2), (7, c + "  ", 3), (8, c, 4), (None, d, 5), (None, d, 5), (None, a, 6), (None, None, 7), (None, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n int").repartition(3)
+    got = exact_dedup.drop_exact_copies(docs)
+    assert got.columns == docs.columns
+    assert Counter((r.doc_id, r.text or "") for r in got.collect()) == Counter([(5, a), (4, b), (7, c + "  "), (None, d), (None, "")])
+    near = [(2, a + " tail"), (2, c), (None, a), (None, b), (None, b + " tail"), (3, b + " other"), (None, d), (None, d + " tail"), (1, None), (1, "")]
+    got = ngram_join.keep_one(spark.createDataFrame(near, "doc_id long, text string").repartition(2), words=5, percent=80)
+    assert Counter((r.doc_id, (r.text or "")[:100]) for r in got.collect() if r.text and not r.text.startswith(d)) == Counter([(2, (a + " tail")[:100]), (2, c[:100]), (3, (b + " other")[:100])])
+    assert got.count() == 6
