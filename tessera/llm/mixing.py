@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, text_or_empty, words_of
+from tessera.llm.common import materialise, numbered, text_or_empty, words_of
 
 #: 2^32 divided by the golden ratio, odd: slot * GOLDEN modulo 2^32 is a golden-ratio sequence
 #: in integers, the same on any engine. It repeats after 2^31 slots.
@@ -68,32 +68,30 @@ def schedule(targets: DataFrame, n_slots: int, block: int = BLOCK) -> DataFrame:
     base = base.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")).select("k", "part", "base")
     ranked = of.withColumn("r", F.row_number().over(W.partitionBy("k", "part").orderBy("slot"))).join(base, ["k", "part"]).select("k", (F.col("base") + F.col("r") - 1).alias("rank"), "slot")
     need = targets.withColumn("words", F.round("target").cast("long")).where("words > 0").withColumn("blocks", F.ceil(F.col("words") / block))
-    need = need.select("k", "words", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("rank"))
+    need = need.withColumn("upto", F.sum("blocks").over(W.orderBy("k"))).select("k", "words", "upto", (F.col("upto") - F.col("blocks")).alias("from"))
+    # Numbers of blocks are dealt out, so that no source grows in one row.
+    numbers = spark.range(need.agg(F.max("upto")).first()[0] or 0)
+    need = numbers.join(F.broadcast(need), (F.col("id") >= F.col("from")) & (F.col("id") < F.col("upto"))).select("k", "words", (F.col("id") - F.col("from")).alias("rank"))
     out = need.join(ranked, ["k", "rank"], "left")
     return out.select(F.coalesce("slot", F.lit(n_slots) + F.col("rank")).alias("slot"), "k", "rank", F.least(F.lit(block), F.col("words") - F.col("rank") * block).alias("words"))
 
 
-def _streams(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """sizes with the start of each document in its source's shuffled stream."""
+def _streams(sizes: DataFrame, targets: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """sizes with the start of each document in its source's shuffled stream; carry tells equal rows apart."""
     at = sizes.join(F.broadcast(targets.select("source", "k", "source_size", "target")), sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     at = at.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     at = at.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * RANGES / F.lit(2.0**32)))
     base = at.groupBy("k", "part").agg(F.sum("size").alias("n"))
     base = base.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")).select("k", "part", "base")
-    order = W.partitionBy("k", "part").orderBy("key", "doc_id", "size")
+    order = W.partitionBy("k", "part").orderBy("key", "doc_id", "size", *carry)
     at = at.withColumn("nth", F.row_number().over(order)).withColumn("upto", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return at.join(base, ["k", "part"]).withColumn("start", F.col("base") + F.col("upto") - F.col("size"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, first_slot (the first slot of the mix
-    that holds words of the row, null if none does): one row for each row of docs.
-
-    docs: doc_id, source, text; other columns are ignored. A null text has no words and a null
-    source is a source of its own. Rows that repeat each have their own place in the stream. An
-    empty table, or one without words, gives taken 0 for each of its rows. taken adds up to
-    the rounded target in every source, and no row gives more than `most` times its size."""
-    sizes = materialise(docs.select("doc_id", "source", F.size(words_of(text_or_empty())).cast("long").alias("size")), "mix-sizes")
+def _placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of mix, those of carry, start (in the source's stream) and slots: for each time that the stream
+    is run through, the first slot that holds words of the row."""
+    sizes = materialise(docs.select("doc_id", "source", *carry, F.size(words_of(text_or_empty())).cast("long").alias("size")), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
     n_slots = int((targets.agg(F.sum("target")).first()[0] or 0) / block) + 1
     slots = schedule(targets, n_slots, block).withColumnRenamed("k", "_k")
@@ -101,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # The places of a source's blocks modulo its size: block b of the mix starts at
     # b * block, in the epoch floor(b * block / source_size). Document words [start, start + size)
     # of epoch e stand at e * source_size + start.
-    placed = _streams(sizes, targets).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start"))
+    placed = _streams(sizes, targets, carry).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most - 1)))).withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start"))
     last = F.floor((F.col("from") + F.greatest(F.col("size"), F.lit(1)) - 1) / block)
     pieces = placed.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), last)))
     meet = (F.col("k") == F.col("_k")) & (F.col("rank") == F.col("_rank"))
@@ -109,17 +107,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     begin = F.greatest(F.col("from"), F.col("rank") * block)
     end = F.least(F.col("from") + F.col("size"), F.col("rank") * block + F.col("words"))
     pieces = pieces.withColumn("got", F.when(F.col("words").isNotNull(), F.greatest(end - begin, F.lit(0))).otherwise(0))
-    out = pieces.groupBy("k", "part", "nth", "doc_id", "source", "size", "source_size", "target").agg(F.sum("got").alias("taken"), F.min(F.when(F.col("got") > 0, F.col("slot"))).alias("first_slot"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot")
+    slot_of = [F.min(F.when((F.col("got") > 0) & (F.col("epoch") == e), F.col("slot"))) for e in range(most)]
+    out = pieces.groupBy("k", "part", "nth", "doc_id", "source", *carry, "size", "source_size", "target", "start").agg(F.sum("got").alias("taken"), F.array(*slot_of).alias("slots"))
+    return out.select("doc_id", "source", *carry, "size", "source_size", "target", "taken", F.array_min("slots").alias("first_slot"), "start", "slots")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, first_slot (the first slot of the mix
+    that holds words of the row, null if none does): one row for each row of docs.
+
+    docs: doc_id, source, text; other columns are ignored. A null text has no words and a null
+    source is a source of its own. Rows that repeat each have their own place in the stream. An
+    empty table, or one without words, gives taken 0 for each of its rows. taken adds up to
+    the rounded target in every source, and no row gives more than `most` times its size."""
+    return _placed(docs, weights, share, most, block).drop("start", "slots")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs in the mix: each as often as its words were taken, to the nearest whole
-    number (0, 1 or 2 times)."""
-    times = mix(docs).groupBy("doc_id", "source").agg(F.max(F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")).alias("_times"))
-    times = times.where("_times > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_of"), "_times")
-    out = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"]) & docs["source"].eqNullSafe(times["_of"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    """The rows of docs in the mix, each as often as its words were taken, to the nearest whole
+    number (0, 1 or 2 times), in the order of the slots that its copies begin in."""
+    rows, n = numbered(docs)
+    slot, start = f"{n}slot", f"{n}start"
+    times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
+    copies = _placed(rows, carry=(n,)).where(times > 0).select(n, F.explode(F.slice("slots", F.lit(1), times)).alias(slot), F.col("start").alias(start))
+    return rows.join(copies, n).orderBy(slot, start).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -9,23 +9,20 @@ from collections import Counter, defaultdict
 from test_llm import VOCABULARY, groups, words
 from tokenizers import Tokenizer
 
-from tessera.llm import exact_dedup, ngram_join
+from tessera.llm import exact_dedup, mixing, ngram_join
 
 NAMES = iter(range(10**6))
 
-
 def new_words(n):
     """Words that no other text has."""
     r = random.Random(11)
     return ["".join(r.choice("abcdefgh") for _ in range(3)) + "".join("klmnopqrst"[int(c)] for c in str(next(NAMES))) for _ in range(n)]
 
-
 def shifted(n, k, times=2):
     """Texts of n shingles of five words, each k words on: neighbours have (n - k) of n + k in common."""
     w = new_words(n + 4 + k * (times - 1))
     return [" ".join(w[i * k : i * k + n + 4]) for i in range(times)]
 
-
 def plain_good(t):
     t = t or ""
     w, lines = words(t), [x for x in t.split("\n") if words(x)]
@@ -34,7 +31,6 @@ def plain_good(t):
     chars, upper, symbols, copies = sum(map(len, w)), len(re.findall("[A-Z]", t)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines))
     return not (len(w) < 50 or 2 * len(again) > len(w) or 10 * symbols > len(w) or chars < 2 * len(w) or chars > 20 * len(w) or 2 * upper > chars or (copies >= 3 and 10 * copies > 3 * len(lines)))
 
-
 def plain_exact(rows):
     best = {}
     for r in rows:
@@ -42,7 +38,6 @@ def plain_exact(rows):
         best[norm] = min(best.get(norm, (0, math.inf, None)), (-len(r[1]), r[0], r))
     return [r for _, _, r in best.values()]
 
-
 def plain_mix(rows):
     of = defaultdict(list)
     for r in rows:
@@ -63,7 +58,6 @@ def plain_mix(rows):
             start += n
     return +times
 
-
 def test_pipeline_against_a_plain_one(spark, tmp_path):
     import corpus_pipeline
 
@@ -79,7 +73,6 @@ def test_pipeline_against_a_plain_one(spark, tmp_path):
     want = Counter({(i, 0, 0, len(t.encode(texts[i], add_special_tokens=False).ids) + 1): n for i, n in plain_mix([r for r in exact if r[0] in kept]).items()})
     assert Counter((r.doc_id, r.piece, r.start, r.length) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
 
-
 def test_copies_that_ids_do_not_tell_apart(spark):
     a, b, c, d = (" ".join(new_words(60)) for _ in range(4))
     rows = [(5, a, 0), (5, a, 0), (5, b, 0), (4, b, 1), (7, c, 2), (7, c + "  ", 3), (8, c, 4), (None, d, 5), (None, d, 5), (None, a, 6), (None, None, 7), (None, "", 7)]
@@ -91,3 +84,22 @@ def test_copies_that_ids_do_not_tell_apart(spark):
     got = ngram_join.keep_one(spark.createDataFrame(near, "doc_id long, text string").repartition(2), words=5, percent=80)
     assert Counter((r.doc_id, (r.text or "")[:100]) for r in got.collect() if r.text and not r.text.startswith(d)) == Counter([(2, (a + " tail")[:100]), (2, c[:100]), (3, (b + " other")[:100])])
     assert got.count() == 6
+
+def test_mix_in_the_order_of_its_slots(spark):
+    rows = [(i, " ".join(["w"] * (40 + 7 * i % 90)), "abc"[i % 3 if i > 20 else 0]) for i in range(60)] + [(5, " ".join(["w"] * 333), "a"), (None, "w " * 100, "b"), (None, "w " * 300, "b")]
+    got = [(r.doc_id, len(words(r.text))) for r in mixing.mixed_documents(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()]
+    of = defaultdict(list)
+    for i, t, s in rows:
+        of[s].append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i, len(words(t)), i))
+    targets = [r.asDict() for r in mixing.source_targets(spark.createDataFrame([(s, x[2]) for s, g in of.items() for x in g], "source string, size long")).orderBy("k").collect()]
+    n_slots, want = int(sum(t["target"] for t in targets) / 256) + 1, []
+    for t in targets:
+        mine = [slot for slot in range(n_slots) if t["low"] <= slot * mixing.GOLDEN % 2**32 < t["high"]]
+        upto, start = math.floor(t["target"] + 0.5), 0
+        for _, _, n, i in sorted(of[t["source"]]):
+            taken = [max(0, min(n, upto - e * t["source_size"] - start)) for e in (0, 1)]
+            for e in range(math.floor(sum(taken) / n + 0.5)):
+                block = (start + e * t["source_size"]) // 256
+                want.append((mine[block] if block < len(mine) else n_slots + block, start, (i, n)))
+            start += n
+    assert [x for _, _, x in sorted(want)] == got and len({x[0] for x in want}) > 10
