@@ -27,6 +27,8 @@ FOLDS = 3
 #: Lengths of the beginnings of words that are features beside the words.
 STEMS = (4, 5, 6, 7)
 THRESHOLD = 0.35
+#: In the order of the chain.
+CATEGORIES = ("low_quality", "toxic")
 
 
 @dataclass
@@ -68,7 +70,8 @@ def _log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, categories: list[str], folds: int = FOLDS, features: int = FEATURES) -> Chain:
-    """labelled: doc_id, text and a 0/1 column for each category, in the order of the chain. Its number of
+    """labelled: doc_id, text and a 0/1 column for each category, in the order of the chain; a null is not used for
+    that category. Its number of
     rows is bounded by the caller. Spark counts the features; the rows' chosen features, rows
     times features * categories at most, are fitted on the driver."""
 
@@ -84,16 +87,16 @@ def fit(labelled: DataFrame, categories: list[str], folds: int = FOLDS, features
 
     rows = labelled.select("doc_id", *[F.col(c).cast("int") for c in categories], F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(folds)).cast("int").alias("fold"), "text")
     rows = materialise(rows.mapInArrow(split, ", ".join(["doc_id long", *[f"{c} int" for c in categories], "fold int", "features array<string>"])), "labelled")
-    total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).first()
+    total = rows.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories], *[F.count(c).alias(f"n_{c}") for c in categories]).first()
     if not total["n"]:
         return Chain(categories, {}, [np.append(np.zeros(k, np.float32), np.float32(-8)) for k in range(len(categories))])
-    each = rows.select(*categories, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).where(F.col("n") >= LEAST_ROWS)
+    each = rows.select(*categories, F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in categories], *[F.count(c).alias(f"n_{c}") for c in categories]).where(F.col("n") >= LEAST_ROWS)
     chosen: dict[str, int] = {}
     for c in categories:
         # The G statistic of the table (feature or not) x (category or not), from its two cells with the feature.
-        base = total[c] / total["n"]
-        yes, no = F.col(c) + 0.5, F.col("n") - F.col(c) + 0.5
-        g = yes * F.log(yes / (F.col("n") * base + 0.5)) + no * F.log(no / (F.col("n") * (1 - base) + 0.5))
+        base, n = total[c] / total[f"n_{c}"], F.col(f"n_{c}")
+        yes, no = F.col(c) + 0.5, n - F.col(c) + 0.5
+        g = yes * F.log(yes / (n * base + 0.5)) + no * F.log(no / (n * (1 - base) + 0.5))
         for r in each.orderBy(g.desc(), "f").limit(features).select("f").collect():
             chosen.setdefault(r["f"], len(chosen))
 
@@ -108,13 +111,15 @@ def fit(labelled: DataFrame, categories: list[str], folds: int = FOLDS, features
     weights = []
     for k, c in enumerate(categories):
         y = got[c].to_numpy(np.float32)
-        weights.append(_logistic(x, y))
+        known = ~np.isnan(y)
+        weights.append(_logistic(x[known], y[known]))
         if k + 1 < len(categories):
             out = np.zeros(len(x), np.float32)
             for f in range(folds):
                 own = got["fold"].to_numpy() == f
-                if own.any() and not own.all():
-                    out[own] = _log_odds(x[own], _logistic(x[~own], y[~own]))
+                rest = ~own & known
+                if own.any() and rest.any():
+                    out[own] = _log_odds(x[own], _logistic(x[rest], y[rest]))
             x = np.hstack([x, out[:, None]])
     return Chain(categories, chosen, weights)
 
@@ -156,19 +161,21 @@ def predict(chain: Chain, docs: DataFrame, words: int = 500_000) -> DataFrame:
 def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, p_low_quality, p_toxic, toxic: a row for each row of docs.
 
-    labels: doc_id, quality, toxic (0/1), fitted on about `sample` rows of them at most, chosen by a hash of the
-    id. Null labels are not used; of labels that repeat a doc_id the largest counts. Without
-    labels of both values nothing can be learned: the probabilities are null and toxic is false. Where no
-    labelled row is in docs, nothing is toxic."""
-    known = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
+    labels: doc_id, quality, toxic (0/1), fitted on about `sample` rows at most of those whose documents are in docs,
+    chosen by a hash of the id. A null label is not used, the row's other one is; of labels that repeat a doc_id the largest
+    counts. A category without labels of both values can't be learned: its probabilities are null, and
+    nothing is toxic if it is toxic. The other one is learned without it."""
+    known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
+    known = materialise(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
     n = known.count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n)))
     chosen = known.where(share)
-    both = chosen.agg(F.min("toxic"), F.max("toxic"), F.min("low_quality"), F.max("low_quality")).first()
-    if tuple(both) != (0, 1, 0, 1):
-        none = F.lit(None).cast("double")
-        return docs.select("doc_id", none.alias("p_low_quality"), none.alias("p_toxic"), F.lit(False).alias("toxic"))
-    # `sample` rows of two columns and an id, so that every task may hold them.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    out = predict(fit(labelled, ["low_quality", "toxic"]), docs)
-    return out.withColumn("toxic", F.col("p_toxic") >= THRESHOLD)
+    values = chosen.agg(*[F.collect_set(c).alias(c) for c in CATEGORIES]).first()
+    learned = [c for c in CATEGORIES if set(values[c]) == {0, 1}]
+    out = docs.select("doc_id")
+    if learned:
+        # `sample` rows of two columns and an id, so that every task may hold them.
+        labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+        out = predict(fit(labelled, learned), docs)
+    p = {c: F.col(f"p_{c}") if c in learned else F.lit(None).cast("double") for c in CATEGORIES}
+    return out.select("doc_id", *[p[c].alias(f"p_{c}") for c in CATEGORIES], F.coalesce(p["toxic"] >= THRESHOLD, F.lit(False)).alias("toxic"))

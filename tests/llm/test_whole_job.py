@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 from test_llm import VOCABULARY, groups, words
 from tokenizers import Tokenizer
 
-from tessera.llm import exact_dedup, mixing, ngram_join
+from tessera.llm import exact_dedup, mixing, ngram_join, toxicity
 
 NAMES = iter(range(10**6))
 
@@ -103,3 +103,16 @@ def test_mix_in_the_order_of_its_slots(spark):
                 want.append((mine[block] if block < len(mine) else n_slots + block, start, (i, n)))
             start += n
     assert [x for _, _, x in sorted(want)] == got and len({x[0] for x in want}) > 10
+
+def test_toxicity_learns_each_category_from_its_own_labels(spark):
+    r = random.Random(5)
+    rows = [(i, " ".join(new_words(20)) + (" " + " ".join(r.sample(["vile", "awful", "nasty", "hateful"], 3)) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    for quality in (lambda i: 1, lambda i: None, lambda i: None if i % 4 == 0 else i % 2):
+        labels = spark.createDataFrame([(i, quality(i), x) for i, _, x in rows[:120]], "doc_id long, quality int, toxic int")
+        got = toxicity.toxic_documents(docs, labels).collect()
+        assert sum(g.toxic == bool(rows[g.doc_id][2]) for g in got) >= 195 and all(g.p_toxic is not None for g in got)
+        assert all((g.p_low_quality is None) == (quality(1) == quality(2)) for g in got)
+    # A table of labels that mostly names other documents leaves the sample whole.
+    many = labels.select("doc_id", "quality", "toxic").union(spark.range(1000, 13_000).selectExpr("id", "1", "0"))
+    assert sum(g.toxic for g in toxicity.toxic_documents(docs, many, sample=120).collect()) >= 45
