@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
-from tessera.llm.tokens import WordEncoder, in_parts
+from tessera.llm.tokens import WordEncoder, array_parts, ended
 
 END = 49407
 BLOCK = 1 << 16
@@ -51,9 +51,10 @@ def flat_tokens(docs: DataFrame, vocabulary: str, end: int = END, block: int = B
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("tokens", pa.binary()), ("ordinal", pa.int64()), ("doc_id", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
         from pyspark import TaskContext
 
-        encoder, last, name = WordEncoder(vocabulary, "H"), end.to_bytes(2, "little"), f"part-{TaskContext.get().partitionId()}"
+        encoder, name = WordEncoder(vocabulary, special_as_text=True), f"part-{TaskContext.get().partitionId()}"
         done = ordinal = 0
         rest = bytearray()
 
@@ -69,10 +70,8 @@ def flat_tokens(docs: DataFrame, vocabulary: str, end: int = END, block: int = B
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(range(ordinal, ordinal + n), pa.int64()), batch.column(0)], schema=schema)
             ordinal += n
-            for _, texts in in_parts(batch.column(1).to_pylist()):
-                for ids in encoder.encode(texts):
-                    rest += ids
-                    rest += last
+            for _, texts in array_parts(batch.column(1)):
+                rest += ended(*encoder.encode(texts), end, np.dtype(DTYPE))[0].tobytes()
                 if made := full(False):
                     yield made
         if made := full(True):

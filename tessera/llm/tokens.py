@@ -2,38 +2,108 @@
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 
 class WordEncoder:
     """Encodes texts word by word and remembers words: the tokenizer drops white space and no token
-    crosses it, so a text's ids are those of its words in a row. The memory is emptied when it holds
-    `words` entries."""
+    crosses it, so a text's ids are those of its words in a row. Its letters end where punctuation
+    begins and it folds case, so that words are remembered without their closing punctuation and in lower case.
+    The memory is emptied when it holds `words` entries.
+
+    special_as_text: whether the strings of special tokens in a text are ordinary text; else they
+    give their ids, as the tokenizer has it unless told otherwise."""
 
-    def __init__(self, path: str, code: str = "I", words: int = 400_000):
+    def __init__(self, path: str, special_as_text: bool = False, words: int = 400_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # in a text their strings are ordinary text
-        self.code, self.words, self.known = code, words, {}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids, as little-endian unsigned integers of the code's width."""
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.known) > self.words:
-            self.known.clear()
-        known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = array(self.code, e.ids).tobytes()
-        for words in split:
-            yield b"".join([known[w] for w in words])
+        self.tokenizer.encode_special_tokens = special_as_text
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words = words
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _remember(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.known)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while n + len(words) > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.count[n : n + len(words)] = counts
+        self.used += len(ids)
+        self.known.update(zip(words, range(n, n + len(words))))
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters are encoded in a row and told apart by the tokens that end a word; the row is given
+        up if there are other ends than theirs."""
+        letters = pc.utf8_is_alpha(pa.array(words, pa.string())).to_pylist()
+        rest = [w for w, x in zip(words, letters) if not x]
+        alone = [w for w, x in zip(words, letters) if x]
+        for at in range(0, len(alone), 500):
+            part = alone[at : at + 500]
+            ids = np.array(self._encoded([" ".join(part)])[0], np.uint32)
+            ends = np.flatnonzero(self.ends[ids])
+            if len(ends) == len(part) and ends[-1] == len(ids) - 1:
+                self._remember(part, ids, np.diff(ends, prepend=-1))
+            else:
+                rest += part
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            ids = self._encoded(part)
+            self._remember(part, np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (with the end of the last one)."""
+        texts = texts.fill_null("")
+        # Special tokens begin with these signs and are told by case.
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():
+            texts = pc.ascii_lower(texts)
+        split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2"))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        at = list(map(self.known.get, words))
+        if None in at:
+            new = [w for w, k in zip(words, at) if k is None]
+            if len(self.known) + len(new) > self.words:
+                self._forget()
+                new = words
+            self._learn(new)
+            at = list(map(self.known.get, words))
+        at = np.array(at, np.int64)[coded.indices.to_numpy()]
+        counts = self.count[at]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.flat[np.repeat(self.begin[at] - upto[:-1], counts) + np.arange(upto[-1])]
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        return ids, upto[offsets - offsets[0]]
+
+
+def ended(ids: np.ndarray, begin: np.ndarray, end: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """ids with the end id behind each text, and where each text's begin."""
+    n = len(begin) - 1
+    moved = begin + np.arange(n + 1)
+    out, last = np.empty(moved[-1], kind), np.zeros(moved[-1], bool)
+    last[moved[1:] - 1] = True
+    out[last], out[~last] = end, ids
+    return out, moved
 
 
 def in_parts(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[int, list[str | None]]]:
@@ -47,3 +117,13 @@ def in_parts(texts: list[str | None], chars: int = 4_000_000) -> Iterator[tuple[
             start, size = i + 1, 0
     if start < len(texts):
         yield start, texts[start:]
+
+
+def array_parts(texts: pa.Array, size: int = 8_000_000) -> Iterator[tuple[int, pa.Array]]:
+    """The same of an array, by bytes."""
+    run = np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(run, (run[start - 1] if start else 0) + size)))
+        yield start, texts.slice(start, end - start)
+        start = end

@@ -10,12 +10,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, personal_data, quality_rules, repeats, token_counts, toxicity
 from tessera.llm.common import materialise
 from tessera.llm.components import components
+from tessera.llm.tokens import WordEncoder
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row int, start int"
@@ -58,9 +61,9 @@ def test_mixing(docs, empty):
 
 def test_packing(docs, empty):
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
-    want = Counter()
-    for r in ROWS:
+    want, rows = Counter(), [*ROWS, (70, "hello <|endoftext|> and <|startoftext|> World, a<|endoftext|>b <|ENDOFTEXT|> it's", "en", "a", 0, 1, 2)]
+    docs = docs.union(docs.sparkSession.createDataFrame(rows[-1:], SCHEMA))
+    for r in rows:
         ids = t.encode(r[1] or "", add_special_tokens=False).ids + [1]
         for k in range(0, len(ids), 4096):
             want[(r[0], k // 4096, k, array("I", ids[k : k + 4096]).tobytes())] += 1
@@ -69,6 +72,22 @@ def test_packing(docs, empty):
     for _, g in got.sort_values("offset").groupby("sequence_id"):
         assert (g["offset"] == g["length"].cumsum() - g["length"]).all() and g["length"].sum() <= 4096
     assert packing.pack(packing.token_pieces(empty, VOCABULARY)).count() == 0
+    clash = packing.token_pieces(docs, VOCABULARY, with_ids=False).selectExpr("*", "1 AS _part", "2 AS _rank", "'x' AS offset", "4 AS _row")
+    out = packing.pack(clash)
+    assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "_part", "_rank", "_row", "sequence_id", "offset"]
+    assert Counter((r.start, r.ids_crc32, r._part, r._rank, r._row) for r in out.collect()) == Counter((s, zlib.crc32(i), 1, 2, 4) for (_, _, s, i), n in want.items() for _ in range(n))
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_encoder_is_the_plain_tokenizer(special):
+    t, r = Tokenizer.from_file(VOCABULARY), random.Random(2)
+    t.encode_special_tokens = special
+    texts = ["".join(r.choice("aB.,'s<|> \n!İé\u0301ßΣ1中_-") for _ in range(r.randint(0, 60))) for _ in range(500)] + TEXTS + ["<|endoftext|> A<|startoftext|>.b", "It's, I'LL. 'tis x.y"]
+    encoder = WordEncoder(VOCABULARY, special, words=100)
+    for at in range(0, len(texts), 100):
+        ids, begin = encoder.encode(pa.array(texts[at : at + 100], pa.string()))
+        for k, x in enumerate(texts[at : at + 100]):
+            assert ids[begin[k] : begin[k + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids
 
 
 def test_plan_uses_every_piece_once():
@@ -159,15 +178,29 @@ def plain_repeats(rows, length):
     return Counter(out)
 
 
-@pytest.mark.parametrize(("batches", "many"), [(2, 5000), (5, 1)])
+@pytest.mark.parametrize(("batches", "many"), [(2, 5000), (7, 1)])
 def test_repeats(spark, docs, empty, batches, many):
-    rows = [r for r in ROWS if len(r[1] or "") < 20_000]
-    got = repeats.without_repeats(spark.createDataFrame(rows, SCHEMA), batches=batches, many=many).collect()
+    rows = ROWS
+    clash = docs.withColumns({c: F.lit("x") for c in ("seed", "batch", "place", "context", "fp", "key", "packed")})
+    got = repeats.without_repeats(clash, batches=batches, many=many).collect()
     assert Counter((r.doc_id, r.n_bytes, sum(s["to"] - s["from"] for s in r.spans), bytes(r.kept)) for r in got) == plain_repeats(rows, 200)
     if batches == 2:
         assert repeats.without_repeats(empty).count() == 0
 
 
+def test_suffix_arrays_are_sorted_and_merge(spark, docs):
+    family = repeats.SuffixFamily(spark)
+    for b in range(7):
+        family.add(docs.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(7)) == b))
+        for _, path in family.levels:
+            files = family._level(path).select("seed", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).orderBy("i").collect()
+            of = defaultdict(list)
+            for r in files:
+                of[r.f].append(bytes(r.seed))
+            assert all(x == sorted(x) for x in of.values())
+    assert [n for n, _ in family.levels] == [4, 2, 1] and family.merges == 4
+
+
 def test_toxicity(spark, empty):
     bad = ["vile", "awful", "nasty", "hateful"]
     rows = [(i, prose(60) + (" " + " ".join(R.sample(bad, 3)) if i % 5 == 0 else ""), int(i % 7 != 0), int(i % 5 == 0)) for i in range(300)]
