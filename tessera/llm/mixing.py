@@ -3,8 +3,10 @@
 Each source's documents stand in a shuffled order, whose words are one stream, cut into
 blocks of equal word counts; a source that is to give more than it has starts over. Slot t of
 the mix takes the point frac(t * golden ratio), and the source whose interval of
-cumulative weights holds that point gives its next block. Slots are ranked per source, and the
-rank names the block, so that slots and blocks meet in a join on (source, block).
+cumulative weights holds that point gives its next block, until its target is met: the last block is cut to it. Slots are ranked
+per source, and the rank names the block, so that slots and blocks meet in a join on (source, block). There are some
+more slots than blocks, as the points are near the weights but not on them; slots of a source that is done stay empty, and
+a source so small that the points missed it gives its last blocks at the end.
 
 Both running numbers, of words within a source and of slots within a source, are
 taken within small ranges first and then over the ranges, so that a source with a third of all
@@ -26,8 +28,14 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
 BLOCK = 256
-SLOTS_A_RANGE = 4096
-RANGES = 1024
+#: Slots beyond the blocks: one in SPARE, and LEAST_SPARE.
+SPARE = 64
+LEAST_SPARE = 256
+#: What one sort ranks: slots, and rows of a source.
+SLOTS_A_RANGE = 1 << 16
+ROWS_A_RANGE = 20_000
+#: Parts of the unit interval by which points meet the sources there.
+CELLS = 1024
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -50,37 +58,41 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     by = by.withColumn("_level", F.col("_left") / F.sum("weight").over(order.rowsBetween(0, W.unboundedFollowing)))
     by = by.withColumn("_level", F.max("_level").over(every))
     by = by.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("_level")))
-    run = F.try_divide(F.sum("target").over(W.orderBy("k")), F.sum("target").over(every))
+    # In whole words, whose sums are exact in any order.
+    by = by.withColumn("words", F.round("target").cast("long"))
+    run = F.try_divide(F.sum("words").over(W.orderBy("k")), F.sum("words").over(every))
     by = by.withColumn("high", F.coalesce(F.floor(run * F.lit(2.0**32)), F.lit(0)))
-    return by.select("source", "k", "source_size", "weight", "target", F.coalesce(F.lag("high").over(W.orderBy("k")), F.lit(0)).alias("low"), "high")
+    return by.select("source", "k", "source_size", "weight", "target", "words", F.coalesce(F.lag("high").over(W.orderBy("k")), F.lit(0)).alias("low"), "high")
 
 
-def schedule(targets: DataFrame, n_slots: int, block: int = BLOCK) -> DataFrame:
-    """slot, k, block, words: the mix, a row for each block taken. The slots of a source are
-    ranked in two steps. A source that got fewer slots than its target needs has its last
-    blocks after all others; a source that got more leaves its last slots; its last block is cut
-    to the target."""
+def schedule(targets: DataFrame, block: int = BLOCK) -> DataFrame:
+    """slot, k, rank, words: the mix, a row for each slot that takes a block of source k, its rank-th, with so many words."""
     spark = targets.sparkSession
-    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(2**31)) * F.lit(GOLDEN), F.lit(2**32)).alias("x"))
-    # One row for each source, counted when the targets were written.
-    of = points.join(F.broadcast(targets.select("k", "low", "high")), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).withColumn("part", F.floor(F.col("slot") / SLOTS_A_RANGE))
+    need = targets.select("k", "low", "high", "words", F.ceil(F.col("words") / block).alias("blocks"))
+    size = need.agg(F.coalesce(F.sum("blocks"), F.lit(0)).alias("blocks"), F.count("*").alias("sources")).first()
+    n_slots = size["blocks"] + size["blocks"] // SPARE + LEAST_SPARE
+    cell = lambda x: F.floor(x / F.lit(2**32 // CELLS))
+    there = need.where("high > low").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
+    points = spark.range(n_slots).select(F.col("id").alias("slot"), F.pmod(F.pmod(F.col("id"), F.lit(2**31)) * F.lit(GOLDEN), F.lit(2**32)).alias("x")).withColumn("cell", cell(F.col("x")))
+    of = points.join(there, "cell").where((F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).withColumn("part", F.floor(F.col("slot") / SLOTS_A_RANGE))
     base = of.groupBy("k", "part").agg(F.count("*").alias("n"))
-    base = base.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")).select("k", "part", "base")
-    ranked = of.withColumn("r", F.row_number().over(W.partitionBy("k", "part").orderBy("slot"))).join(base, ["k", "part"]).select("k", (F.col("base") + F.col("r") - 1).alias("rank"), "slot")
-    need = targets.withColumn("words", F.round("target").cast("long")).where("words > 0").withColumn("blocks", F.ceil(F.col("words") / block))
-    need = need.withColumn("upto", F.sum("blocks").over(W.orderBy("k"))).select("k", "words", "upto", (F.col("upto") - F.col("blocks")).alias("from"))
-    # Numbers of blocks are dealt out, so that no source grows in one row.
-    numbers = spark.range(need.agg(F.max("upto")).first()[0] or 0)
-    need = numbers.join(F.broadcast(need), (F.col("id") >= F.col("from")) & (F.col("id") < F.col("upto"))).select("k", "words", (F.col("id") - F.col("from")).alias("rank"))
-    out = need.join(ranked, ["k", "rank"], "left")
-    return out.select(F.coalesce("slot", F.lit(n_slots) + F.col("rank")).alias("slot"), "k", "rank", F.least(F.lit(block), F.col("words") - F.col("rank") * block).alias("words"))
+    base = materialise(base.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")), "mix-slots")
+    ranked = of.withColumn("r", F.row_number().over(W.partitionBy("k", "part").orderBy("slot"))).join(base.select("k", "part", "base"), ["k", "part"])
+    got = ranked.select("slot", "k", (F.col("base") + F.col("r") - 1).alias("rank"), "words", "blocks").where("rank < blocks")
+    # As many as the points have missed, a few for each source.
+    have = base.groupBy("k").agg(F.sum("n").alias("have"))
+    missed = need.join(have, "k", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < blocks")
+    missed = missed.withColumn("rank", F.explode(F.sequence("have", F.col("blocks") - 1)))
+    late = missed.select((n_slots + F.col("rank") * size["sources"] + F.col("k") - 1).alias("slot"), "k", "rank", "words", "blocks")
+    return got.unionByName(late).select("slot", "k", "rank", F.least(F.lit(block), F.col("words") - F.col("rank") * block).alias("words"))
 
 
 def _streams(sizes: DataFrame, targets: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """sizes with the start of each document in its source's shuffled stream; carry tells equal rows apart."""
-    at = sizes.join(F.broadcast(targets.select("source", "k", "source_size", "target")), sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
+    ranges = -(-sizes.count() // ROWS_A_RANGE)
+    at = sizes.join(targets.select("source", "k", "source_size", "target"), sizes["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     at = at.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    at = at.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * RANGES / F.lit(2.0**32)))
+    at = at.withColumn("part", F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * ranges / F.lit(2.0**32)))
     base = at.groupBy("k", "part").agg(F.sum("size").alias("n"))
     base = base.withColumn("base", F.sum("n").over(W.partitionBy("k").orderBy("part")) - F.col("n")).select("k", "part", "base")
     order = W.partitionBy("k", "part").orderBy("key", "doc_id", "size", *carry)
@@ -93,8 +105,7 @@ def _placed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     is run through, the first slot that holds words of the row."""
     sizes = materialise(docs.select("doc_id", "source", *carry, F.size(words_of(text_or_empty())).cast("long").alias("size")), "mix-sizes")
     targets = materialise(source_targets(sizes, weights, share, most), "mix-targets")
-    n_slots = int((targets.agg(F.sum("target")).first()[0] or 0) / block) + 1
-    slots = schedule(targets, n_slots, block).withColumnRenamed("k", "_k")
+    slots = schedule(targets, block).withColumnRenamed("k", "_k")
 
     # The places of a source's blocks modulo its size: block b of the mix starts at
     # b * block, in the epoch floor(b * block / source_size). Document words [start, start + size)
@@ -118,14 +129,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 
     docs: doc_id, source, text; other columns are ignored. A null text has no words and a null
     source is a source of its own. Rows that repeat each have their own place in the stream. An
-    empty table, or one without words, gives taken 0 for each of its rows. taken adds up to
-    the rounded target in every source, and no row gives more than `most` times its size."""
+    empty table, or one without words, gives taken 0 for each of its rows. A very long text is in as many blocks as it
+    fills. Words are taken by the slots that a source gets; taken adds up to the rounded target in every source, and no row
+    gives more than `most` times its size."""
     return _placed(docs, weights, share, most, block).drop("start", "slots")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs in the mix, each as often as its words were taken, to the nearest whole
-    number (0, 1 or 2 times), in the order of the slots that its copies begin in."""
+    number (0, 1 or 2 times), in the order of the slots that its copies begin in. Rows without words are not in it."""
     rows, n = numbered(docs)
     slot, start = f"{n}slot", f"{n}start"
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
@@ -147,12 +159,23 @@ WITH d AS (
             / sum(weight) OVER (ORDER BY stop, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o
 ), t AS (
   SELECT source, k, source_size, least(cap::DOUBLE, weight * (SELECT max(level) FROM l)) AS target FROM c
+), i AS (
+  SELECT *, round(target)::BIGINT AS words, ceil(round(target) / 256)::BIGINT AS blocks,
+         floor(sum(round(target)::BIGINT) OVER (ORDER BY k) / (SELECT sum(round(target)::BIGINT) FROM t)::DOUBLE * 4294967296)::BIGINT AS high FROM t
+), j AS (
+  SELECT *, coalesce(lag(high) OVER (ORDER BY k), 0) AS low FROM i
+), n AS (
+  SELECT (sum(blocks) + sum(blocks) // 64 + 256)::BIGINT AS n_slots, count(*) AS sources FROM i
+), g AS (
+  SELECT k, slot, row_number() OVER (PARTITION BY k ORDER BY slot) - 1 AS rank
+  FROM (SELECT slot, (slot * 2654435769) % 4294967296 AS x FROM (SELECT unnest(range(n_slots)) AS slot FROM n)) JOIN j ON x >= low AND x < high
 ), p AS (
-  SELECT doc_id, size, source_size, target, k, sum(size) OVER (PARTITION BY k ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT doc_id, size, source_size, target, words, k, sum(size) OVER (PARTITION BY k ORDER BY md5(doc_id::VARCHAR), doc_id ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN j ON d.source IS NOT DISTINCT FROM j.source
 )
 SELECT doc_id, size, source_size, target,
-       (greatest(0, least(start + size, round(target)) - start)
-        + greatest(0, least(start + size, round(target) - source_size) - start))::BIGINT AS taken
-FROM p
+       (greatest(0, least(start + size, words) - start)
+        + greatest(0, least(start + size, words - source_size) - start))::BIGINT AS taken,
+       CASE WHEN size > 0 AND start < words THEN coalesce(slot, n_slots + (start // 256) * sources + p.k - 1) END::BIGINT AS first_slot
+FROM p CROSS JOIN n LEFT JOIN g ON g.k = p.k AND g.rank = start // 256
 """

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, personal_data, quality_rules, repeats, token_counts, toxicity
 from tessera.llm.common import documents
@@ -16,12 +15,11 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.token_pieces(documents(spark, sf_dir), VOCABULARY)
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(packing.token_pieces(documents(spark, sf_dir), VOCABULARY, with_ids=False))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

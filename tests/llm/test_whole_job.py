@@ -92,15 +92,17 @@ def test_mix_in_the_order_of_its_slots(spark):
     for i, t, s in rows:
         of[s].append((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i, len(words(t)), i))
     targets = [r.asDict() for r in mixing.source_targets(spark.createDataFrame([(s, x[2]) for s, g in of.items() for x in g], "source string, size long")).orderBy("k").collect()]
-    n_slots, want = int(sum(t["target"] for t in targets) / 256) + 1, []
+    blocks = sum(-(-t["words"] // 256) for t in targets)
+    n_slots, want = blocks + blocks // 64 + 256, []
     for t in targets:
         mine = [slot for slot in range(n_slots) if t["low"] <= slot * mixing.GOLDEN % 2**32 < t["high"]]
+        assert len(mine) >= -(-t["words"] // 256)  # no block of the fixture is late
         upto, start = math.floor(t["target"] + 0.5), 0
         for _, _, n, i in sorted(of[t["source"]]):
             taken = [max(0, min(n, upto - e * t["source_size"] - start)) for e in (0, 1)]
             for e in range(math.floor(sum(taken) / n + 0.5)):
                 block = (start + e * t["source_size"]) // 256
-                want.append((mine[block] if block < len(mine) else n_slots + block, start, (i, n)))
+                want.append((mine[block], start, (i, n)))
             start += n
     assert [x for _, _, x in sorted(want)] == got and len({x[0] for x in want}) > 10
 
