@@ -1,44 +1,48 @@
-"""Removal of long repeated passages by a logarithmic family of suffix indexes.
+"""Removal of long repeated passages by a logarithmic family of suffix arrays.
 
 Every byte that a string of `length` bytes covers goes if that string starts anywhere else too.
 
-An index holds suffixes of its documents in the order of their first SEED bytes (of a
-fingerprint of them, so that equal ones are neighbours). It is sparse: of each string of `length` bytes it has the
+A suffix array holds suffixes of a batch of documents in the order of their bytes, as far as the first SEED
+ones tell them apart. It is sparse: of each string of `length` bytes it has the
 suffix at the string's anchor, the place whose SEED bytes have the least hash, first one first.
 Equal strings have equal anchors, so that two strings are equal only if their anchors'
-suffixes meet. Documents come in batches. A new batch gets its own index, which is merge-scanned
-against itself and all indexes before it; seeds that occur twice are hits. Indexes of equal size are
-merged when the next batch comes, so that there are as many as the logarithm of the batches.
-Indexes are tables of sorted files. A seed's suffixes may stand in many of them: a scan counts seeds within
-each file first and shuffles the counts.
+suffixes meet, as neighbours in one array or in the merge of two. Documents come in batches. A new batch gets its own
+array, a level of the family, in sorted files; it is merge-scanned against itself and all levels before it, and seeds that
+occur twice are hits. Levels of equal size are merged into one that is sorted as a whole when the next batch comes, so that
+there are as many as the logarithm of the batches. A seed's suffixes may stand in many files: a scan counts seeds within
+each file first and shuffles and merges the counts.
 
 Anchors of hits are compared with their surroundings, all strings that have them as anchor.
-Equal surroundings are known by their hash. Those that differ are compared string by
-string, within their seed; seeds with very many different surroundings are compared by a shuffle.
+Equal surroundings are known by their 64-bit hash, within their seed. Those that differ are compared string by
+string, by 64-bit hashes too, within their seed; seeds with very many different surroundings are compared by a shuffle.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, shared_dir
-from tessera.llm.tokens import in_parts
+from tessera.llm.tokens import array_parts
 
 LENGTH = 200
 SEED = 32
-BATCHES = 2
+#: With four batches the first two levels are merged once.
+BATCHES = 4
+#: Bytes that are searched for anchors at once: some ten arrays of eight times as many.
+PART = 1_000_000
 #: Seeds with more different surroundings than that are not compared in one task.
 MANY = 5000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(5).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.uint64((1 << 31) - 1)
-SUFFIXES = "fp long, context long, doc_id long, place int, before int, after int"
+SUFFIXES = "seed binary, context long, doc_id long, place int, before int, after int"
 
 
 def _power(n: int) -> np.uint64:
@@ -63,24 +67,26 @@ def substring_hashes(data: np.ndarray, length: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """(text, place, first, last, seed hash) for each anchor: the strings that start from first to last
-    have their anchor at place; all relative to the text."""
+    """(text, place, first, last, seed) for each anchor: the strings that start from first to last
+    have their anchor at place; all relative to the text. Seeds are rows of bytes."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes)
     data = np.frombuffer(b"".join(texts), np.uint8)
     none = np.zeros(0, np.int64)
     if not (sizes >= length).any():
-        return none, none, none, none, none.view(np.uint64)
+        return none, none, none, none, np.zeros((0, seed), np.uint8)
     h = substring_hashes(data, seed)
     wide = length - seed + 1
     keys = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     padded = np.full(-(-len(keys) // wide) * wide, np.uint64(2**64 - 1))
     padded[: len(keys)] = keys
     blocks = padded.reshape(-1, wide)
+    n = len(data) - length + 1
+    del h, keys
     up = np.minimum.accumulate(blocks, axis=1).ravel()
     down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(data) - length + 1
     at = (np.minimum(down[:n], up[wide - 1 : wide - 1 + n]) & _PLACE).astype(np.int64)
+    del up, down, blocks, padded
     text = np.repeat(np.arange(len(texts)), sizes)[:n]
     starts = np.arange(n)
     valid = np.flatnonzero(starts + length <= ends[text])
@@ -88,7 +94,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, seed: int = SEED) -> tuple
     new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
     last = np.r_[new[1:], len(at)] - 1
     base = (ends - sizes)[text[new]]
-    return text[new], at[new] - base, starts[new] - base, starts[last] - base, h[at[new]]
+    return text[new], at[new] - base, starts[new] - base, starts[last] - base, data[at[new][:, None] + np.arange(seed)]
 
 
 def _context_hash(text: bytes, place: int, first: int, last: int, length: int) -> int:
@@ -97,67 +103,80 @@ def _context_hash(text: bytes, place: int, first: int, last: int, length: int) -
     return xxhash.xxh3_64_intdigest(text[first : last + length], place - first)
 
 
-def suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED) -> DataFrame:
-    """fp, context, doc_id, place, before, after: the anchors of each document; `before` and `after` the
-    distances to the first and last string that has it."""
+def suffixes(docs: DataFrame, length: int = LENGTH, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """seed, context, doc_id, place, before, after: the anchors of each document; `before` and `after` the
+    distances to the first and last string that has it. carry: an int column of docs that goes along."""
+    kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    names = ["seed", "context", "doc_id", "place", "before", "after"] + ([carry] if carry else [])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), object)
-            for start, texts in in_parts(batch.column(1).to_pylist()):
-                raw = [(t or "").encode() for t in texts]
-                text, place, first, last, fp = anchors(raw, length, seed)
+            for start, texts in array_parts(batch.column(1), PART):
+                raw = [(t or "").encode() for t in texts.to_pylist()]
+                text, place, first, last, seeds = anchors(raw, length, seed)
                 context = [_context_hash(raw[t], p, a, b, length) for t, p, a, b in zip(text.tolist(), place.tolist(), first.tolist(), last.tolist())]
-                columns = [fp.view(np.int64), np.array(context, np.uint64).view(np.int64), ids[start + text], place.astype(np.int32), (place - first).astype(np.int32), (last - place).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["fp", "context", "doc_id", "place", "before", "after"])
+                ends = pa.py_buffer(np.arange(0, seed * len(text) + 1, seed, dtype=np.int32))
+                of = pa.array(start + text)
+                columns = [pa.Array.from_buffers(pa.binary(), len(text), [None, ends, pa.py_buffer(seeds.tobytes())]), np.array(context, np.uint64).view(np.int64), batch.column(0).take(of), place.astype(np.int32), (place - first).astype(np.int32), (last - place).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(columns + [batch.column(i).take(of) for i in range(2, batch.num_columns)], kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scan, SUFFIXES)
+    return docs.select(F.col("doc_id").cast("long"), "text", *([F.col(carry).cast("int")] if carry else [])).mapInArrow(scan, SUFFIXES + (f", {carry} int" if carry else ""))
 
 
 class SuffixFamily:
-    """Indexes of sizes that grow geometrically, in batches, as tables in the shared folder."""
+    """Suffix arrays of sizes that grow geometrically, in batches, as tables in the shared folder."""
 
-    def __init__(self, docs: DataFrame, length: int = LENGTH, seed: int = SEED):
-        self.spark, self.length, self.seed = docs.sparkSession, length, seed
+    def __init__(self, spark: SparkSession, length: int = LENGTH, seed: int = SEED):
+        self.spark, self.length, self.seed = spark, length, seed
         self.levels: list[tuple[int, str]] = []  # (batches in it, path)
         self.hits: list[DataFrame] = []
+        self.merges = 0
 
-    def _write(self, rows: DataFrame) -> str:
-        path = f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
-        rows.sortWithinPartitions("fp").write.parquet(path)
-        return path
+    def _new_path(self) -> str:
+        return f"{shared_dir(self.spark)}/suffixes-{uuid.uuid4().hex}"
 
     def _level(self, path: str) -> DataFrame:
         return self.spark.read.schema(SUFFIXES).parquet(path)
 
     def add(self, docs: DataFrame) -> None:
-        """Indexes a batch, scans it against itself and every level, and notes the hits."""
+        """Sorts a batch's suffixes and takes them in."""
+        path = self._new_path()
+        suffixes(docs, self.length, self.seed).sortWithinPartitions("seed").write.parquet(path)
+        self._take_in(path)
+
+    def add_batches(self, docs: DataFrame, batches: int) -> None:
+        """Deals docs out into batches, sorts the suffixes of all of them in one pass and takes in one batch after the other."""
+        path = self._new_path()
+        of = suffixes(docs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), self.length, self.seed, carry="batch")
+        of.sortWithinPartitions("batch", "seed").write.partitionBy("batch").parquet(path)
+        there = {r["batch"] for r in self.spark.read.schema(SUFFIXES + ", batch int").parquet(path).select("batch").distinct().collect()}
+        for b in sorted(there):
+            self._take_in(f"{path}/batch={b}")
+
+    def _take_in(self, path: str) -> None:
+        """Merges levels of equal size, scans the new one against itself and every level, and notes the hits."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, a), (m, b) = self.levels.pop(), self.levels.pop()
             # In ranges of seed and document, so that a seed that many documents have is in many ranges.
-            both = self._level(a).unionByName(self._level(b)).repartitionByRange("fp", "doc_id", "place")
-            self.levels.append((n + m, self._write(both)))
+            both = self._level(a).unionByName(self._level(b)).repartitionByRange("seed", "doc_id", "place").sortWithinPartitions("seed", "doc_id", "place")
+            both.write.parquet(merged := self._new_path())
+            self.levels.append((n + m, merged))
+            self.merges += 1
             for old in (a, b):
                 self._drop(old)
-        path = self._write(suffixes(docs, self.length, self.seed))
-        new = self._level(path).groupBy("fp").agg(F.count("*").alias("n"))
-        hits = new.where("n > 1").select("fp")
+        new = self._level(path).groupBy("seed").agg(F.count("*").alias("n"))
+        hits = new.where("n > 1").select("seed")
         for _, level in self.levels:
-            hits = hits.unionByName(new.select("fp").join(self._level(level).select("fp").distinct(), "fp", "left_semi"))
+            hits = hits.unionByName(new.select("seed").join(self._level(level).select("seed").distinct().hint("merge"), "seed", "left_semi"))
         self.hits.append(materialise(hits, "hits"))
         self.levels.append((1, path))
 
     def found(self) -> DataFrame:
-        """The suffixes of all levels whose seeds were hit."""
-        hits = self.hits[0]
-        for h in self.hits[1:]:
-            hits = hits.unionByName(h)
-        hits = materialise(hits.distinct(), "hits")
-        out = [self._level(level).join(hits, "fp", "left_semi") for _, level in self.levels]
-        all_ = out[0]
-        for x in out[1:]:
-            all_ = all_.unionByName(x)
-        return all_
+        """fp (a hash of the seed), context, doc_id, place, before, after: the suffixes of all levels whose seeds were hit."""
+        empty = self.spark.createDataFrame([], "seed binary")
+        hits = materialise(reduce(DataFrame.unionByName, self.hits, empty).distinct(), "hits")
+        of = reduce(DataFrame.unionByName, [self._level(level).join(hits, "seed", "left_semi") for _, level in self.levels], self.spark.createDataFrame([], SUFFIXES))
+        return of.select(F.xxhash64("seed").alias("fp"), *of.columns[1:])
 
     def _drop(self, path: str) -> None:
         jvm = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -177,8 +196,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
         c = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for start, texts in in_parts(batch.column(1).to_pylist()):
-                raw = [(t or "").encode() for t in texts]
+            for start, texts in array_parts(batch.column(1), PART):
+                raw = [(t or "").encode() for t in texts.to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), pa.array([c.compress(x) for x in raw], pa.binary()), pa.array(np.array([xxhash.xxh3_64_intdigest(x) for x in raw], np.uint64).view(np.int64))], names=["doc_id", "packed", "key"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "doc_id long, packed binary, key long")
@@ -304,7 +323,8 @@ def _removed(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, batches: int = BATCHES, many: int = MANY) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs of bytes, end exclusive), kept (the bytes that remain): a
-    row for each row of docs (doc_id, text). A null text is empty. An empty table gives an empty result.
+    row for each row of docs (doc_id, text); other columns are ignored. A null text is empty. An empty table gives an empty
+    result. Very long texts are searched whole, one at a time.
 
     Rows that repeat are documents of their own, so that all that is long in them goes. Ids that are null or
     stand for different texts are numbered anew first."""
@@ -315,9 +335,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bat
         out = without_repeats(rows.select(F.col("_id").alias("doc_id"), "text"), length, seed, batches, many).withColumnRenamed("doc_id", "_id")
         return out.join(rows.select("_id", "doc_id"), "_id").select("doc_id", "n_bytes", "spans", "kept")
 
-    family = SuffixFamily(rows, length, seed)
-    for b in range(batches):
-        family.add(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
+    family = SuffixFamily(rows.sparkSession, length, seed)
+    family.add_batches(rows, batches)
     found = materialise(family.found(), "found")
     family.drop()
     whole = found.groupBy("fp", "context").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("doc_id", "place", "before", "after")])
