@@ -22,25 +22,45 @@ from tessera.llm.tokens import WordEncoder, array_parts, ended
 END = 49407
 BLOCK = 1 << 16
 DTYPE = "<u2"
+#: Bytes of a file that one task reads.
+WHOLE = 1 << 26
 
 BLOCKS = "file string, block long, tokens binary"
 
 
-def file_blocks(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = DTYPE) -> DataFrame:
-    """file, block, tokens: the flat token files under path, in blocks. A file is read whole by one
-    task, so that it must fit in Spark's largest value, 2 GB."""
+def file_blocks(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = DTYPE, whole: int = WHOLE) -> DataFrame:
+    """file, block, tokens: the flat token files under path, in blocks. Files of up to `whole` bytes are read by Spark, one
+    by a task. Longer ones are dealt out in ranges of that size, and a task reads its range by itself, through the file
+    systems that Arrow knows (local and shared folders, object stores, HDFS), so that a file may have any size."""
     import numpy as np
 
     width = np.dtype(dtype).itemsize * block
+    wide = max(1, whole // width) * width
+
+    def blocks(file: str, first: int, raw: pa.Buffer) -> Iterator[pa.RecordBatch]:
+        for k in range(-(-raw.size // width)):
+            yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([first + k], pa.int64()), pa.array([raw[k * width : (k + 1) * width].to_pybytes()])], names=["file", "block", "tokens"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = content.as_buffer()
-                for k in range(-(-raw.size // width)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([k], pa.int64()), pa.array([raw[k * width : (k + 1) * width].to_pybytes()])], names=["file", "block", "tokens"])
+                yield from blocks(file, 0, content.as_buffer())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+
+        from pyarrow import fs
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, BLOCKS)
+        for batch in batches:
+            for file, offset, length in zip(*(c.to_pylist() for c in batch.columns)):
+                system, name = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
+                with system.open_input_file(name) as f:
+                    yield from blocks(file, offset // width, pa.py_buffer(f.read_at(min(wide, length - offset), offset)))
+
+    files = spark.read.format("binaryFile").load(path)
+    small = files.where(F.col("length") <= whole).select("path", "content").mapInArrow(cut, BLOCKS)
+    ranges = files.where(F.col("length") > whole).select("path", "length").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(wide).cast("long"))).alias("offset"), "length")
+    return small.unionByName(ranges.repartition("path", "offset").mapInArrow(read, BLOCKS))
 
 
 def flat_tokens(docs: DataFrame, vocabulary: str, end: int = END, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -101,15 +121,20 @@ def count_tokens(blocks: DataFrame, end: int = END, dtype: str = DTYPE) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) - 1 for x in lengths], pa.int64()), pa.array(lengths, schema.types[3])], schema=schema)
 
     found = blocks.select("file", "block", "tokens").mapInArrow(scan, "file string, block long, separators long, lengths array<long>")
-    # Blocks of one file: its size over the block size, and a few bytes each beside the lengths.
-    found = found.withColumn("before", F.sum("separators").over(W.partitionBy("file").orderBy("block")) - F.col("separators"))
-    pieces = found.select("file", "before", "separators", F.posexplode("lengths").alias("k", "n"))
+    found = materialise(found, "separators")
+    # A running sum over the counts alone: a row of three numbers for each block of a file.
+    before = found.select("file", "block", (F.sum("separators").over(W.partitionBy("file").orderBy("block")) - F.col("separators")).alias("before"))
+    pieces = found.join(before, ["file", "block"]).select("file", "before", "separators", F.posexplode("lengths").alias("k", "n"))
     pieces = pieces.select("file", (F.col("before") + F.col("k")).alias("ordinal"), "n", (F.col("k") < F.col("separators")).alias("ends"))
     out = pieces.groupBy("file", "ordinal").agg(F.sum("n").alias("n_tokens"), F.max("ends").alias("ends"))
     return out.where("ends or n_tokens > 0").select("file", "ordinal", "n_tokens")
 
 
 def document_tokens(docs: DataFrame, vocabulary: str, end: int = END, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_tokens: a row for each row of docs (doc_id, text), through flat token files."""
+    """doc_id, n_tokens: a row for each row of docs (doc_id, text), through flat token files. The strings of special tokens
+    are ordinary text here, so that the end id stands for ends alone.
+
+    A null or empty text has no tokens. Rows that repeat are each counted, very long texts whole, in as many blocks as they
+    fill. Other columns are ignored. An empty table gives an empty result."""
     blocks, where = flat_tokens(docs, vocabulary, end, block)
     return where.join(count_tokens(blocks, end), ["file", "ordinal"]).select("doc_id", "n_tokens")
