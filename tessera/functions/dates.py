@@ -23,5 +23,29 @@ def months_before(period_end: Column, months: int) -> Column:
     return F.last_day(F.add_months(period_end, -months))
 
 
-def local_date(moment: Column, zone: str = "Asia/Kolkata") -> Column:
-    return F.from_utc_timestamp(moment, zone).cast("date")
+def last_quarters(today: Column, count: int, due: int) -> Column:
+    """The last `count` quarter ends that are at least `due` days before today, newest first."""
+    end = F.last_day(F.add_months(F.trunc(F.date_sub(today, due), "quarter"), 2))
+    last = F.when(end <= F.date_sub(today, due), end).otherwise(months_before(end, 3))
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.last_day(F.add_months(last, i * -3)))
+
+
+def window_quarter(day: Column, days: int) -> Column:
+    """The quarter end at most `days` before the day, and not on it; null if the last one is longer ago."""
+    end = F.date_sub(F.trunc(day, "quarter"), 1).cast("date")
+    return F.when(F.datediff(day, end) <= days, end)
+
+
+def filed_on(board: Column, known: Column, period_end: Column, deadline: int = 45) -> tuple[Column, Column]:
+    """When results were filed, and whether that is only the deadline."""
+    stated = F.coalesce(board, known)
+    return F.coalesce(stated, F.date_add(period_end, deadline)), stated.isNull()
+
+
+def fetch_start(last: Column, today: Column, years: int = 5) -> Column:
+    return F.coalesce(last, F.date_sub(today, 365 * years))
+
+
+def is_filler(open_: Column, high: Column, low: Column, close: Column, volume: Column) -> Column:
+    """A bar of one price without volume."""
+    return (open_ == high) & (high == low) & (low == close) & (F.coalesce(volume, F.lit(0)) == 0)
