@@ -80,3 +80,15 @@ def confirmed_crosses(spreads: DataFrame, gap: float, side: int = 1) -> DataFram
     s = s.withColumn("run", F.sum(F.when(F.col("v") <= 0, 1).otherwise(0)).over(upto)).withColumn("armed", F.max(F.when(F.col("crossed"), F.col("date"))).over(W.partitionBy("symbol", "run").orderBy("date").rowsBetween(W.unboundedPreceding, 0)))
     hit = s.where((F.col("v") >= gap) & F.col("armed").isNotNull())
     return hit.groupBy("symbol", "armed").agg(F.min("date").alias("date")).select("symbol", "date")
+
+
+def normalised_bars(raw: DataFrame, zone: str = "Asia/Kolkata") -> DataFrame:
+    """Bars (symbol, date, open, high, low, close, volume) of a provider's rows (symbol, moment, prices, volume, arrival): the date is the exchange's; rows
+    without any price, and flat ones without volume, which stand for holidays, go; of repeated dates the last arrival stays; no volume is 0."""
+    from tessera.functions.dates import is_filler
+
+    prices = [F.col(c) for c in ("open", "high", "low", "close")]
+    of = raw.withColumn("date", F.from_utc_timestamp("moment", zone).cast("date")).where(F.coalesce(*prices).isNotNull())
+    of = of.where(~F.coalesce(is_filler(*prices, F.col("volume")), F.lit(False)))
+    last = of.groupBy("symbol", "date").agg(F.max_by(F.struct("open", "high", "low", "close", "volume"), "arrival").alias("b"))
+    return last.select("symbol", "date", "b.open", "b.high", "b.low", "b.close", F.coalesce("b.volume", F.lit(0)).alias("volume"))
