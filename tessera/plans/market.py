@@ -27,13 +27,12 @@ def high_water_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def adjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices before an ex-date times the factors of all later actions; splits and bonuses divide the volume."""
-    actions = spark.sql(f"SELECT * FROM {ACTIONS} AS t(s, ex_date, kind, factor)")
-    b = bars(spark, sf_dir)
-    later = b.join(F.broadcast(actions), (b["symbol"] == actions["s"]) & (actions["ex_date"] > b["date"]))
-    by = later.groupBy("symbol", "date").agg(F.array_sort(F.collect_list(F.struct("ex_date", "factor", "kind"))).alias("a"))
-    product = lambda arr: F.aggregate(arr, F.lit(1.0), lambda acc, x: acc * x["factor"])
-    by = by.select("symbol", "date", product("a").alias("f"), product(F.filter("a", lambda x: x["kind"].isin("split", "bonus"))).alias("vf"))
-    out = b.join(by, ["symbol", "date"], "left")
+    actions = spark.sql(f"SELECT * FROM {ACTIONS} AS t(symbol, ex_date, kind, factor)")
+    # A symbol's actions are a few in years: bars look up one array and do not move.
+    by = actions.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ex_date", "factor", "kind"))).alias("a"))
+    out = bars(spark, sf_dir).join(by, "symbol", "left").withColumn("later", F.filter("a", lambda x: x["ex_date"] > F.col("date")))
+    product = lambda arr: F.when(F.size(arr) > 0, F.aggregate(arr, F.lit(1.0), lambda acc, x: acc * x["factor"]))
+    out = out.withColumn("f", product(F.col("later"))).withColumn("vf", product(F.filter("later", lambda x: x["kind"].isin("split", "bonus"))))
     f = F.coalesce("f", F.lit(1.0))
     return out.select("symbol", "date", *[(F.col(c) * f).alias(c) for c in ("open", "high", "low", "close")], F.bround(F.col("volume") / F.coalesce("vf", F.lit(1.0))).cast("long").alias("volume"))
 
@@ -135,6 +134,7 @@ def bootstrap_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
             each = max(1, 2_000_000 // n)
             means = np.concatenate([x[rng.integers(0, n, (min(each, 10_000 - k), n))].mean(axis=1) for k in range(0, 10_000, each)])
             low, high = np.percentile(means, [2.5, 97.5])
+        # The least number of events, and the verdicts' wordings.
         verdict = "too few events to judge" if n < 30 else "beats baseline (CI > 0)" if low > 0 else "worse than baseline (CI < 0)" if high < 0 else "no clear difference"
         return pd.DataFrame({"signal": rows["signal"][:1], "horizon": rows["horizon"][:1], "n": [n], "ci_low": [low], "ci_high": [high], "verdict": [verdict]})
 

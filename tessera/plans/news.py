@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators.ranking import ranked
 from tessera.sources.tables import table
 
 CLOSE = "15:30:00"
@@ -80,7 +81,7 @@ def by_source_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def interleaved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages round-robin over their hosts."""
     p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", "^[A-Za-z]+://([^/?#]*)", 1)).alias("host"))
-    return p.withColumn("round", F.row_number().over(W.partitionBy("host").orderBy("page_id")))
+    return ranked(p, "host", "page_id", "round")
 
 
 def page_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts with their kind: too short, or an opinion; the first sentences of those."""
+    """Posts with their number of words and their kind: too short, or an opinion."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
     n = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
     return c.select("conv_id", "turn", n.alias("n_words"), F.when(n < 6, "short").otherwise("opinion").alias("kind"))
