@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule is a Boolean column over measures of the text. The time a rule takes and the share of
-rows it rejects are estimated on a sample; the rules then stand in one CASE, by rejections
-per second, so that a row stops at the first rule that rejects it. The order decides only what
+Every rule is a Boolean over measures of the text. The time a rule takes and the share of
+rows it rejects are estimated on a sample; the rules then stand by rejections per second. As a filter the cascade is a
+filter for each rule, with the measures that it needs, and no rule before, counted just before it: a row
+that a rule rejects never comes to the measures of those behind it. The order decides only what
 is evaluated: the verdict is that of all rules together.
 """
 
 from __future__ import annotations
 
+import re
 import time
 from dataclasses import dataclass
 
@@ -18,15 +20,20 @@ from tessera.llm.common import text_or_empty, without_blanks, words_of
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Low bits of a window's key that hold its place; the others hold a hash.
+PLACE_BITS = 22
 
 
 @dataclass(frozen=True)
 class Rule:
-    """reject: SQL over the measures, true for a row that goes (null counts as false)."""
+    """reject: SQL over MEASURES, true for a row that goes (null counts as false)."""
 
     name: str
     reject: str
 
+    def measures(self) -> list[str]:
+        return [m for m in MEASURES if re.search(rf"\b{m}\b", self.reject)]
+
 
 #: base_failed of the contract is few_words or repeated_words.
 RULES = (
@@ -39,70 +46,125 @@ RULES = (
 )
 
 
-def _count_of(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def _with_measures(docs: DataFrame) -> DataFrame:
-    """Adds _words, _lines, _windows and from them the measures that RULES name, in front of
-    all columns of docs, which come in one struct so that no name can clash."""
-    split = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("_text")).select(
-        "_row", "_text", words_of(F.col("_text")).alias("_words"), F.filter(F.split("_text", "\n"), lambda x: without_blanks(x) != "").alias("_lines")
-    )
-    # Windows of three words in the order of their words; equal ones are neighbours. No word holds
-    # a blank, so that a window's words can be joined with one.
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.struct(F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2)).alias("w"), i.alias("i"))))
-    split = split.withColumn("_windows", F.when(F.size("_words") >= 3, windows).otherwise(F.array().cast("array<struct<w:string,i:int>>")))
-    again = F.filter("_windows", lambda x, k: (F.get("_windows", k - 1)["w"] == x["w"]) | (F.get("_windows", k + 1)["w"] == x["w"]))
-    split = split.withColumn("_again", F.transform(again, lambda x: x["i"]))
-    covered = F.array_distinct(F.flatten(F.transform("_again", lambda i: F.array(i, i + 1, i + 2))))
-    text = F.col("_text")
-    return split.select(
-        "_row",
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(without_blanks(text)).cast("long").alias("word_chars"),
-        _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.size(covered).cast("long").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        _count_of(text, UPPER).cast("long").alias("n_upper"),
-    )
+def _count_of(chars: str) -> Column:
+    return F.length("_text") - F.length(F.translate("_text", chars, ""))
+
+
+def _three(i: Column) -> Column:
+    """The window at i. No word holds a blank, so that its words can be joined with one."""
+    return F.concat_ws(" ", F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))
+
+
+def _covered(places: Column) -> Column:
+    return F.size(F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i, i + 1, i + 2)))))
+
+
+def _repeat_words() -> Column:
+    """Words in 3-word windows that are in the text twice or more.
+
+    Windows are sorted by key, a hash with the window's place in the low bits; neighbours of equal hash are compared by
+    their words. If any of them differ, or the text is so long that places do not fit, windows are sorted by their
+    words."""
+    low = (1 << PLACE_BITS) - 1
+    places = F.sequence(F.lit(0), F.size("_words") - 3)
+    place, same = lambda k: k.bitwiseAND(F.lit(low)).cast("int"), lambda x, y: _hash(x) == _hash(y)
+    differ = F.exists(F.zip_with("_again", F.slice("_again", F.lit(2), F.size("_again")), lambda x, y: same(x, y) & (_three(place(x)) != _three(place(y)))), lambda b: b)
+    by_words = F.sort_array(F.transform(places, lambda i: F.struct(_three(i).alias("w"), i.alias("i"))))
+    slow = F.transform(F.filter(by_words, lambda x, k: (F.get(by_words, k - 1)["w"] == x["w"]) | (F.get(by_words, k + 1)["w"] == x["w"])), lambda x: x["i"])
+    exact = (F.size("_words") <= low) & ~F.coalesce(differ, F.lit(False))
+    return F.when(F.size("_again") == 0, 0).when(exact, _covered(F.transform("_again", place))).otherwise(_covered(slow))
+
+
+def _hash(key: Column) -> Column:
+    return F.shiftrightunsigned(key, PLACE_BITS)
+
+
+def _again() -> Column:
+    """Keys whose hash another one has."""
+    none = F.size(F.array_distinct(F.transform("_keys", _hash))) == F.size("_keys")
+    return F.when(none, F.array().cast("array<bigint>")).otherwise(F.filter("_keys", lambda x, k: F.coalesce((_hash(x) == _hash(F.get("_keys", k - 1))) | (_hash(x) == _hash(F.get("_keys", k + 1))), F.lit(False))))
+
+
+def _keys() -> Column:
+    hashes = F.transform("_words", lambda w: F.xxhash64(w))
+    of = lambda h: F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda i: F.coalesce(F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2)).bitwiseAND(F.lit(-(1 << PLACE_BITS))).bitwiseOR(i.cast("long")), F.lit(0)))
+    # The hashes are made once and held in an array of one element.
+    made = F.get(F.transform(F.array(hashes), of), F.lit(0))
+    return F.when(F.size("_words") >= 3, F.sort_array(made)).otherwise(F.array().cast("array<bigint>"))
+
+
+#: Columns that measures share, with what they need.
+SHARED = {
+    "_words": ((), lambda: words_of(F.col("_text"))),
+    "_lines": ((), lambda: F.filter(F.split("_text", "\n"), lambda x: without_blanks(x) != "")),
+    "_keys": (("_words",), _keys),
+    "_again": (("_words", "_keys"), _again),
+}
+MEASURES = {
+    "n_words": (("_words",), lambda: F.size("_words")),
+    "word_chars": ((), lambda: F.length(without_blanks(F.col("_text")))),
+    "n_symbols": ((), lambda: _count_of(SYMBOLS)),
+    "n_dup_lines": (("_lines",), lambda: F.size("_lines") - F.size(F.array_distinct("_lines"))),
+    "n_repeat_words": (("_words", "_keys", "_again"), _repeat_words),
+    "n_lines": (("_lines",), lambda: F.size("_lines")),
+    "n_upper": ((), lambda: _count_of(UPPER)),
+}
+
+
+def _measured(df: DataFrame, names: list[str]) -> DataFrame:
+    """df (_text and measures so far) with the measures of names."""
+    for name in (x for n in names for x in (*MEASURES[n][0], n)):
+        if name not in df.columns:
+            df = df.withColumn(name, SHARED[name][1]() if name in SHARED else MEASURES[name][1]().cast("long"))
+    return df
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The columns of docs in one struct, so that no name can clash, and the text."""
+    return docs.select(F.struct("*").alias("_row"), text_or_empty().alias("_text"))
 
 
 def order_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512, sample_chars: int = 100_000) -> list[Rule]:
     """The rules by rejections per second on a sample of at most sample_rows texts of at most
-    sample_chars each. Each rule is timed alone, so that its cost is that of the measures it
+    sample_chars each, out of a random share of all rows. Each rule is timed alone, so that its cost is that of the measures it
     needs. Without a row to measure, the rules keep their order."""
     spark = docs.sparkSession
-    rows = docs.select("text").where(F.length("text") <= sample_chars).take(sample_rows)
+    texts = docs.select("text")
+    rows = texts.sample(min(1.0, 32 * sample_rows / max(1, texts.count())), seed=8).where(F.length("text") <= sample_chars).take(sample_rows)
     if not rows:
         return list(rules)
-    sample = spark.createDataFrame(rows, "text string").repartition(2)
+    sample = _rows(spark.createDataFrame(rows, "text string").repartition(2))
     worth = {}
     for rule in rules:
         began = time.perf_counter()
-        rejected = _with_measures(sample).select(F.sum(F.expr(f"int({rule.reject})"))).first()[0] or 0
+        rejected = _measured(sample, rule.measures()).select(F.sum(F.expr(f"int({rule.reject})"))).first()[0] or 0
         worth[rule.name] = rejected / len(rows) / (time.perf_counter() - began)
     return sorted(rules, key=lambda r: (-worth[r.name], r.name))
 
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The columns of docs in a struct _row, the measures, base_failed, rejected_by (the first rule
-    of the cascade that rejects the row, else null) and kept.
+    """The columns of docs in a struct _row, all MEASURES, base_failed, rejected_by (the first rule
+    of the cascade that rejects the row, else null) and kept. That every row has every measure is its point; keep_good
+    counts only what the cascade needs.
 
-    A null or empty text has no words and is rejected. Rows that repeat are each judged. An
-    empty table gives an empty result."""
+    A null or empty text has no words and is rejected. Rows that repeat are each judged. Very long texts are measured
+    whole. An empty table gives an empty result."""
     verdict = F.lit(None).cast("string")
     for rule in reversed(order_rules(docs, rules)):
         verdict = F.when(F.expr(rule.reject), F.lit(rule.name)).otherwise(verdict)
-    # Spark does not push a filter below a column that is not deterministic: `_at` keeps a filter on the
-    # verdict from being rewritten in terms of the text, every measure once more for each rule.
-    out = _with_measures(docs).withColumn("_at", F.monotonically_increasing_id()).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
-    return out.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull() & ~F.col("base_failed"))
-
-
-def keep_good(docs: DataFrame) -> DataFrame:
-    return judged(docs).where("kept and _at >= 0").select("_row.*")
+    out = _measured(_rows(docs), list(MEASURES)).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")).withColumn("rejected_by", verdict)
+    return out.select("_row", *MEASURES, "base_failed", "rejected_by", (F.col("rejected_by").isNull() & ~F.col("base_failed")).alias("kept"))
+
+
+def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs that no rule rejects, with their columns."""
+    out = _rows(docs)
+    for k, rule in enumerate(order_rules(docs, rules)):
+        # Spark does not push a filter below a column that is not deterministic: each rule's measures are counted
+        # for the rows that the filters before have left.
+        out = _measured(out, rule.measures()).withColumn(f"_at{k}", F.monotonically_increasing_id())
+        out = out.where(~F.coalesce(F.expr(rule.reject), F.lit(False)) & (F.col(f"_at{k}") >= 0))
+    return out.select("_row.*")
 
 
 ORACLE = r"""
