@@ -55,22 +55,40 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d)) % 10 == 0
 
 
-def _spans(text: str, pattern: str, kind: int, good: Callable[[Column], Column]) -> Column:
-    """array<struct<start, kind, end, m>> of the matches m that are good. What lies between
-    the matches gives the positions."""
+def _spans(text: str, pattern: str, kind: int, good: Callable[[Column], Column], around: bool = False) -> Column:
+    """array<struct<start, kind, end, m>> of the matches m that are good, with `around` also before and after: the last AROUND
+    characters between the match and the one before it, and the first ones behind it. What lies between
+    the matches gives the positions: runs of the root of their number are summed first, then within each run from its
+    beginning, so that a text of n matches costs n times the root of n and not n squared."""
     m = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(F.col(text), pattern, -1)
-    pairs = F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("g"), x.alias("x")))
-    kind_type = "array<struct<start:int,kind:int,end:int,m:string>>"
-    none = F.struct(F.lit(0).alias("at"), F.array().cast(kind_type).alias("got"))
+    pairs = F.zip_with(gaps, m, lambda g, x: F.struct(F.length(g).alias("g"), x.alias("x"), *[F.right(g, F.lit(AROUND)).alias("b")] * around))
+    kind_type = "array<struct<start:int,kind:int,end:int,m:string" + ",before:string,after:string" * around + ">>"
+    if around:
+        next_ = F.transform(F.slice(gaps, F.lit(2), F.greatest(F.lit(1), F.size(gaps))), lambda g: F.left(g, F.lit(4)))
+        pairs = F.zip_with(pairs, next_, lambda p, a: p.withField("a", a))
+    width = lambda p: p["g"] + F.coalesce(F.length(p["x"]), F.lit(0))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["g"]
-        end = start + F.coalesce(F.length(p["x"]), F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["x"].alias("m"))
-        return F.struct(end.alias("at"), F.when(p["x"].isNotNull() & good(p["x"]), F.concat(a["got"], F.array(one))).otherwise(a["got"]).alias("got"))
+    def in_run(run: Column, at: Column) -> Column:
+        none = F.struct(at.alias("at"), F.array().cast(kind_type).alias("got"))
 
-    return F.when(F.col(text).rlike(pattern), F.aggregate(pairs, none, step, lambda a: a["got"])).otherwise(F.array().cast(kind_type))
+        def step(a: Column, p: Column) -> Column:
+            start, end = a["at"] + p["g"], a["at"] + width(p)
+            one = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), p["x"].alias("m"), *[p["b"].alias("before"), p["a"].alias("after")] * around)
+            return F.struct(end.alias("at"), F.when(p["x"].isNotNull() & good(p["x"]), F.concat(a["got"], F.array(one))).otherwise(a["got"]).alias("got"))
+
+        return F.aggregate(run, none, step, lambda a: a["got"])
+
+    def of(pairs: Column) -> Column:
+        n = F.ceil(F.sqrt(F.size(pairs))).cast("int")
+        runs = F.transform(F.sequence(F.lit(1), F.size(pairs), n), lambda i: F.slice(pairs, i, n))
+        begin = F.array(F.lit(0)).cast("array<int>")
+        upto = F.aggregate(runs, begin, lambda a, run: F.concat(a, F.array(F.element_at(a, -1) + F.aggregate(run, F.lit(0), lambda s, p: s + width(p)))))
+        return F.flatten(F.zip_with(runs, F.slice(upto, F.lit(1), F.size(runs)), in_run))
+
+    # The pairs are made once and held in an array of one element.
+    made = F.get(F.transform(F.array(pairs), of), F.lit(0))
+    return F.when(F.col(text).rlike(pattern), made).otherwise(F.array().cast(kind_type))
 
 
 def _base(text: str) -> Column:
@@ -92,8 +110,7 @@ def _candidates(text: str) -> Column:
 
     def judge(name: str) -> Callable[[Column], Column]:
         def judged(c: Column) -> Column:
-            before = F.substring(F.col(text), F.greatest(F.lit(1), c["start"] + 1 - AROUND), F.least(F.lit(AROUND), c["start"]))
-            after = F.substring(F.col(text), c["end"] + 1, F.lit(4))
+            before, after = c["before"], c["after"]
             turns = F.length(F.regexp_replace(F.regexp_replace(F.regexp_replace(c["m"], "[0-9]+", "0"), "[A-Za-z]+", "a"), "[^0a]", ""))
             announced = F.lower(before).rlike(GAZETTEER[name])
             votes = F.array(
@@ -109,7 +126,7 @@ def _candidates(text: str) -> Column:
 
         return judged
 
-    return F.concat(*[F.transform(_spans(text, pattern, len(KINDS) + k, lambda m: F.lit(True)), judge(name)) for k, (name, pattern) in enumerate(CANDIDATES.items())])
+    return F.concat(*[F.transform(_spans(text, pattern, len(KINDS) + k, lambda m: F.lit(True), around=True), judge(name)) for k, (name, pattern) in enumerate(CANDIDATES.items())])
 
 
 def reliabilities(counts: dict[tuple[int, ...], int], rounds: int = 30) -> dict[tuple[int, ...], float]:
@@ -155,14 +172,21 @@ def find(docs: DataFrame) -> DataFrame:
 
     kind numbers KINDS, then CANDIDATES. `more` are the candidates that the classifier takes and that
     overlap no base span. A null or empty text has no spans; rows that repeat are each
-    searched; an empty table gives an empty result."""
+    searched; very long texts are searched whole; an empty table gives an empty result. Other columns are ignored."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     # Spans only: the table holds no text.
     found = rows.select("doc_id", F.transform(_base("text"), lambda x: F.struct(x["start"], x["kind"], x["end"])).alias("base"), _candidates("text").alias("candidates"))
     found = materialise(found, "spans")
     prior, weights = span_classifier(found)
     score = lambda c: F.aggregate(c["features"], F.lit(prior), lambda a, f: a + F.element_at(F.lit(weights), f + 1))
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    # Base spans by start, in runs of the root of their number with the bounds of each: a candidate looks into those that it meets.
+    n = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("base"))).cast("int"))
+    cut = lambda base: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(base)), n), lambda i: F.slice(base, i, n))
+    bounds = lambda r: F.struct(F.get(r, F.lit(0))["start"].alias("low"), F.array_max(F.transform(r, lambda b: b["end"])).alias("high"), r.alias("spans"))
+    runs = F.transform(F.filter(cut(F.sort_array("base")), lambda r: F.size(r) > 0), bounds)
+    meets = lambda c, low, high: (low < c["end"]) & (c["start"] < high)
+    # The runs are made once for a text and held in an array of one element: by name they would be made for each candidate.
+    free = F.get(F.transform(F.array(runs), lambda runs: F.filter("candidates", lambda c: ~F.exists(runs, lambda r: meets(c, r["low"], r["high"]) & F.exists(r["spans"], lambda b: meets(c, b["start"], b["end"]))))), F.lit(0))
     more = F.transform(F.filter(free, lambda c: score(c) > 0), lambda c: F.struct(c["start"], c["kind"], c["end"]))
     return found.select("doc_id", F.sort_array("base").alias("base"), F.sort_array(more).alias("more"))
 
