@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's likelihood
 is the sum over all its segmentations into pieces, by the forward algorithm; a text's is the
 product over its words. The probabilities are fitted by expectation maximisation, which counts each
-piece in each segmentation by that segmentation's share.
+piece in each segmentation by that segmentation's share. Sums are kept as logarithms, each step's relative to the
+step before, so that no word is too long for them.
 """
 
 from __future__ import annotations
@@ -20,18 +21,19 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialise, text_or_empty
 from tessera.llm.tokens import in_parts
 
-#: Documents that are fitted on, at most about so many.
-SAMPLE = 2000
+#: Documents of each language that are fitted on, at most about so many.
+SAMPLE = 1000
 ROUNDS = 3
-LONGEST = 40
 UNKNOWN = 1e-9
+#: Spans times languages that are looked at together.
+AT_ONCE = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 @dataclass
 class Pieces:
-    """The vocabulary as sorted hashes of its pieces; ids are positions in that order, len(hashes)
-    stands for no piece and len(hashes) + 1 for an unknown character."""
+    """The vocabulary as sorted hashes of its pieces; ids are positions in that order, and len(hashes) + 1 stands
+    for an unknown character."""
 
     hashes: np.ndarray
     longest: int
@@ -41,18 +43,23 @@ class Pieces:
         hashes = np.unique(np.array([_prefixes(_codes([s]))[0, -1] for s in strings], np.uint64))
         return Pieces(hashes, max(map(len, strings)))
 
-    def spans(self, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(from, to, ids) for each span of words of one length, in the order of `to`."""
+    def steps(self, words: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(to, rows, begins, ids) of the spans of words of one length that are pieces or single characters, for each
+        place where spans end, by row."""
         prefixes = _prefixes(_codes(words))
         n = prefixes.shape[1] - 1
-        powers = [np.uint64(1)]
-        for _ in range(n):
-            powers.append(powers[-1] * _BASE)
+        powers = np.ones(self.longest + 1, np.uint64)
+        for i in range(self.longest):
+            powers[i + 1] = powers[i] * _BASE
         for to in range(1, n + 1):
-            for begin in range(max(0, to - self.longest), to):
-                h = prefixes[:, to] - prefixes[:, begin] * powers[to - begin]
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                yield begin, to, np.where(self.hashes[at] == h, at, len(self.hashes) + (begin == to - 1))
+            begins = np.arange(max(0, to - self.longest), to)
+            h = prefixes[:, to, None] - prefixes[:, begins] * powers[to - begins]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            known = self.hashes[at] == h
+            at[~known] = len(self.hashes) + 1
+            known[:, -1] = True
+            rows, k = np.nonzero(known)
+            yield to, rows, begins[k], at[rows, k]
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -75,25 +82,30 @@ def vocabulary_pieces(model_file: str) -> list[str]:
     return [p.id_to_piece(i) for i in range(p.get_piece_size()) if not (p.is_control(i) or p.is_unknown(i) or p.is_byte(i))]
 
 
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
+def _by_length(words: list[str], width: int) -> Iterator[tuple[np.ndarray, list[str]]]:
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths):
         at = np.flatnonzero(lengths == n)
-        for start in range(0, len(at), 20_000):
-            part = at[start : start + 20_000]
+        rows = max(1, AT_ONCE // (width * min(int(n) + 1, 64)))
+        for start in range(0, len(at), rows):
+            part = at[start : start + rows]
             yield part, [words[i] for i in part]
 
 
+def _sums(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
+
+
 def likelihoods(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Log-likelihood of each word in each language; table: (ids, languages)."""
     out = np.empty((len(words), table.shape[1]))
     with np.errstate(over="ignore"):
-        for at, same in _by_length(words):
-            alpha = [np.ones((len(same), table.shape[1]))] + [np.zeros((len(same), table.shape[1])) for _ in same[0]]
-            for begin, to, ids in pieces.spans(same):
-                hit = np.flatnonzero(ids != len(pieces.hashes))
-                alpha[to][hit] += alpha[begin][hit] * table[ids[hit]]
-            out[at] = np.log(alpha[-1])
+        for at, same in _by_length(words, table.shape[1]):
+            alpha = np.zeros((len(same[0]) + 1, len(same), table.shape[1]))
+            for to, rows, begins, ids in pieces.steps(same):
+                last = alpha[to - 1]
+                alpha[to] = last + np.log(_sums(rows, np.exp(alpha[begins, rows] - last[rows]) * table[ids], len(same)))
+            out[at] = alpha[-1]
     return out
 
 
@@ -101,27 +113,26 @@ def expected_counts(pieces: Pieces, table: np.ndarray, words: list[str], languag
     """How often each piece is expected in each language's words."""
     counts = np.zeros_like(table)
     with np.errstate(over="ignore"):
-        for at, same in _by_length(words):
-            of, spans = language[at], list(pieces.spans(same))
-            p = [table[ids, of] for _, _, ids in spans]
-            n = len(same[0])
+        for at, same in _by_length(words, pieces.longest):
+            n, of, steps = len(same[0]), language[at], list(pieces.steps(same))
             alpha, beta = np.zeros((n + 1, len(same))), np.zeros((n + 1, len(same)))
-            alpha[0] = beta[n] = 1
-            for (begin, to, _), q in zip(spans, p):
-                alpha[to] += alpha[begin] * q
-            for (begin, to, _), q in sorted(zip(spans, p), key=lambda x: -x[0][0]):
-                beta[begin] += beta[to] * q
-            for (begin, to, ids), q in zip(spans, p):
-                np.add.at(counts, (ids, of), times[at] * alpha[begin] * q * beta[to] / alpha[n])
+            for to, rows, begins, ids in steps:
+                last = alpha[to - 1]
+                alpha[to] = last + np.log(np.bincount(rows, np.exp(alpha[begins, rows] - last[rows]) * table[ids, of[rows]], len(same)))
+            # What begins at a place, gathered from the spans of all ends behind it.
+            rows, begins, ids, ends = (np.concatenate(x) for x in zip(*[(r, b, i, np.full(len(r), to)) for to, r, b, i in steps]))
+            order = np.argsort(-begins, kind="stable")
+            rows, begins, ids, ends = rows[order], begins[order], ids[order], ends[order]
+            cut = np.searchsorted(-begins, -np.arange(n - 1, -2, -1))
+            for k in range(n):
+                here, begin = slice(cut[k], cut[k + 1]), n - 1 - k
+                r, next_ = rows[here], beta[begin + 1]
+                beta[begin] = next_ + np.log(np.bincount(r, np.exp(beta[ends[here], r] - next_[r]) * table[ids[here], of[r]], len(same)))
+            share = np.exp(alpha[begins, rows] + beta[ends, rows] - alpha[n, rows]) * table[ids, of[rows]]
+            np.add.at(counts, (ids, of[rows]), times[at][rows] * share)
     return counts
 
 
-def cut_word(word: str) -> list[str]:
-    """The word with its start marked, in parts that no probability underflows on."""
-    word = "▁" + word
-    return [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
-
-
 @dataclass
 class Model:
     languages: list[str]
@@ -131,12 +142,14 @@ class Model:
 
 
 def fit(train: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model | None:
-    """train: doc_id, text, lang. About `sample` documents at most are fitted on, chosen by a hash of
-    the id. The words and their numbers are counted by Spark, and the expected counts of each
-    round are summed by it; a table of pieces by languages is all that reaches the driver."""
+    """train: doc_id, text, lang. About `sample` documents of each language at most are fitted on, chosen by a hash of
+    the id; of a language with fewer all, so that none is lost. The words and their numbers are counted by Spark, and the
+    expected counts of each round are summed by it; a table of pieces by languages is all that reaches the driver."""
     train = train.where("lang is not null")
-    n = train.count()
-    train = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(1, n))))
+    sizes = train.groupBy("lang").agg(F.count("*").alias("n"))
+    share = (F.lit(float(1 << 20)) * F.least(F.lit(1.0), sample / F.col("n"))).cast("long")
+    # A row for each language, as the model has a column for each.
+    train = train.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share)
     words = train.select("lang", F.explode(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = materialise(words.groupBy("lang", "word").agg(F.count("*").cast("double").alias("n")).repartition(16, "word"), "language-words")
     sums = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
@@ -154,10 +167,8 @@ def fit(train: DataFrame, vocabulary: str, sample: int = SAMPLE, rounds: int = R
         def step(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             counts = np.zeros_like(held.value)
             for b in batches:
-                parts = [(p, lang, n) for w, lang, n in zip(b["word"], b["lang"], b["n"]) for p in cut_word(w)]
-                if parts:
-                    strings, langs, times = zip(*parts)
-                    counts += expected_counts(pieces, held.value, list(strings), np.array([languages.index(x) for x in langs]), np.array(times))
+                if len(b):
+                    counts += expected_counts(pieces, held.value, ["▁" + w for w in b["word"]], np.searchsorted(languages, b["lang"].to_numpy(str)), b["n"].to_numpy())
             at, of = np.nonzero(counts)
             yield pd.DataFrame({"at": at, "of": of, "n": counts[at, of]})
 
@@ -192,9 +203,7 @@ def predict(model: Model | None, docs: DataFrame, words: int = 300_000) -> DataF
                     known, rows = {}, rows[:0]
                 new = list({w for s in split for w in s if w not in known})
                 if new:
-                    parts = [(k, p) for k, w in enumerate(new) for p in cut_word(w)]
-                    made = np.zeros((len(new), len(m.languages)))
-                    np.add.at(made, [k for k, _ in parts], likelihoods(m.pieces, m.table, [p for _, p in parts]))
+                    made = likelihoods(m.pieces, m.table, ["▁" + w for w in new])
                     known.update(zip(new, range(len(known), len(known) + len(new))))
                     rows = np.concatenate([rows, made])
                 best, score = [], []
@@ -218,6 +227,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def identify(docs: DataFrame, vocabulary: str, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: a row for each row of docs (doc_id, text, lang)."""
+    """doc_id, held_out, lang_pred, score: a row for each row of docs (doc_id, text, lang); other columns are ignored.
+
+    A null text and one without a letter are und, with score 0. Rows that repeat are each labelled; of languages that
+    are equally likely the first by name is taken. Words and texts are scored whole, however long. Without a document to
+    learn from all is und, and an empty table gives an empty result."""
     model = fit(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), vocabulary, sample)
     return predict(model, docs).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
