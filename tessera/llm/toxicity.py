@@ -69,6 +69,24 @@ def _log_odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.clip(x @ w[:-1] + w[-1], -8, 8).astype(np.float32)
 
 
+def chain_weights(x: np.ndarray, fold: np.ndarray, labels: list[np.ndarray]) -> list[np.ndarray]:
+    """The weights of each category's model, whose inputs are x and the log odds of the categories before. For training
+    those of a row come from a model of the rows in other folds. Rows whose label is NaN train no model of that category."""
+    weights = []
+    for k, y in enumerate(labels):
+        known = ~np.isnan(y)
+        weights.append(_logistic(x[known], y[known]))
+        if k + 1 < len(labels):
+            out = np.zeros(len(x), np.float32)
+            for f in np.unique(fold):
+                own = fold == f
+                rest = ~own & known
+                if rest.any():
+                    out[own] = _log_odds(x[own], _logistic(x[rest], y[rest]))
+            x = np.hstack([x, out[:, None]])
+    return weights
+
+
 def fit(labelled: DataFrame, categories: list[str], folds: int = FOLDS, features: int = FEATURES) -> Chain:
     """labelled: doc_id, text and a 0/1 column for each category, in the order of the chain; a null is not used for
     that category. Its number of
@@ -108,20 +126,7 @@ def fit(labelled: DataFrame, categories: list[str], folds: int = FOLDS, features
     x = np.zeros((len(got), len(chosen)), np.float32)
     for k, at in enumerate(got["features"]):
         x[k, np.asarray(at, int)] = 1
-    weights = []
-    for k, c in enumerate(categories):
-        y = got[c].to_numpy(np.float32)
-        known = ~np.isnan(y)
-        weights.append(_logistic(x[known], y[known]))
-        if k + 1 < len(categories):
-            out = np.zeros(len(x), np.float32)
-            for f in range(folds):
-                own = got["fold"].to_numpy() == f
-                rest = ~own & known
-                if own.any() and rest.any():
-                    out[own] = _log_odds(x[own], _logistic(x[rest], y[rest]))
-            x = np.hstack([x, out[:, None]])
-    return Chain(categories, chosen, weights)
+    return Chain(categories, chosen, chain_weights(x, got["fold"].to_numpy(), [got[c].to_numpy(np.float32) for c in categories]))
 
 
 def predict(chain: Chain, docs: DataFrame, words: int = 500_000) -> DataFrame:
@@ -164,7 +169,8 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     labels: doc_id, quality, toxic (0/1), fitted on about `sample` rows at most of those whose documents are in docs,
     chosen by a hash of the id. A null label is not used, the row's other one is; of labels that repeat a doc_id the largest
     counts. A category without labels of both values can't be learned: its probabilities are null, and
-    nothing is toxic if it is toxic. The other one is learned without it."""
+    nothing is toxic if it is toxic. The other one is learned without it. Rows that repeat are each scored; very long texts
+    are read whole, as the set of their words; other columns are ignored. An empty table gives an empty result."""
     known = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("low_quality"), F.max("toxic").alias("toxic"))
     known = materialise(known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "known-labels")
     n = known.count()

@@ -4,6 +4,7 @@ rows, held against plain versions."""
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -132,6 +133,28 @@ def test_ngram_join(docs, empty):
     assert ngram_join.similar_groups(empty).count() == 0
 
 
+def test_all_links(spark, docs):
+    r = random.Random(9)
+    base = [r.choice(WORDS) for _ in range(400)]
+    texts = list(TEXTS)
+    for _ in range(40):  # a group of near copies, some linked with the pivot only
+        w = list(base)
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    split = [words((t or "").translate(low)) for t in texts]
+    sets = [frozenset(tuple(w[i : i + 4]) for i in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else []) for w in split]
+    of = {}
+    for i, x in enumerate(sets):
+        of.setdefault(x, i)
+    want = {(max(of[x], of[y]), min(of[x], of[y])) for x in of for y in of if x != y and x and y and 100 * len(x & y) >= 85 * len(x | y)}
+    found, members = ngram_join.all_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 150
+    assert Counter(map(tuple, members.collect())) == Counter((of[x], i, len(x)) for i, x in enumerate(sets) if x)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
@@ -160,6 +183,12 @@ def test_personal_data(spark, empty):
         assert got[i].base_sha256 == hashlib.sha256(plain_spans(t).encode()).hexdigest(), t
         assert set(filter(None, plain_spans(t).split(","))) <= set(got[i].spans.split(","))
     assert "secret:9:49" in got[9].spans
+    many = [(1, "1.2.3.4 " * 32_000, "x"), (1, "1.2.3.4 " * 32_000, "x"), (2, "a@b.cc +1 743 555 3824 token=04dbebab91ab85687d33eeaaf9ac699e1188f962 " * 3000, "y")]
+    clash = spark.createDataFrame(many, "doc_id long, text string, base string").withColumns({c: F.lit(1) for c in ("candidates", "runs", "spans")})
+    began = time.perf_counter()
+    out = personal_data.summary(clash).collect()
+    assert time.perf_counter() - began < 60
+    assert Counter((r.doc_id, r.n_ip, r.n_email, r.n_phone, r.base_sha256) for r in out) == Counter((i, *(len(re.findall(k, plain_spans(t))) for k in ("ip:", "email:", "phone:")), hashlib.sha256(plain_spans(t).encode()).hexdigest()) for i, t, _ in many)
     assert personal_data.summary(empty).count() == 0
 
 
@@ -250,11 +279,42 @@ def test_language_id(spark, empty):
     assert language_id.identify(empty, public_tokenizers.path("piece_bpe_32k.model")).count() == 0
 
 
-def test_forward_sums_all_segmentations():
-    pieces = language_id.Pieces.of(["▁", "a", "b", "ab", "▁a"])
-    table = np.full((7, 1), 0.1)
-    table[5], table[6] = 0, 1e-9
-    assert np.isclose(np.exp(language_id.likelihoods(pieces, table, ["▁ab"]))[0, 0], 0.1**3 + 0.1**2 + 0.1**2)
+def segmentations(word, known):
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        if k == 1 or word[:k] in known:
+            yield from ([word[:k], *rest] for rest in segmentations(word[k:], known))
+
+
+def test_forward_sums_and_counts_all_segmentations():
+    known = ["▁", "a", "b", "ab", "▁a", "aba", "ba"]
+    pieces, r = language_id.Pieces.of(known), np.random.default_rng(1)
+    at = {p: int(np.searchsorted(pieces.hashes, language_id._prefixes(language_id._codes([p]))[0, -1])) for p in known}
+    table = r.random((len(known) + 2, 2))
+    table[-2], table[-1] = 0, 1e-3
+    all_words, language, times = ["▁ababa", "▁abxab", "▁ba", "▁x"], np.array([0, 1, 1, 0]), np.array([1.0, 2, 3, 4])
+    want = np.zeros_like(table)
+    for w, of, n in zip(all_words, language, times):
+        each = [([at.get(p, len(known) + 1) for p in s]) for s in segmentations(w, known)]
+        p = [np.prod(table[ids, of]) for ids in each]
+        assert np.isclose(language_id.likelihoods(pieces, table, [w])[0, of], np.log(sum(p)))
+        for ids, q in zip(each, p):
+            for i in ids:
+                want[i, of] += n * q / sum(p)
+    assert np.allclose(language_id.expected_counts(pieces, table, all_words, language, times), want)
+
+
+def test_no_word_is_too_long(spark):
+    rows = [(i, " ".join(R.choice("the and of with this".split() if i % 2 else "le les des avec pour".split()) for _ in range(20)), "en" if i % 2 else "fr", "x") for i in range(60)]
+    odd = ["the " + "\u13a0" * 38 + " of with", "les " + "\ua66e" * 4000 + " avec", "a" * 100_000 + " the of with and", "\u13a0" * 500 + " " + "\ua66e" * 500]
+    # A language that is far rarer than the others in a corpus of more than the sample.
+    rows += [(100 + i, "ein der die und mit von", "de", "x") for i in range(3)]
+    docs = spark.createDataFrame(rows + [(900 + i, t, None, "x") for i, t in enumerate(odd)] + rows[:2], "doc_id long, text string, lang string, lang_pred string")
+    got = language_id.identify(docs, public_tokenizers.path("piece_bpe_32k.model"), sample=20).collect()
+    assert len(got) == len(rows) + 6 and all(0 <= r.score <= 1 for r in got)
+    of = {r.doc_id: r.lang_pred for r in got}
+    assert [of[900], of[901], of[101]] == ["en", "fr", "de"] and {of[902], of[903]} <= {"en", "fr", "de"}
 
 
 def test_token_counts(docs, empty):
@@ -268,8 +328,9 @@ def test_token_counts(docs, empty):
 
 def test_flat_files(spark, tmp_path):
     np.array([5, 6, 9, 9, 7, 9, 8], "<u2").tofile(tmp_path / "a.bin")
-    got = token_counts.count_tokens(token_counts.file_blocks(spark, str(tmp_path), block=2), end=9)
-    assert [(r.ordinal, r.n_tokens) for r in got.orderBy("ordinal").collect()] == [(0, 2), (1, 0), (2, 1), (3, 1)]
+    for whole in (1 << 20, 8, 4):  # by Spark, and in ranges
+        got = token_counts.count_tokens(token_counts.file_blocks(spark, str(tmp_path), block=2, whole=whole), end=9)
+        assert [(r.ordinal, r.n_tokens) for r in got.orderBy("ordinal").collect()] == [(0, 2), (1, 0), (2, 1), (3, 1)]
 
 
 def test_pipeline(spark, tmp_path):
