@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, mixing, ngram_join, packing, quality_rules
 from tessera.llm.common import documents, materialise
@@ -34,8 +33,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the mixed documents in sequences of at most 4096 tokens."""
-    pieces = packing.token_pieces(docs, VOCABULARY)
-    return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.pack(packing.token_pieces(docs, VOCABULARY, with_ids=False))
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("source mixing", source_mix), ("best-fit packing", packed)]
