@@ -1,14 +1,15 @@
 """Similarity join on word n-grams, exact, with set-relation skipping.
 
 Documents of one set are one class. A class's prefix, its rarest shingles, must share one with that
-of any similar class; shingles are ordered by a count sketch of all documents. Index lists, one
+of any similar class; shingles are ordered by a count sketch of all documents, whose size follows their number. Index lists, one
 for each prefix shingle, are used twice:
 
 1. Each class in a list is compared with the list's pivot, its smallest id, if their sizes and
    places in the list (which bound the overlap) allow a link.
-2. The pivot's answers stand for the sets that are highly similar to it: what is linked with it is in
-   its component and needs no search of its own. Only the classes, pivots aside, that are not in the component
-   which most of a list is in are compared with the others of other components. Lists
+2. The pivot's answers give those of the sets that are highly similar to it. For components, what is linked with a pivot is in
+   its component and needs no search of its own: only the classes, pivots aside, that are not in the component
+   which most of a list is in are compared with the others of other components. For all links, two sets
+   whose distances to the pivot add up to no more than a link allows are linked without being compared. Lists
    are cut into blocks by size, and blocks out of reach are skipped; so are pairs whose distances
    to the pivot, known from step 1, differ by more than a link allows (the distance is a metric).
 
@@ -33,7 +34,10 @@ from tessera.llm.tokens import in_parts
 
 WORDS = 4
 PERCENT = 85
-BUCKETS = 1 << 22
+#: Buckets of the count sketch, as a power of two: 16 for each document between these bounds. A worker
+#: counts in four bytes for each, and has a byte for each from then on.
+LEAST_BUCKETS = 22
+MOST_BUCKETS = 26
 SLICES = 64
 #: Bits of a set's parity map at most; fewer for sets of fewer shingles.
 MAP_BITS = 8192
@@ -73,8 +77,8 @@ class Shingler:
         return np.unique(out)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.int64)
 
 
 def _parity_map(h: np.ndarray) -> np.ndarray:
@@ -95,16 +99,17 @@ def _may_be_near(x: Column, y: Column, n: Column, m: Column, percent: int) -> Co
 
 
 def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """How common the shingles of a hash bucket are: the binary logarithm of the bucket's count over the
-    mean count, from 0. Tasks count all texts and send their counts in slices; the sums, one byte for
-    each of BUCKETS at last, are all that the driver sees."""
-    wide = BUCKETS // SLICES
+    """How common the shingles of a hash bucket are: the binary logarithm of the bucket's count, the same for all
+    up to the mean. Tasks count all texts and send their counts in slices; the sums' logarithms, one byte for
+    each bucket, are all that the driver sees."""
+    buckets = 1 << min(MOST_BUCKETS, max(LEAST_BUCKETS, math.ceil(math.log2(16 * docs.count() + 1))))
+    wide = buckets // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, counts = Shingler(words), np.zeros(BUCKETS, np.uint32)
+        shingler, counts = Shingler(words), np.zeros(buckets, np.uint32)
         for batch in batches:
             for _, texts in in_parts(batch.column(0).to_pylist()):
-                np.add.at(counts, _bucket(np.concatenate([shingler(t) for t in texts])), np.uint32(1))
+                np.add.at(counts, _bucket(np.concatenate([shingler(t) for t in texts]), buckets), np.uint32(1))
         if counts.any():
             cut = [zlib.compress(counts[i * wide : (i + 1) * wide].tobytes(), 1) for i in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "counts"])
@@ -114,14 +119,15 @@ def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         for part in rows:
             for c in part["counts"]:
                 total += np.frombuffer(zlib.decompress(c), np.uint32)
-        yield pd.DataFrame({"slice": [key[0]], "counts": [total.tobytes()]})
+        level = np.log2(np.maximum(total, np.uint64(1))).astype(np.uint8)
+        yield pd.DataFrame({"slice": [key[0]], "shingles": [int(total.sum())], "levels": [level.tobytes()]})
 
-    sums = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary")
-    total = np.zeros(BUCKETS, np.uint64)
-    for r in sums.collect():
-        total[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["counts"], np.uint64)
-    mean = max(1.0, float(total.mean()))
-    return np.clip(np.log2(np.maximum(total / mean, 1)), 0, 255).astype(np.uint8)
+    sums = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, shingles long, levels binary")
+    levels, shingles = np.zeros(buckets, np.uint8), 0
+    for r in sums.toLocalIterator():
+        levels[r["slice"] * wide : (r["slice"] + 1) * wide] = np.frombuffer(r["levels"], np.uint8)
+        shingles += r["shingles"]
+    return np.maximum(levels, np.uint8(math.log2(max(1.0, shingles / buckets))))
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, levels: np.ndarray | None = None) -> DataFrame:
@@ -143,7 +149,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, le
                     digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                     if levels is not None:
                         first = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
-                        prefixes.append(h[np.lexsort((h, levels[_bucket(h)]))[:first]].view(np.int64))
+                        prefixes.append(h[np.lexsort((h, levels[_bucket(h, len(levels))]))[:first]].view(np.int64))
                         maps.append(_parity_map(h))
                 columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(digests, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns + ([pa.array(x, pa.list_(pa.int64())) for x in (prefixes, maps)] if levels is not None else []), names=names)
@@ -197,8 +203,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, common long, n long, m long")
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """a, b: links between classes that connect what all links between them would connect.
+def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False) -> DataFrame:
+    """a, b: links between classes that connect what all links between them would connect, or every link.
 
     docs: doc_id and text, one row for each id that sets (doc_id, n_shingles, prefix, parity) names; sets has one row
     for each class."""
@@ -220,22 +226,28 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     linked = (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("m"))
     found = seen.where(linked).select("a", "b")
 
-    # Step 2: what the components so far leave open. A pair's first common shingle heads a list that step 1 used if one
+    # Step 2: what is left open. A pair's first common shingle heads a list that step 1 used if one
     # of the two is its pivot; so pivots, and lists of two, have no more to give.
-    within = components(found)
-    named = listed.where("id <> pivot and rows > 2").drop("rows").join(within, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    shares = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
-    mixed = shares.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("parts > 1").select("token", "most")
     distance = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("far"))
-    named = named.join(mixed, "token").join(distance, ["id", "pivot"], "left")
-    named = named.join(maps.select("id", "parity"), "id")
+    named = listed.where("id <> pivot and rows > 2").drop("rows")
+    if every:
+        named = named.withColumn("component", F.col("id")).withColumn("most", F.lit(None).cast("long"))
+    else:
+        named = named.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        shares = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
+        named = named.join(shares.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("parts > 1").select("token", "most"), "token")
+    named = named.join(distance, ["id", "pivot"], "left").join(maps.select("id", "parity"), "id")
     named = materialise(named.withColumn("block", F.floor(F.log("n") / math.log(100 / percent))), "open-lists", compression="zstd")
-    left = named.where("component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    left = named.where("most is null or component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     right = named.select("token", "block", F.col("id").alias("b"), "n", "place", "component", "far", F.col("parity").alias("y"))
-    near = F.coalesce(F.abs(F.col("af") - F.col("far")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    open_ = left.join(right, ["token", "block"]).where((F.col("ac") != F.col("component")) & _may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent) & near & _may_be_near(F.col("x"), F.col("y"), F.col("an"), F.col("n"), percent))
-    second = open_.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    apart = 1 - percent / 100
+    near = F.coalesce(F.abs(F.col("af") - F.col("far")) <= apart + 1e-9, F.lit(True))
+    sure = F.coalesce(F.col("af") + F.col("far") <= apart - 1e-9, F.lit(False))
+    open_ = left.join(right, ["token", "block"]).where((F.col("ac") != F.col("component")) & (sure | (_may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent) & near & _may_be_near(F.col("x"), F.col("y"), F.col("an"), F.col("n"), percent))))
+    second = open_.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max(sure).alias("sure"))
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    found = found.union(second.where("sure").select("a", "b"))
+    second = second.where("not sure").select("a", "b")
     more_ids = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
     # Whose place in a list ruled out its pivot has no text yet.
     missing = more_ids.join(ids, "id", "left_anti")
@@ -244,19 +256,35 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     return found.union(_compared(second, texts, words).where(linked).select("a", "b"))
 
 
+def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id (the smallest), n_shingles, digest, prefix, parity: a row for each set that a row with an id has."""
+    of = shingle_sets(docs, words, percent, shingle_levels(docs, words)).where("digest is not null and doc_id is not null")
+    return of.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
+
+
+def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Every link between classes (a, b; a above b), and the members of each class (class_id, doc_id, n_shingles). A class
+    is the rows of one set and has its smallest doc_id; sets that are empty or have no id are in none.
+
+    A group of n similar sets has up to n squared links; similar_groups finds the groups without them."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    classes = materialise(_classes(docs, words, percent), "classes")
+    found = links(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent, every=True)
+    rows = shingle_sets(docs, words, percent).where("doc_id is not null")
+    members = rows.join(classes.select("n_shingles", "digest", F.col("doc_id").alias("class_id")), ["n_shingles", "digest"]).select("class_id", "doc_id", "n_shingles")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members
+
+
 def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
     docs: doc_id and text; other columns are ignored. A null text and one without words have the empty
     set and are linked with nothing. Rows that repeat have equal sets and are linked. A null
     doc_id takes the component of its set, null if no other row has it. Ids that stand for
-    several texts link what those texts link."""
+    several texts link what those texts link. Very long texts are shingled whole. An empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    levels = shingle_levels(docs, words)
-    classes = shingle_sets(docs, words, percent, levels).where("digest is not null and doc_id is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
-    found = components(links(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent))
-    sets = shingle_sets(docs, words, percent)
-    rows = materialise(sets, "sets")
+    found = components(links(docs, _classes(docs, words, percent).select("doc_id", "n_shingles", "prefix", "parity"), words, percent))
+    rows = materialise(shingle_sets(docs, words, percent), "sets")
     named = rows.where("digest is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"))
     named = named.join(found, "id", "left").select("n_shingles", "digest", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, ["n_shingles", "digest"], "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
