@@ -176,6 +176,6 @@ WITH d AS (
 SELECT doc_id, size, source_size, target,
        (greatest(0, least(start + size, words) - start)
         + greatest(0, least(start + size, words - source_size) - start))::BIGINT AS taken,
-       CASE WHEN size > 0 AND start < words THEN coalesce(slot, n_slots + (start // 256) * sources + p.k - 1) END::BIGINT AS first_slot
+       CASE WHEN size > 0 AND start < words THEN coalesce(slot, n_slots + (start // 256) * sources + p.k - 1) ELSE -1 END::BIGINT AS first_slot
 FROM p CROSS JOIN n LEFT JOIN g ON g.k = p.k AND g.rank = start // 256
 """

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, personal_data, quality_rules, repeats, token_counts, toxicity
 from tessera.llm.common import documents
@@ -15,7 +16,8 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
+    out = mixing.mix(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("first_slot", F.lit(-1)).alias("first_slot"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op1_source_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_suffix_dedup": repeats.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE}

@@ -355,3 +355,26 @@ def summary(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = without_repeats(docs)
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Bytes as pairs of hex digits. Each byte is taken out of a run of 1,000, so that no long text is cut once for each byte.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), runs AS (
+  SELECT doc_id, k, substring(h, 2000 * k + 1, 2398) AS part, length(h) // 2 AS n_bytes FROM (SELECT doc_id, h, unnest(range(length(h) // 2000 + 1)) AS k FROM d)
+), places AS (
+  SELECT doc_id, n_bytes, 1000 * k + i AS place, substring(part, 2 * i + 1, 2) AS byte, CASE WHEN 1000 * k + i + 200 <= n_bytes THEN hash(substring(part, 2 * i + 1, 400)) END AS h
+  FROM (SELECT *, unnest(range(1000)) AS i FROM runs) WHERE 1000 * k + i < n_bytes
+), twice AS (
+  SELECT h FROM places WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1
+), covered AS (
+  SELECT p.doc_id, place, byte, coalesce(place - max(CASE WHEN t.h IS NOT NULL THEN place END) OVER (PARTITION BY p.doc_id ORDER BY place) < 200, false) AS gone
+  FROM places p LEFT JOIN twice t ON t.h = p.h
+), edges AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY place), false) AS begins FROM covered
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY place) FILTER (NOT gone), '') AS rest FROM edges GROUP BY doc_id
+)
+SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest, ''))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
