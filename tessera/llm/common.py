@@ -46,10 +46,20 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: its lineage ends there, so
     a lost executor costs a read and not a recomputation."""
+    return written(df, name, compression)[0]
+
+
+def written(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """The same, and the table's path, for `delete` once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:

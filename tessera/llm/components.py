@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import delete, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -24,12 +24,15 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) for each id in links (a, b). Links between equal ids and
     repeated links change nothing; no links give no rows."""
-    links = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    spark = links.sparkSession
+    links, path = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == mark:
             break
         mark = now
-        links = materialise(_small_star(_large_star(links)).where("a <> b").distinct(), "links")
+        links, new = written(_small_star(_large_star(links)).where("a <> b").distinct(), "links")
+        delete(spark, path)
+        path = new
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select("b", "b").distinct())

@@ -6,7 +6,8 @@ winners of all salts meet. The grouping key of every stage holds the full normal
 beside its digest, so equal digests of different contents are never merged. A group that holds
 a third of all rows reaches a reducer as one row for each map task, spread over the salts.
 
-The rows themselves never move with their text: they look up their group by digest. Digests
+The rows themselves never move with their text: they look up their group by digest. The groups of
+more than one in HOT of all rows, HOT at most, are sent to every task, so that their rows do not move at all. Digests
 that two contents share, if there are any, are looked up by digest and content.
 """
 
@@ -25,6 +26,10 @@ _LENGTH = Decimal(2 * 10**19)
 _MAX_ID = Decimal(2**63 - 1)
 
 
+#: A group of more than one in so many rows is looked up where its rows are.
+HOT = 1000
+
+
 def _preference(doc_id: Column, chars: Column) -> Column:
     """Longer first, then the smaller doc_id, a null doc_id last; as one decimal, so that the
     aggregates stay hash aggregates with fixed-width buffers."""
@@ -47,7 +52,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_di
     docs: doc_id and text; other columns are ignored. A null text is the empty text, and all
     empty texts form one group. Ties of length go to the smallest doc_id; rows that repeat
     a doc_id are each counted, and all rows that have the kept doc_id stay. A null doc_id loses
-    to any other. An empty table gives an empty result.
+    to any other. Very long texts are compared whole. An empty table gives an empty result.
     digest: the lookup key of a content; the result does not depend on it."""
     rows = docs.select("doc_id", *carry, text_or_empty().alias("text")).select("doc_id", *carry, F.length("text").alias("chars"), without_blanks(F.col("text")).alias("norm"))
     rows = rows.withColumn("digest", digest(F.col("norm")))
@@ -57,7 +62,14 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256_di
     by_digest = materialise(contents.groupBy("digest").agg(F.count("*").alias("contents"), F.max("n").alias("group_size"), F.max("best").alias("best")), "exact-groups")
 
     alone = by_digest.where("contents = 1").select("digest", "group_size", "best")
-    out = rows.select("doc_id", *carry, "digest", F.sha2("norm", 256).alias("text_sha256")).join(alone, "digest")
+    total = by_digest.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    large = F.col("group_size") > max(HOT, total // HOT)
+    hot = alone.where(large).select("digest", F.col("group_size").alias("hot_size"), F.col("best").alias("hot_best"))
+    out = rows.select("doc_id", *carry, "digest", F.sha2("norm", 256).alias("text_sha256")).join(F.broadcast(hot), "digest", "left")
+    # A row that has its group is dealt out by what no other group has.
+    out = out.withColumn("key", F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(F.concat(F.lit("#"), F.xxhash64("doc_id", *carry).cast("string"))))
+    cold = alone.where(~large).select(F.col("digest").alias("key"), "group_size", "best")
+    out = out.join(cold, "key", "left").select("doc_id", *carry, "digest", "text_sha256", F.coalesce("hot_size", "group_size").alias("group_size"), F.coalesce("hot_best", "best").alias("best")).where("group_size is not null")
     clash = by_digest.where("contents > 1").select("digest")
     if not clash.isEmpty():
         mixed = rows.join(clash, "digest", "left_semi")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise, shared_dir
+from tessera.llm.common import delete, materialise, shared_dir
 from tessera.llm.tokens import array_parts
 
 LENGTH = 200
@@ -163,7 +163,7 @@ class SuffixFamily:
             self.levels.append((n + m, merged))
             self.merges += 1
             for old in (a, b):
-                self._drop(old)
+                delete(self.spark, old)
         new = self._level(path).groupBy("seed").agg(F.count("*").alias("n"))
         hits = new.where("n > 1").select("seed")
         for _, level in self.levels:
@@ -178,13 +178,9 @@ class SuffixFamily:
         of = reduce(DataFrame.unionByName, [self._level(level).join(hits, "seed", "left_semi") for _, level in self.levels], self.spark.createDataFrame([], SUFFIXES))
         return of.select(F.xxhash64("seed").alias("fp"), *of.columns[1:])
 
-    def _drop(self, path: str) -> None:
-        jvm = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jvm, True)
-
     def drop(self) -> None:
         for _, path in self.levels:
-            self._drop(path)
+            delete(self.spark, path)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
