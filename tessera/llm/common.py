@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +64,19 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number that tells every row from all others, written so that it stays, and that column's name."""
+    """docs with a number that tells every row from all others and stays the same whenever a row is read, and that column's name.
+
+    Rows of files that Spark numbers (Parquet) have that of their file, of which the driver holds the list, and their place in it. Rows that
+    come from elsewhere are written once with a number."""
     name = "_n"
-    while name in docs.columns:
+    while name in docs.columns or f"{name}file" in docs.columns:
         name += "_"
-    return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    try:
+        metadata = docs.metadataColumn("_metadata")
+        rows = docs.select("*", metadata["row_index"].alias(name), metadata["file_path"].alias(f"{name}file"))
+        files = sorted(r[0] for r in rows.select(f"{name}file").distinct().collect())
+    except AnalysisException:
+        return materialise(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    of = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], f"{name}file string, {name}of long")
+    rows = rows.join(F.broadcast(of), f"{name}file").withColumn(name, F.shiftleft(f"{name}of", 36) + F.col(name))
+    return rows.select(*docs.columns, name), name
