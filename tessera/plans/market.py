@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import series
+from tessera.operators import series, study
 from tessera.operators.series import by_date, crossed, full
 from tessera.sources.tables import BARS, bars
 
@@ -124,21 +122,9 @@ def event_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentile interval of resampled mean edges, in blocks of samples so that memory does not grow with them."""
-
-    def interval(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(rows["edge"].to_numpy())
-        n, rng = len(x), np.random.default_rng(20260924)
-        low = high = float("nan")
-        if n >= 2:
-            each = max(1, 2_000_000 // n)
-            means = np.concatenate([x[rng.integers(0, n, (min(each, 10_000 - k), n))].mean(axis=1) for k in range(0, 10_000, each)])
-            low, high = np.percentile(means, [2.5, 97.5])
-        # The least number of events, and the verdicts' wordings.
-        verdict = "too few events to judge" if n < 30 else "beats baseline (CI > 0)" if low > 0 else "worse than baseline (CI < 0)" if high < 0 else "no clear difference"
-        return pd.DataFrame({"signal": rows["signal"][:1], "horizon": rows["horizon"][:1], "n": [n], "ci_low": [low], "ci_high": [high], "verdict": [verdict]})
-
-    return events(spark, sf_dir).groupBy("signal", "horizon").applyInPandas(interval, "signal string, horizon int, n long, ci_low double, ci_high double, verdict string")
+    """Intervals of resampled mean edges, events in the order of symbol and date, and what they say."""
+    got = study.intervals(events(spark, sf_dir), ["signal", "horizon"], "edge", ["symbol", "date"])
+    return got.withColumn("verdict", study.verdict(F.col("n"), F.col("ci_low"), F.col("ci_high")))
 
 
 def last_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

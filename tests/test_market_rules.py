@@ -147,6 +147,9 @@ def test_contradicting_sections_and_foreign_ones(spark):
     f = spark.createDataFrame([(n, bytearray(h.encode())) for n, h in files], "file string, content binary")
     got = {r.file: (r.value, r.problem) for r in parsers.merged_sections(parsers.table_metrics(parsers.page_lines(f), "sec")).collect()}
     assert got == {"same": (5.0, None), "other": (5.0, "revenue"), "minus": (-5.0, None)}
+    undated = page("5.00").replace("Standalone", "Consolidated") + "<p>Results of Acme Limited (Standalone Information)</p><p>(in crore)</p>" + page("7.00").split("</p>")[-1]
+    got = parsers.table_metrics(parsers.page_lines(spark.createDataFrame([("u", bytearray(undated.encode()))], "file string, content binary")), "sec").collect()
+    assert {(r.basis, str(r.period_end), r.value) for r in got} == {("consolidated", "2026-06-30", 5.0), ("standalone", "2026-06-30", 7.0)}
     assert {r.kind for r in parsers.xbrl_rows(spark.createDataFrame([("a", bytearray(b"<x")), ("b", bytearray(b"<y/>"))], "file string, content binary")).collect()} == {"error"}
 
 
