@@ -67,3 +67,10 @@ def volume_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def last_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = T.bars(spark, sf_dir).withColumn("r", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("date"))))
     return b.where("r <= 3").select("symbol", "date", "close")
+
+
+@query(f"WITH {market._FIRED} SELECT date, signal, direction, round(value, 6) AS value FROM fired WHERE symbol = '2-HIGH'")
+def signals_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One symbol's signals; the symbol's filter reaches the scan."""
+    s = market.rule_firings(T.bars(spark, sf_dir).where("symbol = '2-HIGH'"))
+    return s.select("date", "signal", "direction", F.round("value", 6).alias("value")).orderBy("date", "signal")
