@@ -56,7 +56,7 @@ def word_pattern(term: str, any_case: bool = False, plural: bool = False) -> str
     elif any_case or term[0].islower():
         inner = f"(?i:{spaced}{ending})"
     else:
-        inner = "|".join((spaced + ending, r"\s+".join(re.escape(w.upper()) for w in term.split()) + ending.upper().replace("(?:S|ES)", "(?:S|ES)")))
+        inner = "|".join((spaced + ending, r"\s+".join(re.escape(w.upper()) for w in term.split()) + ending.upper()))
     return rf"(?<!\w)(?:{inner})(?!\w)"
 
 

@@ -179,7 +179,11 @@ _EVENTS = f"""{_FIRED}, base AS (SELECT * FROM bars WHERE symbol = '{BENCHMARK}'
   FROM kept k JOIN panel p ON k.symbol = p.symbol AND k.date = p.date JOIN mean m ON m.symbol = p.symbol AND m.horizon = p.horizon WHERE sign <> 0 AND excess IS NOT NULL)"""
 _EMA = lambda x, alpha: f"CASE WHEN r.{x} IS NULL THEN b.{x}_in WHEN b.{x}_in IS NULL THEN r.{x} ELSE r.{x} + {alpha} * (b.{x}_in - r.{x}) END"
 
+_CONFIRMED = f"""{BARS}, sp AS (SELECT symbol, date, {_FULL("avg", "close", 5)} / ({_FULL("avg", "close", 20)}) - 1 AS v FROM bars), sq AS (SELECT * FROM sp WHERE v IS NOT NULL), sr AS (SELECT *, coalesce(lag(v) {_W}) <= 0 AND v > 0, false) AS crossed, count(*) FILTER (v <= 0) {_W} ROWS UNBOUNDED PRECEDING) AS run FROM sq),
+ar AS (SELECT *, max(CASE WHEN crossed THEN date END) OVER (PARTITION BY symbol, run ORDER BY date ROWS UNBOUNDED PRECEDING) AS armed FROM sr), confirmed AS (SELECT symbol, min(date) AS date FROM ar WHERE v >= 0.05 AND armed IS NOT NULL GROUP BY symbol, armed)"""
+
 ORACLES = {
+    "market_confirmed": f"WITH {_CONFIRMED} SELECT * FROM confirmed",
     "market_price_scan": f"WITH {BARS} SELECT * FROM bars WHERE symbol = '2-HIGH' AND date BETWEEN DATE '1995-01-01' AND DATE '1996-06-30'",
     "market_high_water_marks": f"WITH {BARS} SELECT symbol, max(date) AS last_date, count(*) AS n_bars FROM bars GROUP BY symbol",
     "market_adjusted_prices": f"""WITH {BARS}, {_ACTIONS}, f AS (

@@ -42,8 +42,7 @@ def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(firings(T.bars(spark, sf_dir), RULES), RULES)
 
 
-_CONFIRMED = f"""{T.BARS}, sp AS (SELECT symbol, date, {market._FULL("avg", "close", 5)} / ({market._FULL("avg", "close", 20)}) - 1 AS v FROM bars), sq AS (SELECT * FROM sp WHERE v IS NOT NULL), sr AS (SELECT *, coalesce(lag(v) {_W}) <= 0 AND v > 0, false) AS crossed, count(*) FILTER (v <= 0) {_W} ROWS UNBOUNDED PRECEDING) AS run FROM sq),
-ar AS (SELECT *, max(CASE WHEN crossed THEN date END) OVER (PARTITION BY symbol, run ORDER BY date ROWS UNBOUNDED PRECEDING) AS armed FROM sr), confirmed AS (SELECT symbol, min(date) AS date FROM ar WHERE v >= 0.05 AND armed IS NOT NULL GROUP BY symbol, armed)"""
+_CONFIRMED = market._CONFIRMED
 
 
 @query(f"WITH {_CONFIRMED} SELECT * FROM confirmed")
