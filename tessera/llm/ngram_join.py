@@ -4,7 +4,7 @@ Documents of one set are one class. A class's prefix, its rarest shingles, must
 of any similar class; shingles are ordered by a count sketch of all documents, whose size follows their number. Index lists, one
 for each prefix shingle, are used twice:
 
-1. Each class in a list is compared with the list's pivot, its smallest id, if their sizes and
+1. Each class in a list is compared with the list's pivot, its smallest id, and in a long list with a few further ones, if their sizes and
    places in the list (which bound the overlap) allow a link.
 2. The pivot's answers give those of the sets that are highly similar to it. For components, what is linked with a pivot is in
    its component and needs no search of its own: only the classes, pivots aside, that are not in the component
@@ -39,6 +39,10 @@ PERCENT = 85
 LEAST_BUCKETS = 22
 MOST_BUCKETS = 26
 SLICES = 64
+#: Lists of more than so many rows have further pivots, so many of them: what one pivot leaves open another one mostly links.
+MORE_ROWS, MORE = 16, 4
+#: Rows of an index list that are joined by one task; longer lists are dealt out in parts.
+LONG = 1000
 #: Bits of a set's parity map at most; fewer for sets of fewer shingles.
 MAP_BITS = 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -203,21 +207,32 @@ def _compared(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long, common long, n long, m long")
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False) -> DataFrame:
+def _parts(long: int) -> Column:
+    """The numbers of the parts of a list (by its `rows`)."""
+    return F.sequence(F.lit(0), F.ceil(F.col("rows") / long).cast("int") - 1)
+
+
+def _part(key: str, long: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.ceil(F.col("rows") / long)).cast("int")
+
+
+def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False, long: int = LONG) -> DataFrame:
     """a, b: links between classes that connect what all links between them would connect, or every link.
 
     docs: doc_id and text, one row for each id that sets (doc_id, n_shingles, prefix, parity) names; sets has one row
-    for each class."""
+    for each class. Lists of more than `long` rows are joined in parts, the pivot, or the rows that are still open, with each."""
     sets = materialise(sets, "classes")
     maps = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "parity")
     listed = sets.select("doc_id", "n_shingles", F.posexplode("prefix").alias("place", "token"))
-    lists = listed.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("pivot")).where(F.col("rows") > 1)
-    listed = materialise(listed.join(lists, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "pivot", "rows"), "lists", compression="zstd")
+    least = [F.min(F.when(F.pmod(F.xxhash64("doc_id"), F.lit(MORE)) == k, F.col("doc_id"))) for k in range(MORE)]
+    lists = listed.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("pivot"), F.array_compact(F.array(*least)).alias("more")).where(F.col("rows") > 1)
+    pivot = (F.col("doc_id") == F.col("pivot")) | ((F.col("rows") > MORE_ROWS) & F.array_contains("more", F.col("doc_id")))
+    listed = materialise(listed.join(lists, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "pivot", "rows", pivot.alias("is_pivot")), "lists", compression="zstd")
 
     # Step 1: each with its lists' pivots.
-    pivots = listed.where("id = pivot").select("token", F.col("n").alias("m"), F.col("place").alias("there"))
-    first = listed.where("id <> pivot").join(pivots, "token").where(_may_link(F.col("n"), F.col("place"), F.col("m"), F.col("there"), percent))
-    first = first.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    pivots = listed.where("is_pivot").select("token", F.col("id").alias("with"), F.col("n").alias("m"), F.col("place").alias("there"), F.explode(_parts(long)).alias("part"))
+    first = listed.withColumn("part", _part("id", long)).join(pivots, ["token", "part"]).where((F.col("id") != F.col("with")) & (_may_link(F.col("n"), F.col("place"), F.col("m"), F.col("there"), percent)))
+    first = first.select(F.greatest("id", "with").alias("a"), F.least("id", "with").alias("b")).distinct()
     first = first.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").where(_may_be_near(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent))
     first = materialise(first.select("a", "b"), "pairs")
     ids = first.select(F.col("a").alias("id")).union(first.select("b")).distinct()
@@ -229,21 +244,22 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     # Step 2: what is left open. A pair's first common shingle heads a list that step 1 used if one
     # of the two is its pivot; so pivots, and lists of two, have no more to give.
     distance = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("far"))
-    named = listed.where("id <> pivot and rows > 2").drop("rows")
+    named = listed.where("id <> pivot and rows > 2").drop("is_pivot")
     if every:
         named = named.withColumn("component", F.col("id")).withColumn("most", F.lit(None).cast("long"))
     else:
         named = named.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
         shares = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
-        named = named.join(shares.groupBy("token").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("parts > 1").select("token", "most"), "token")
+        named = named.join(shares.groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("of > 1").select("token", "most"), "token")
     named = named.join(distance, ["id", "pivot"], "left").join(maps.select("id", "parity"), "id")
     named = materialise(named.withColumn("block", F.floor(F.log("n") / math.log(100 / percent))), "open-lists", compression="zstd")
-    left = named.where("most is null or component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    right = named.select("token", "block", F.col("id").alias("b"), "n", "place", "component", "far", F.col("parity").alias("y"))
+    left = named.where("most is null or component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), "rows", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    left = left.withColumn("part", F.explode(_parts(long))).drop("rows")
+    right = named.select("token", "block", _part("id", long).alias("part"), F.col("id").alias("b"), "n", "place", "component", "far", F.col("parity").alias("y"))
     apart = 1 - percent / 100
     near = F.coalesce(F.abs(F.col("af") - F.col("far")) <= apart + 1e-9, F.lit(True))
     sure = F.coalesce(F.col("af") + F.col("far") <= apart - 1e-9, F.lit(False))
-    open_ = left.join(right, ["token", "block"]).where((F.col("ac") != F.col("component")) & (sure | (_may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent) & near & _may_be_near(F.col("x"), F.col("y"), F.col("an"), F.col("n"), percent))))
+    open_ = left.join(right, ["token", "block", "part"]).where((F.col("ac") != F.col("component")) & (sure | (_may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent) & near & _may_be_near(F.col("x"), F.col("y"), F.col("an"), F.col("n"), percent))))
     second = open_.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max(sure).alias("sure"))
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
     found = found.union(second.where("sure").select("a", "b"))
@@ -262,20 +278,20 @@ def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return of.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
 
 
-def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """Every link between classes (a, b; a above b), and the members of each class (class_id, doc_id, n_shingles). A class
     is the rows of one set and has its smallest doc_id; sets that are empty or have no id are in none.
 
     A group of n similar sets has up to n squared links; similar_groups finds the groups without them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     classes = materialise(_classes(docs, words, percent), "classes")
-    found = links(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent, every=True)
+    found = links(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent, every=True, long=long)
     rows = shingle_sets(docs, words, percent).where("doc_id is not null")
     members = rows.join(classes.select("n_shingles", "digest", F.col("doc_id").alias("class_id")), ["n_shingles", "digest"]).select("class_id", "doc_id", "n_shingles")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members
 
 
-def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id: a row for each row of docs.
 
     docs: doc_id and text; other columns are ignored. A null text and one without words have the empty
@@ -283,7 +299,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     doc_id takes the component of its set, null if no other row has it. Ids that stand for
     several texts link what those texts link. Very long texts are shingled whole. An empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = components(links(docs, _classes(docs, words, percent).select("doc_id", "n_shingles", "prefix", "parity"), words, percent))
+    found = components(links(docs, _classes(docs, words, percent).select("doc_id", "n_shingles", "prefix", "parity"), words, percent, long=long))
     rows = materialise(shingle_sets(docs, words, percent), "sets")
     named = rows.where("digest is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"))
     named = named.join(found, "id", "left").select("n_shingles", "digest", F.coalesce("component", "id").alias("component_id"))

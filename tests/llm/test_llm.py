@@ -130,6 +130,7 @@ def groups(rows, n, percent):
 def test_ngram_join(docs, empty):
     got = Counter(map(tuple, ngram_join.similar_groups(docs).collect()))
     assert got == groups(ROWS, 4, 85)
+    assert Counter(map(tuple, ngram_join.similar_groups(docs, long=3).collect())) == got
     assert ngram_join.similar_groups(empty).count() == 0
 
 
@@ -150,11 +151,24 @@ def test_all_links(spark, docs):
     for i, x in enumerate(sets):
         of.setdefault(x, i)
     want = {(max(of[x], of[y]), min(of[x], of[y])) for x in of for y in of if x != y and x and y and 100 * len(x & y) >= 85 * len(x | y)}
-    found, members = ngram_join.all_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
-    assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 150
+    for long in (1000, 7):
+        found, members = ngram_join.all_links(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), long=long)
+        assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 150
     assert Counter(map(tuple, members.collect())) == Counter((of[x], i, len(x)) for i, x in enumerate(sets) if x)
 
 
+def test_a_common_shingle_is_dealt_out(spark):
+    """A passage in every text: its lists are long, and no part of one has more than so many rows."""
+    r, passage = random.Random(4), prose(12)
+    texts = [" ".join([passage, *["".join(r.choice("klmno") for _ in range(8)) for _ in range(6)]]) for _ in range(120)]
+    rows = [(i, t, "en", "a", 0, 1, 2) for i, t in enumerate(texts)]
+    got = Counter(map(tuple, ngram_join.similar_groups(spark.createDataFrame(rows, SCHEMA), long=10).collect()))
+    assert got == groups(rows, 4, 85)
+    lists = spark.createDataFrame([(i, 120) for i in range(120)], "id long, rows long")
+    parts = Counter(x.p for x in lists.select(ngram_join._part("id", 10).alias("p")).collect())
+    assert set(parts) <= set(range(12)) and max(parts.values()) <= 25 and lists.select(F.size(ngram_join._parts(10))).first()[0] == 12
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 60), (60, 50), (7, 7)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
