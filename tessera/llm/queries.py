@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, language_id, mixing, ngram_join, packing, personal_data, quality_rules, repeats, token_counts, toxicity
+from tessera.llm import exact_dedup, filter_audit, language_id, mixing, ngram_join, packing, personal_data, quality_rules, repeats, token_counts, toxicity
 from tessera.llm.common import documents
 
 
@@ -56,9 +56,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_tokens(documents(spark, sf_dir), VOCABULARY)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_suffix_dedup": repeats.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {
+        "op1_source_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_suffix_dedup": repeats.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+    }
