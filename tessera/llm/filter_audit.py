@@ -24,13 +24,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, text_or_empty, words_of
 
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Conditions of failure over _text, _words (their number) and _distinct, by the letter of their filter. REPEATED
 #: is the filter that the text of a smaller doc_id fails a document by; it is the last bit.
 FILTERS: dict[str, Callable[[], Column]] = {
     "A": lambda: F.col("_words") < 200,
     "B": lambda: 100 * F.col("_distinct") < 50 * F.col("_words"),
-    "C": lambda: 100 * (F.length("_text") - F.length(F.translate("_text", UPPER, ""))) > 2 * F.length("_text"),
+    "C": lambda: 100 * F.regexp_count("_text", F.lit("[A-Z]")) > 2 * F.length("_text"),
     "D": lambda: F.col("_text").rlike("[#$%&*|]"),
 }
 REPEATED = "E"
@@ -40,23 +39,25 @@ COUNTS = ("n", "good", "toxic")
 def failures(docs: DataFrame, filters: dict[str, Callable[[], Column]] = FILTERS) -> DataFrame:
     """doc_id, part, mask: a row for each row of docs. Bit k of the mask is the k-th filter's, the last bit that of REPEATED."""
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("part"), text_or_empty().alias("_text"))
-    read = read.withColumn("_list", words_of(F.col("_text"))).withColumn("_words", F.size("_list")).withColumn("_distinct", F.size(F.array_distinct("_list")))
-    mask = sum((F.when(fails(), F.lit(1 << k)).otherwise(F.lit(0)) for k, fails in enumerate(filters.values())), F.lit(0))
+    # In an array of one element, so that the words are made once for both numbers.
+    sizes = F.get(F.transform(F.array(words_of(F.col("_text"))), lambda w: F.struct(F.size(w).alias("all"), F.size(F.array_distinct(w)).alias("distinct"))), F.lit(0))
+    read = read.withColumn("_sizes", sizes).withColumn("_words", F.col("_sizes.all")).withColumn("_distinct", F.col("_sizes.distinct"))
+    mask = sum((F.coalesce(fails().cast("int"), F.lit(0)) * (1 << k) for k, fails in enumerate(filters.values())), F.lit(0))
     rows = materialise(read.select("doc_id", "part", mask.alias("mask"), F.unhex(F.sha2("_text", 256)).alias("digest")), "failures")
     # A group of copies is a minimum, and each row looks for itself among the minima: no group meets in one task.
-    named = rows.where("doc_id is not null")
-    first = named.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
-    named = named.join(first, ["digest", "doc_id"], "left").withColumn("mask", F.when(F.col("first"), F.col("mask")).otherwise(F.col("mask") + (1 << len(filters))))
-    return named.select("doc_id", "part", "mask").unionByName(rows.where("doc_id is null").select("doc_id", "part", "mask"))
+    first = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    repeated = F.when(F.col("doc_id").isNotNull() & F.col("first").isNull(), F.lit(1 << len(filters))).otherwise(F.lit(0))
+    return rows.join(first, ["digest", "doc_id"], "left").select("doc_id", "part", (F.col("mask") + repeated).alias("mask"))
 
 
 def mask_counts(failed: DataFrame, labels: DataFrame) -> DataFrame:
     """part, mask, n, good, toxic: how many documents of a part have a mask, and how many of them are labelled so."""
     is_one = lambda c: F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0))
-    of = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic"))
-    of = of.where("good + toxic > 0")
-    named = failed.where("doc_id is not null").join(of, "doc_id", "left").select("part", "mask", "good", "toxic")
-    rows = named.unionByName(failed.where("doc_id is null").select("part", "mask", F.lit(0).alias("good"), F.lit(0).alias("toxic")))
+    of = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("key")).agg(is_one("quality").alias("good"), is_one("toxic").alias("toxic"))
+    of = of.where("good + toxic > 0").select(F.struct("key", F.lit(None).cast("long").alias("_")).alias("key"), "good", "toxic")
+    # Rows without doc_id have no labels; a second number deals them out.
+    key = F.struct(F.col("doc_id").alias("key"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_"))
+    rows = failed.select(key.alias("key"), "part", "mask").join(of, "key", "left")
     return rows.groupBy("part", "mask").agg(F.count("*").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"))
 
 
@@ -79,7 +80,7 @@ def corners(polynomial: Column, n_filters: int) -> Column:
     return F.transform(masks, lambda s: F.aggregate(polynomial, F.struct(F.lit(0).alias("t"), F.lit(0).cast("long").alias("sum")), lambda a, c: F.struct((a["t"] + 1).alias("t"), (a["sum"] + F.when(a["t"].bitwiseAND(s) == a["t"], c).otherwise(0)).alias("sum")), lambda a: a["sum"]))
 
 
-def shapley_values(polynomial: Column, n_filters: int) -> Column:
+def shapley_values(polynomial: str, n_filters: int) -> Column:
     """n! times each filter's Shapley value, exactly.
 
     The partial derivative by x_i has on the diagonal, at degree k, the sum of the coefficients of all sets of k + 1 filters
@@ -87,8 +88,7 @@ def shapley_values(polynomial: Column, n_filters: int) -> Column:
     common = math.lcm(*range(1, n_filters + 1))
 
     def of(i: int) -> Column:
-        held = [t for t in range(1 << n_filters) if t >> i & 1]
-        numerator = sum((F.get(polynomial, F.lit(t)) * (common // t.bit_count()) for t in held), F.lit(0).cast("long"))
+        numerator = F.expr(" + ".join(f"{common // t.bit_count()} * {polynomial}[{t}]" for t in range(1 << n_filters) if t >> i & 1))
         return numerator * (math.factorial(n_filters) // common)
 
     return F.array(*[of(i) for i in range(n_filters)])
@@ -106,7 +106,7 @@ def audit(docs: DataFrame, labels: DataFrame, filters: dict[str, Callable[[], Co
     names = [*filters, REPEATED]
     n = len(names)
     of = removal_polynomials(mask_counts(failures(docs, filters), labels), n)
-    of = of.select("part", "total", *[corners(F.col(c), n).alias(c) for c in COUNTS], shapley_values(F.col("n"), n).alias("values"))
+    of = of.select("part", "total", *[corners(F.col(c), n).alias(c) for c in COUNTS], shapley_values("n", n).alias("values"))
     orders = of.withColumn("filter_order", F.explode(F.array(*[F.lit("".join(o)) for o in permutations(names)])))
     bit = lambda letter: F.element_at(F.array(*[F.lit(1 << k) for k in range(n)]), F.instr(F.lit("".join(names)), letter))
     steps = orders.select("*", F.posexplode(F.split("filter_order", "")).alias("before_it", "letter")).withColumn("bit", bit(F.col("letter")))
