@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, filter_audit, language_id, mixing, ngram_join, packing, personal_data, quality_rules, ranked_search, repeats, token_counts, toxicity
+from tessera.llm import exact_dedup, filter_audit, language_id, line_dedup, mixing, ngram_join, packing, personal_data, quality_rules, ranked_search, repeats, token_counts, toxicity
 from tessera.llm.common import documents
 
 
@@ -60,6 +60,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(documents(spark, sf_dir))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -71,5 +75,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_source_mixing": mixing.ORACLE, "op3_ngram_join": ngram_join.ORACLE, "op5_suffix_dedup": repeats.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op8_quality_rules": quality_rules.ORACLE,
-        "op11_filter_audit": filter_audit.ORACLE, "op13_ranked_search": ranked_search.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE, "op12_line_dedup": line_dedup.ORACLE, "op13_ranked_search": ranked_search.ORACLE,
     }

@@ -28,6 +28,7 @@ def folders(spark, tmp_path_factory):
         docs.write.parquet(f"{at}/documents.parquet")
         labels = [(r[0], int(r[0] % 3 != 0), int(r[0] % 4 == 0)) for r in rows if r[0] is not None] + [(None, 1, 1), (0, None, 1)] * bool(rows)
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("p_toxic", F.lit(1)).write.parquet(f"{at}/labels.parquet")
+        spark.createDataFrame([(1, "a b c"), (2, None)], "item_id long, text string").withColumn("rank", F.lit(1)).write.parquet(f"{at}/benchmark.parquet")
         out[name] = str(at)
     return out
 
@@ -111,7 +112,8 @@ def test_op10(spark, folders):
 @pytest.mark.parametrize("name", sorted(set(NAMES) & set(entry.oracle_sql())))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{entry.SMALL}/documents.parquet'")
+    for table in ("documents", "labels", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{entry.SMALL}/{table}.parquet'")
     got, want = entry.queries()[name](spark, entry.SMALL).toPandas(), con.execute(entry.oracle_sql()[name]).df()
     cells = lambda df: Counter(tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in r) for r in df.reindex(sorted(df.columns), axis=1).astype(object).itertuples(index=False))
     assert cells(got) == cells(want)
