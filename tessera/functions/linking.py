@@ -2,16 +2,19 @@
 
 A registry has a row for each company: symbol; aliases, which always count; ambiguous names, which are common words too and
 need a word of finance in their sentence; conditional names, which from a date on need words of their own in their sentence; and
-phrases in which none of them count. An Arrow function finds the hits, a few numbers for each; what they are worth
-are column expressions."""
+phrases in which none of them count. An automaton over the tokens of a text has the terms of the whole registry, so that each text is
+read once; an Arrow function gives the hits, a few numbers for each, and what they are worth are column expressions."""
 
 from __future__ import annotations
 
 import datetime as dt
+import math
 import re
 from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -27,6 +30,7 @@ SENTENCE_END = r"\n+|(?<=[.!?])\s+(?=[A-Z0-9\"'(‘“])"
 LONG_BODY = 1500
 THRESHOLD = 0.5
 PLACES = ("title", "summary", "body")
+TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 
 
 @dataclass(frozen=True)
@@ -47,21 +51,81 @@ class Company:
     search: tuple[str, ...] = ()
 
 
-def word_pattern(term: str, any_case: bool = False, plural: bool = False) -> str:
-    """A pattern for the term as whole words. Abbreviations in capitals match as they are; with any_case, and for terms in lower
-    case, case does not matter; other terms match as written or all in capitals."""
-    spaced, ending = r"\s+".join(map(re.escape, term.split())), "(?:s|es)?" if plural else ""
-    if term.upper() == term and term.lower() != term:
-        inner = spaced + ending
-    elif any_case or term[0].islower():
-        inner = f"(?i:{spaced}{ending})"
-    else:
-        inner = "|".join((spaced + ending, r"\s+".join(re.escape(w.upper()) for w in term.split()) + ending.upper()))
-    return rf"(?<!\w)(?:{inner})(?!\w)"
+def _words(term: str) -> list[str]:
+    """The term's tokens: runs of word characters, one blank for white space, other characters alone."""
+    return [" " if t.isspace() else t for t in TOKEN.findall(term.strip())]
+
+
+def spellings(term: str, any_case: bool = False) -> set[str] | None:
+    """How the term may be written; None for any case. Terms in capitals stand as they are, terms in lower case (and all with any_case)
+    in any case, others as they are or all in capitals."""
+    term = "".join(_words(term))
+    if term.isupper():
+        return {term}
+    return None if any_case or term[0].islower() else {term, term.upper()}
+
+
+class TermAutomaton:
+    """All terms of a registry in one automaton over the tokens of a text, so that a text is read once, however many terms there are."""
+
+    def __init__(self):
+        self.next: list[dict[str, int]] = [{}]
+        self.ends: list[list[tuple[int, set[str] | None, object]]] = [[]]
+        self.back: list[int] = []
+
+    def add(self, term: str, of: object, any_case: bool = False, plural: bool = False) -> None:
+        """A term, or its plurals too, whose occurrences are reported with `of`."""
+        allowed = spellings(term, any_case)
+        for ending in ("", "s", "es") if plural else ("",):
+            words = _words(term + ending)
+            known = allowed and {x + (ending.upper() if x.isupper() and not term.isupper() else ending) for x in allowed}
+            state = 0
+            for w in words:
+                state = self.next[state].setdefault(w.lower(), len(self.next))
+                if state == len(self.next):
+                    self.next.append({})
+                    self.ends.append([])
+            self.ends[state].append((len(words), known, of))
+
+    def link(self) -> None:
+        """Where to go on, for each state, when a token does not continue it."""
+        self.back = [0] * len(self.next)
+        queue = list(self.next[0].values())
+        for state in queue:
+            for word, after in self.next[state].items():
+                at = self.back[state]
+                while at and word not in self.next[at]:
+                    at = self.back[at]
+                self.back[after] = self.next[at].get(word, 0)
+                queue.append(after)
+            self.ends[state] = self.ends[state] + self.ends[self.back[state]]
+
+    def find(self, text: str) -> Iterator[tuple[int, int, object]]:
+        """(start, end, of) of every occurrence, by its end."""
+        tokens = TOKEN.findall(text)
+        low = [t.lower() for t in tokens]
+        begins = list(accumulate(map(len, tokens), initial=0))
+        goes, back, ends, state = self.next, self.back, self.ends, 0
+        for k, word in enumerate(low):
+            if word not in goes[state]:
+                if word.isspace():
+                    word = " "
+                while state and word not in goes[state]:
+                    state = back[state]
+            state = goes[state].get(word, 0)
+            for n, allowed, of in ends[state]:
+                first = k - n + 1
+                if allowed is not None and "".join(" " if t.isspace() else t for t in tokens[first : k + 1]) not in allowed:
+                    continue
+                start, end = begins[first], begins[k + 1]
+                # Terms that begin or end with another sign than a word's stand alone too.
+                if (start and _is_word(text[start - 1])) or (end < len(text) and _is_word(text[end])):
+                    continue
+                yield start, end, of
 
 
-def any_of(terms: tuple[str, ...], plural: bool = True) -> str:
-    return "|".join(word_pattern(t, plural=plural) for t in terms)
+def _is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
 
 
 class Sentences:
@@ -72,93 +136,181 @@ class Sentences:
     def __init__(self, text: str):
         self.text, self.begin, self.end = text, [0], []
         for m in self.ending.finditer(text):
-            word = re.search(r"(\S+)[.!?]+$", text[: m.start()]) if "\n" not in m[0] else None
-            if word is None or word[1].rstrip(".!?").lower() not in ABBREVIATIONS:
+            if "\n" in m[0] or self._word_before(m.start()).lower() not in ABBREVIATIONS:
                 self.end.append(m.start())
                 self.begin.append(m.end())
         self.end.append(len(text))
 
+    def _word_before(self, place: int) -> str:
+        """The last word before place, without the marks that end it: no more of the text is looked at."""
+        text, end = self.text, place
+        while end and text[end - 1] in ".!?":
+            end -= 1
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and not text[start - 1].isspace():
+            start -= 1
+        return text[start:end]
+
+    def number(self, place: int) -> int:
+        """A place between two sentences belongs to the first one."""
+        return bisect_right(self.begin, place) - 1
+
     def at(self, place: int) -> str:
-        # A place between two sentences belongs to the first one.
-        k = bisect_right(self.begin, place) - 1
+        k = self.number(place)
         return self.text[self.begin[k] : self.end[k]]
 
 
-class Matcher:
-    """The hits of one company's names in a text."""
-
-    def __init__(self, company: Company):
-        strong = [*company.aliases, *([] if company.symbol in company.aliases else [company.symbol])]
-        names = [(n, 0, None, None) for n in strong]
-        names += [(n, 1, re.compile(any_of(c.context)), c.since) for c in company.conditional for n in c.names]
-        names += [(n, 2, re.compile(any_of(FINANCE)), None) for n in company.ambiguous]
-        # Of names that begin at one place the longest counts, and of equal ones the stronger.
-        self.names = sorted(names, key=lambda n: (-len(n[0]), n[1]))
-        self.pattern = re.compile("|".join(f"({word_pattern(n[0], any_case=n[1] < 2)})" for n in self.names))
-        self.excludes = re.compile("|".join(f"(?i:{word_pattern(x)})" for x in sorted(company.excludes, key=len, reverse=True))) if company.excludes else None
-
-    def hits(self, text: str | None, day: dt.date) -> Iterator[tuple[str, int, bool, int, int]]:
-        """(name, kind, whether it is strong, start, end)"""
-        if not text:
-            return
-        if self.excludes:
-            text = self.excludes.sub(lambda m: " " * len(m[0]), text)
-        sentences = None
-        for m in self.pattern.finditer(text):
-            name, kind, context, since = self.names[m.lastindex - 1]
-            early = kind == 1 and since is not None and day < since
-            if kind and not early:
-                sentences = sentences or Sentences(text)
-                if not context.search(sentences.at(m.start())):
+#: What a term is in the registry for.
+_NAME, _EXCLUDED, _CONTEXT, _MARKET = range(4)
+
+
+class Registry:
+    """The names of all companies in one automaton, with the words that their contexts and market reports are known by."""
+
+    def __init__(self, companies: list[Company], finance: tuple[str, ...] = FINANCE, market: tuple[str, ...] = MARKET):
+        self.companies, self.terms, contexts = companies, TermAutomaton(), {}
+
+        def context(words: tuple[str, ...]) -> int:
+            if words not in contexts:
+                contexts[words] = len(contexts)
+                for w in words:
+                    self.terms.add(w, (_CONTEXT, contexts[words]), plural=True)
+            return contexts[words]
+
+        for w in market:
+            self.terms.add(w, (_MARKET,))
+        for c, company in enumerate(companies):
+            for x in company.excludes:
+                self.terms.add(x, (_EXCLUDED, c), any_case=True)
+            for n in dict.fromkeys((*company.aliases, company.symbol)):
+                self.terms.add(n, (_NAME, c, 0, n, None, None), any_case=True)
+            for rule in company.conditional:
+                for n in rule.names:
+                    self.terms.add(n, (_NAME, c, 1, n, context(rule.context), rule.since), any_case=True)
+            for n in company.ambiguous:
+                self.terms.add(n, (_NAME, c, 2, n, context(finance), None))
+        self.terms.link()
+
+    def hits(self, text: str | None, day: dt.date) -> tuple[list[tuple[int, str, int, bool, int, int]], int]:
+        """(company, name, kind, whether it is strong, start, end) of each name that counts; and where a word of market reports stands, or -1."""
+        names, excluded, contexts, report = defaultdict(list), defaultdict(list), defaultdict(list), -1
+        for start, end, of in self.terms.find(text or ""):
+            if of[0] == _NAME:
+                names[of[1]].append((start, -len(of[3]), of[2], end, of))
+            elif of[0] == _CONTEXT:
+                contexts[of[1]].append((start, end))
+            elif of[0] == _EXCLUDED:
+                excluded[of[1]].append((start, -end))
+            elif report < 0 or start < report:
+                report = start
+        out, whole = [], None
+        for c in sorted(names):
+            gone = _apart(excluded[c])
+            sentences = None
+            upto = 0
+            # Of names that begin at one place the longest counts, and of equal ones the stronger.
+            for start, _, kind, end, (_, _, _, name, context, since) in sorted(names[c], key=lambda n: n[:3]):
+                if start < upto or _touches(gone, start, end):
                     continue
-            yield name, kind, not kind or early, m.start(), m.end()
-
-
-HITS = "array<struct<symbol:string,place:int,name:string,kind:int,strong:boolean,start:int,end:int,moves:boolean,sentence:string>>"
-
-
-def hits(companies: list[Company]) -> object:
-    """A function of (title, summary, body, day) that gives all hits of all companies, with the sentence they stand in."""
+                upto = end
+                early = kind == 1 and since is not None and day < since
+                if kind and not early:
+                    if gone:
+                        sentences = sentences or Sentences(_blanked(text, gone))
+                    else:
+                        sentences = whole = whole or Sentences(text)
+                    k = sentences.number(start)
+                    if not _within(contexts[context], sentences.begin[k], sentences.end[k], gone):
+                        continue
+                out.append((c, name, kind, not kind or early, start, end))
+        return out, report
+
+
+def _apart(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (start, -end), first and longest first, without those that begin within another one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if not out or start >= out[-1][1]:
+            out.append((start, -end))
+    return out
+
+
+def _touches(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    k = bisect_right(spans, (start, math.inf))
+    return (k > 0 and spans[k - 1][1] > start) or (k < len(spans) and spans[k][0] < end)
+
+
+def _within(found: list[tuple[int, int]], begin: int, end: int, gone: list[tuple[int, int]]) -> bool:
+    """Whether one of found lies from begin to end and touches nothing of gone. They are in the order of their ends."""
+    for k in range(bisect_right(found, begin, key=lambda s: s[1]), len(found)):
+        if found[k][1] > end:
+            return False
+        if found[k][0] >= begin and not _touches(gone, *found[k]):
+            return True
+    return False
+
+
+def _blanked(text: str, spans: list[tuple[int, int]]) -> str:
+    parts, at = [], 0
+    for start, end in spans:
+        parts += [text[at:start], " " * (end - start)]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+HITS = "struct<report:int,hits:array<struct<symbol:string,place:int,name:string,kind:int,strong:boolean,start:int,moves:boolean,sentence:int>>,sentences:array<string>>"
+
+
+def hits(companies: list[Company], finance: tuple[str, ...] = FINANCE, market: tuple[str, ...] = MARKET) -> object:
+    """A function of (title, summary, body, day) that gives all hits of all companies, the sentences that have one (each once; a hit
+    has its place among them), and where a title names a market report."""
     moves, tail = re.compile(MOVES, re.I), re.compile(LIST_TAIL, re.I)
 
     @F.pandas_udf(HITS)
-    def found(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        matchers = [(c.symbol, Matcher(c)) for c in companies]
+    def found(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        registry = Registry(companies, finance, market)
         for batch in parts:
             out = []
             for *texts, day in zip(*batch):
-                row = []
+                row, told, reports = [], {}, -1
                 for place, text in enumerate(texts):
-                    sentences = None
-                    for symbol, matcher in matchers:
-                        for name, kind, strong, start, end in matcher.hits(text, day):
-                            sentences = sentences or Sentences(text)
-                            row.append((symbol, place, name, kind, strong, start, end, bool(place == 0 and moves.match(text, end) and not tail.search(text[:start])), sentences.at(start).strip()))
-                out.append(row)
-            yield pd.Series(out)
+                    of, report = registry.hits(text, day)
+                    if place == 0:
+                        reports = report
+                    sentences = Sentences(text) if of else None
+                    for c, name, kind, strong, start, end in of:
+                        key = sentences.at(start).strip()
+                        moved = place == 0 and moves.match(text, end) is not None and tail.search(text[:start]) is None
+                        row.append((companies[c].symbol, place, name, kind, strong, start, moved, told.setdefault(key, len(told))))
+                out.append((reports, row, list(told)))
+            yield pd.DataFrame(out, columns=["report", "hits", "sentences"])
 
     return found
 
 
-def mentions(rows: DataFrame, companies: list[Company], day: str = "day") -> DataFrame:
+def mentions(rows: DataFrame, companies: list[Company], day: str = "day", finance: tuple[str, ...] = FINANCE, market: tuple[str, ...] = MARKET) -> DataFrame:
     """The columns of rows (title, summary, body, day and others) for each company that is named in one, with symbol, matched_alias,
     location, mention_count, confidence and sentences (the distinct ones that name it, in order).
 
     The first place with a hit says how sure it is: title, summary, then body. In the title of a market report
     the company counts half unless it alone is named before the report's word, or is said to move itself."""
-    wrap = F.regexp_instr(F.coalesce("title", F.lit("")), F.lit(f"(?U){any_of(MARKET, plural=False)}"))
-    of = rows.withColumn("_hits", hits(companies)(F.col("title"), F.col("summary"), F.col("body"), F.col(day))).withColumn("_wrap", wrap)
+    of = rows.withColumn("_found", hits(companies, finance, market)(F.col("title"), F.col("summary"), F.col("body"), F.col(day))).where(F.size("_found.hits") > 0)
+    of = of.withColumn("_hits", F.col("_found.hits"))
     titled = F.array_distinct(F.transform(F.filter("_hits", lambda h: h["place"] == 0), lambda h: h["symbol"]))
     of = of.withColumn("_titled", F.size(titled)).withColumn("symbol", F.explode(F.array_distinct(F.transform("_hits", lambda h: h["symbol"]))))
     of = of.withColumn("_own", F.filter("_hits", lambda h: h["symbol"] == F.col("symbol"))).withColumn("_place", F.array_min(F.transform("_own", lambda h: h["place"])))
     here = F.filter("_own", lambda h: h["place"] == F.col("_place"))
     of = of.withColumn("_here", here).withColumn("mention_count", F.size("_own").cast("long"))
     strong, moves = F.exists("_here", lambda h: h["strong"]), F.exists("_here", lambda h: h["moves"])
-    leads = (F.col("_titled") == 1) & (F.get("_here", F.lit(0))["start"] + 1 < F.col("_wrap"))
-    wrapped = (F.col("_place") == 0) & (F.col("_wrap") > 0) & ~leads & ~moves
+    report = F.col("_found.report")
+    leads = (F.col("_titled") == 1) & (F.get("_here", F.lit(0))["start"] < report)
+    wrapped = (F.col("_place") == 0) & (report >= 0) & ~leads & ~moves
     sure = worth(F.col("_place"), strong, F.col("mention_count"), F.length(F.coalesce("body", F.lit(""))))
     place = F.element_at(F.array(*[F.lit(p) for p in PLACES]), F.col("_place") + 1)
-    sentences = F.array_distinct(F.filter(F.transform("_own", lambda h: h["sentence"]), lambda s: s != ""))
+    own = F.array_distinct(F.transform("_own", lambda h: h["sentence"]))
+    sentences = F.filter(F.transform(own, lambda k: F.get("_found.sentences", k)), lambda s: s != "")
     return of.select(*rows.columns, "symbol", F.get("_here", F.lit(0))["name"].alias("matched_alias"), place.alias("location"), "mention_count", F.bround(F.when(wrapped, sure * 0.5).otherwise(sure), 3).alias("confidence"), sentences.alias("sentences"), F.exists("_own", lambda h: h["kind"] == 1).alias("by_condition"))
 
 

@@ -1,13 +1,17 @@
 """Companies in texts, titles that tell the same, filings and forum posts: the rules, case by case."""
 
 import datetime as dt
+import re
+import time
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.functions import actions as A
 from tessera.functions import linking, posts, similarity
-from tessera.functions.linking import Company, Conditional, Matcher, Sentences
+from tessera.functions.linking import Company, Conditional, Registry, Sentences
 from tessera.operators import actions, components, stories
 
 DAY = dt.date(2026, 9, 20)
@@ -18,7 +22,7 @@ ALL = [BANK, OIL, CARS]
 
 
 def named(company, text, day=DAY):
-    return [h[0] for h in Matcher(company).hits(text, day)]
+    return [h[1] for h in Registry([company]).hits(text, day)[0]]
 
 
 @pytest.mark.parametrize(("company", "text", "names"), [
@@ -39,6 +43,51 @@ def test_sentences():
     assert [s.at(i) for i in (0, 16, 26, 33)] == ["One Ltd. rose.", "Two fell!", "three Rs. 5 now.", "three Rs. 5 now."] and s.at(48) == '"Four" ends'
 
 
+def test_one_pass_for_a_large_registry():
+    """The time goes with the text, not with the companies or the square of the text."""
+    few = [Company(f"SYM{i}", aliases=(f"Firm {i} Works", f"F{i}"), ambiguous=(f"Orb{i}",), excludes=(f"Firm {i} Works Club",)) for i in range(5000)]
+    text = "Firm 77 Works rose with Orb4000 shares. The Firm 12 Works Club met. F4999 and firm  9 works fell, not F5000. "
+    want = [("SYM9", "Firm 9 Works"), ("SYM77", "Firm 77 Works"), ("SYM4000", "Orb4000"), ("SYM4999", "F4999")]
+    registry = Registry(few)
+    took = []
+    for n in (20, 40, 80):
+        began = time.perf_counter()
+        got, _ = registry.hits(text * n, DAY)
+        took.append(time.perf_counter() - began)
+        assert [(few[h[0]].symbol, h[1]) for h in got] == [w for w in want for _ in range(n)]
+    assert took[2] < 12 * took[0] + 0.2
+    began = time.perf_counter()
+    assert Sentences("One rose. Two fell in it. " * 20_000).number(520_000 - 3) == 39_999 and time.perf_counter() - began < 5
+
+
+def plain_hits(company, text, day):
+    """By regular expressions, one company at a time."""
+    bound = lambda x: rf"(?<!\w)(?:{x})(?!\w)"
+    spaced = lambda t, end="": r"\s+".join(map(re.escape, t.split())) + end
+
+    def term(t, any_case=False, end=""):
+        if t.isupper():
+            return bound(spaced(t, end))
+        return bound(f"(?i:{spaced(t, end)})") if any_case or t[0].islower() else bound(f"{spaced(t, end)}|{spaced(t.upper(), end.upper())}")
+
+    for x in sorted(company.excludes, key=len, reverse=True):
+        text = re.sub(term(x, True), lambda m: " " * len(m[0]), text)
+    ways = [(n, 0, (), None) for n in (*company.aliases, company.symbol)] + [(n, 1, c.context, c.since) for c in company.conditional for n in c.names] + [(n, 2, linking.FINANCE, None) for n in company.ambiguous]
+    ways.sort(key=lambda n: (-len(n[0]), n[1]))
+    s = Sentences(text)
+    for m in re.finditer("|".join(f"({term(n[0], n[1] < 2)})" for n in ways), text):
+        name, kind, context, since = ways[m.lastindex - 1]
+        if not kind or (kind == 1 and since and day < since) or any(re.search(term(c, end="(?:s|es)?"), s.at(m.start())) for c in context):
+            yield name, m.start(), m.end()
+
+
+@given(st.lists(st.sampled_from(["North", "north", "Bank", "BANK", "NBK", "nbk", "Life", "Arena", "Solaris", "SOLARIS", "solaris", "Velox", "Motors", "Passenger", "Cars", "car", "EVs", "Nimbus", "shares", "Price", "Q1", "NSE", "nse", "Ltd", "-", ".", ". ", "! ", "\n", "  ", ", ", "_", "é"]), max_size=25), st.booleans())
+def test_hits_are_those_of_plain_patterns(words, glued):
+    text = ("" if glued else " ").join(words)
+    got, _ = Registry(ALL).hits(text, DAY)
+    assert [(ALL[h[0]].symbol, h[1], h[4], h[5]) for h in got] == [(c.symbol, *h) for c in ALL for h in plain_hits(c, text, DAY)]
+
+
 def test_confidence(spark):
     long = "x " * 800
     cases = [
