@@ -5,10 +5,10 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.actions import classified, extracted, filing_text
+from tessera.operators.asof import as_of
 
 # Days within which a known action is the same, the overnight move below which prices are adjusted already, days within
 # which an undated mention belongs to a dated one.
@@ -33,7 +33,10 @@ def gathered(actions: DataFrame) -> DataFrame:
     local = F.from_utc_timestamp("filed_at", "UTC").cast("date")
     dated = actions.where("ex_date is not null").groupBy(*keys, "ex_date").agg(F.min(F.struct("filed_at", "id")).alias("first"))
     undated = actions.where("ex_date is null").select(*keys, local.alias("on")).distinct()
-    near = undated.join(dated, keys).where(F.abs(F.datediff("on", "ex_date")) <= FOLD_DAYS)
+    # What lies within so many days is in the same block of them or in one beside it.
+    block = lambda c: F.floor(F.unix_date(c) / FOLD_DAYS)
+    around = dated.withColumn("block", F.explode(F.sequence(block("ex_date") - 1, block("ex_date") + 1)))
+    near = undated.withColumn("block", block("on")).join(around, [*keys, "block"]).where(F.abs(F.datediff("on", "ex_date")) <= FOLD_DAYS)
     into = near.groupBy(*keys).agg(F.min_by("ex_date", "first").alias("into"))
     of = actions.join(into, keys, "left").withColumn("key_date", F.coalesce("ex_date", "into"))
     time = F.struct("filed_at", "id")
@@ -44,17 +47,17 @@ def gathered(actions: DataFrame) -> DataFrame:
 
 def overnight(bars: DataFrame, wanted: DataFrame) -> DataFrame:
     """symbol, ex_date, bar_date, gap of wanted (symbol, ex_date): the open of the first bar on or after the date over the close of the last one
-    before it; null where there is none. Bars are numbered by their dates, so that each date looks up two of them."""
-    w = W.partitionBy("symbol").orderBy("date")
-    marks = bars.select("symbol", "date", "open", F.lag("close").over(w).alias("before"), F.lag("date").over(w).alias("after"))
-    hit = wanted.join(marks, "symbol").where((F.col("date") >= F.col("ex_date")) & (F.col("after").isNull() | (F.col("after") < F.col("ex_date"))))
-    return hit.select("symbol", "ex_date", F.col("date").alias("bar_date"), (F.col("open") / F.col("before") - 1).alias("gap"))
+    before it; null where there is none."""
+    after = as_of(wanted.select("symbol", "ex_date"), bars, ["symbol"], "ex_date", "date", {"date": "bar_date", "open": "opened"}, forward=True)
+    both = as_of(after, bars, ["symbol"], "ex_date", "date", {"close": "before"}, same=False)
+    return both.where("bar_date is not null").select("symbol", "ex_date", "bar_date", (F.col("opened") / F.col("before") - 1).alias("gap"))
 
 
 def with_status(actions: DataFrame, known: DataFrame, bars: DataFrame, today: dt.date) -> DataFrame:
     """actions with status and note. known: symbol, ex_date of recorded actions; bars: symbol, date, open, close."""
     k = known.select("symbol", F.col("ex_date").alias("known_date"))
-    hit = actions.select("symbol", "ex_date").distinct().join(k, "symbol").where(F.abs(F.datediff("ex_date", "known_date")) <= SAME_DAYS).groupBy("symbol", "ex_date").agg(F.min("known_date").alias("known_date"))
+    k = k.withColumn("ex_date", F.explode(F.expr(f"sequence(known_date - {SAME_DAYS}, known_date + {SAME_DAYS})")))
+    hit = k.groupBy("symbol", "ex_date").agg(F.min("known_date").alias("known_date"))
     gaps = overnight(bars, actions.where("ex_date is not null").select("symbol", "ex_date").distinct())
     of = actions.join(hit, ["symbol", "ex_date"], "left").join(gaps, ["symbol", "ex_date"], "left")
     ex, gap = F.col("ex_date"), F.col("gap")

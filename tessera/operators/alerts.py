@@ -99,27 +99,44 @@ def signal_alerts(signals: DataFrame, said: DataFrame, described: Column, label:
     return of.select(*alert("price_signal", F.concat_ws(":", F.col("date").cast("string"), "signal"), F.col("date"), "normal", F.rtrim(text)))
 
 
-def averages(daily: DataFrame, days: DataFrame) -> DataFrame:
-    """symbol, day, avg_7, avg_30, stories_7 for each session day: story-weighted means over 7 and 30 calendar days up to it."""
-    each = daily.select("symbol").distinct().crossJoin(days.select("day"))
-    of = each.join(daily.select("symbol", F.col("session_date").alias("day"), "weighted_score", "story_count"), ["symbol", "day"], "left").withColumn("_d", F.unix_date("day"))
-    over = lambda n: W.partitionBy("symbol").orderBy("_d").rangeBetween(1 - n, 0)
-    mean = lambda n: F.try_divide(F.sum(F.col("weighted_score") * F.col("story_count")).over(over(n)), F.sum("story_count").over(over(n)))
-    return of.select("symbol", "day", mean(7).alias("avg_7"), mean(30).alias("avg_30"), F.coalesce(F.sum("story_count").over(over(7)), F.lit(0)).alias("stories_7"))
-
-
-def is_shift(avg_7: str = "avg_7", avg_30: str = "avg_30", stories: str = "stories_7") -> Column:
-    return F.coalesce((F.col(stories) >= LEAST_STORIES) & (F.abs(F.col(avg_7) - F.col(avg_30)) >= SHIFT), F.lit(False))
-
-
-def news_shifts(daily: DataFrame, days: DataFrame, stories: DataFrame) -> DataFrame:
-    """Alerts on the first session of a shift, with the stories of its week that lean that way most; tips are never quoted. days: session days;
-    stories: symbol, session_date, title, source, score."""
-    of = averages(daily, days).withColumn("on", is_shift())
-    of = of.withColumn("was", F.coalesce(F.lag("on").over(W.partitionBy("symbol").orderBy("day")), F.lit(False))).where("`on` and not was")
+#: Exact, so that running sums give the same whatever entered them.
+EXACT = "decimal(28,15)"
+
+
+def averages(daily: DataFrame, days: DataFrame, windows: tuple[int, int] = (7, 30)) -> DataFrame:
+    """symbol, day, avg_7, avg_30, stories_7 for each asked day, which may be any: story-weighted means over 7 and 30 calendar days up to it; null
+    without stories. daily: symbol, session_date, weighted_score, story_count; days: day, asked of all symbols of daily, or symbol and day.
+
+    A row enters the sums on its day and leaves them 7 and 30 days on; running sums over these days and the asked ones are the windows, so
+    that each row is seen three times, however many days are asked for."""
+    asked = days.select("symbol", "day").distinct() if "symbol" in days.columns else daily.select("symbol").distinct().crossJoin(days.select("day").distinct())
+    w, n = (F.coalesce("weighted_score", F.lit(0.0)) * F.col("story_count")).cast(EXACT), F.col("story_count").cast("long")
+    zero, none = F.lit(0).cast(EXACT), F.lit(0).cast("long")
+    change = lambda k, sign: (F.date_add("session_date", k).alias("day"), *[x.alias(name) for width, m in enumerate(windows) for x, name in ((sign * w if sign > 0 or m == k else zero, f"w{width}"), (sign * n if sign > 0 or m == k else none, f"n{width}"))])
+    moves = daily.select("symbol", F.explode(F.array(F.struct(*change(0, 1)), *[F.struct(*change(k, -1)) for k in windows])).alias("m")).select("symbol", "m.*", F.lit(False).alias("asked"))
+    points = moves.unionByName(asked.select("symbol", "day", *[c.alias(f"{x}{k}") for k in (0, 1) for x, c in (("w", zero), ("n", none))], F.lit(True).alias("asked")))
+    points = points.groupBy("symbol", "day").agg(*[F.sum(c).cast("decimal(38,15)" if c[0] == "w" else "long").alias(c) for c in ("w0", "n0", "w1", "n1")], F.max("asked").alias("asked"))
+    upto = W.partitionBy("symbol").orderBy("day").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = points.select("symbol", "day", "asked", *[F.sum(c).over(upto).cast("double" if c[0] == "w" else "long").alias(c) for c in ("w0", "n0", "w1", "n1")]).where("asked")
+    return sums.select("symbol", "day", F.when(F.col("n0") > 0, F.col("w0") / F.col("n0")).alias("avg_7"), F.when(F.col("n1") > 0, F.col("w1") / F.col("n1")).alias("avg_30"), F.col("n0").alias("stories_7"))
+
+
+def is_shift(shift: float = SHIFT, least: int = LEAST_STORIES) -> Column:
+    return F.coalesce((F.col("stories_7") >= least) & (F.abs(F.col("avg_7") - F.col("avg_30")) >= shift), F.lit(False))
+
+
+def news_shifts(daily: DataFrame, days: DataFrame, stories: DataFrame, shift: float = SHIFT, least: int = LEAST_STORIES) -> DataFrame:
+    """Alerts on the asked days of a shift that was not there on the trading day before, with the stories of its week that lean that way most; tips
+    are never quoted. days: day, previous_session; stories: symbol, session_date, title, source, score."""
+    days = days.select("day", "previous_session").distinct()
+    both = days.select("day").unionByName(days.select(F.col("previous_session").alias("day"))).where("day is not null").distinct()
+    on = averages(daily, both).withColumn("on", is_shift(shift, least))
+    before = on.select("symbol", F.col("day").alias("previous_session"), F.col("on").alias("was"))
+    of = on.where("`on`").join(days, "day").join(before, ["symbol", "previous_session"], "left").where("not coalesce(was, false)")
     of = of.withColumn("way", F.when(F.col("avg_7") > F.col("avg_30"), 1).otherwise(-1))
     s = stories.where(F.col("score").isNotNull() & ~F.col("title").rlike(f"(?i){TIP}")).select("symbol", "session_date", "title", "source", "score")
-    near = of.select("symbol", "day", "way").join(s, "symbol").where((F.col("session_date") > F.date_sub("day", 7)) & (F.col("session_date") <= F.col("day")))
+    week = of.select("symbol", "day", "way", F.explode(F.sequence(F.date_sub("day", 6), F.col("day"))).alias("session_date"))
+    near = week.join(s, ["symbol", "session_date"])
     near = near.withColumn("r", F.row_number().over(W.partitionBy("symbol", "day").orderBy(F.desc(F.col("score") * F.col("way")), "title"))).where(f"r <= {HEADLINES}")
     heads = near.groupBy("symbol", "day").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat(F.lit('"'), "title", F.lit('" ('), F.coalesce("source", F.lit("unknown")), F.lit(")")).alias("h")))), lambda x: x["h"]), "; ").alias("heads"))
     of = of.join(heads, ["symbol", "day"], "left")
@@ -128,20 +145,25 @@ def news_shifts(daily: DataFrame, days: DataFrame, stories: DataFrame) -> DataFr
 
 
 def figure(name: Column, value: Column, yoy: Column, qoq: Column) -> Column:
-    return F.concat(name, F.format_string(" %,.0f cr (YoY ", value), pct(yoy), F.lit(", QoQ "), pct(qoq), F.lit(")"))
+    return F.concat(name, F.format_string(" ₹%,.0f cr (YoY ", value), pct(yoy), F.lit(", QoQ "), pct(qoq), F.lit(")"))
 
 
 def results_alerts(filings: DataFrame, changes: DataFrame, max_age: int = RESULT_DAYS) -> DataFrame:
-    """Alerts on newly seen results of a symbol's latest quarter. filings: id, symbol, filed_on, seen_on; changes: filing_id, symbol,
-    period_end, basis, fiscal_quarter, metric, value, qoq, yoy."""
+    """Alerts on newly seen results of a symbol's latest quarter: its revenue (total income where there is none) and net profit.
+
+    filings: id, symbol, filed_on, seen_on; changes: filing_id, symbol, period_end, basis, fiscal_quarter, metric, value, qoq, yoy. Of a
+    filing with both bases the first one by name is told."""
     latest = changes.groupBy("symbol").agg(F.max("period_end").alias("latest"))
-    of = filings.where(F.col("filed_on") >= F.date_sub("seen_on", max_age)).join(latest, "symbol")
-    of = of.join(changes.drop("symbol"), (F.col("filing_id") == F.col("id")) & (F.col("period_end") == F.col("latest"))).where("metric in ('revenue', 'net_profit')")
-    name = F.replace(F.col("metric"), F.lit("_"), F.lit(" "))
-    rank = F.when(F.col("metric") == "revenue", 0).otherwise(1)
-    of = of.groupBy("id", "symbol", "seen_on", "filed_on", "fiscal_quarter", "basis").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("k"), figure(name, F.col("value"), F.col("yoy"), F.col("qoq")).alias("f")))), lambda x: x["f"]), "; ").alias("figures"))
-    text = F.concat("symbol", F.lit(": "), "fiscal_quarter", F.lit(" "), "basis", F.lit(" results imported (board date "), F.date_format("filed_on", "dd MMM yyyy"), F.lit("). "), "figures", F.lit("."))
-    return of.select(*alert("results", F.concat_ws(":", F.col("id").cast("string"), "basis"), F.col("seen_on"), "high", text))
+    own = changes.where("filing_id is not null").groupBy("symbol", F.col("filing_id").alias("id")).agg(F.max("period_end").alias("latest"), F.min("basis").alias("basis"), F.max_by("fiscal_quarter", "period_end").alias("fiscal_quarter"))
+    of = filings.where(F.col("filed_on") >= F.date_sub("seen_on", max_age)).join(own.join(latest, ["symbol", "latest"]), ["symbol", "id"])
+    told = changes.where("metric in ('revenue', 'total_income', 'net_profit')").select("symbol", "basis", F.col("period_end").alias("latest"), "metric", "value", "qoq", "yoy")
+    of = of.join(told, ["symbol", "basis", "latest"])
+    rank = F.when(F.col("metric") == "revenue", 0).when(F.col("metric") == "total_income", 1).otherwise(2)
+    line = figure(F.replace(F.col("metric"), F.lit("_"), F.lit(" ")), F.col("value"), F.col("yoy"), F.col("qoq"))
+    of = of.groupBy("id", "symbol", "seen_on", "filed_on", "fiscal_quarter", "basis").agg(F.array_sort(F.collect_list(F.struct(rank.alias("k"), line.alias("f")))).alias("lines"))
+    lines = F.filter("lines", lambda x: (x["k"] != 1) | (F.get("lines", F.lit(0))["k"] == 1))
+    text = F.concat("symbol", F.lit(": "), "fiscal_quarter", F.lit(" "), "basis", F.lit(" results imported (board date "), F.date_format("filed_on", "dd MMM yyyy"), F.lit("). "), F.array_join(F.transform(lines, lambda x: x["f"]), "; "), F.lit("."))
+    return of.select(*alert("results", F.col("id").cast("string"), F.col("seen_on"), "high", text))
 
 
 def pending_alerts(pending: DataFrame, day: Column, statuses: tuple[str, ...] = ("upcoming", "undated", "needs_review")) -> DataFrame:

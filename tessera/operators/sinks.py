@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def conform(rows: DataFrame, like: DataFrame, keys: list[str]) -> DataFrame:
-    """rows with the columns of `like`: absent ones null, NaN null; unknown columns, missing or repeated keys raise."""
+    """rows with the columns of `like`: absent ones null, NaN null; unknown columns, missing, null or repeated keys raise."""
     if unknown := set(rows.columns) - set(like.columns):
         raise ValueError(f"unknown columns: {sorted(unknown)}")
     if absent := set(keys) - set(rows.columns):
         raise ValueError(f"missing keys: {sorted(absent)}")
+    if not rows.where(reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys])).isEmpty():
+        raise ValueError("null keys")
     if not rows.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError("repeated keys")
     kinds = dict(like.dtypes)
@@ -102,8 +105,11 @@ def inserted(stored: DataFrame, new: DataFrame, keys: list[str], order: list[str
 def replace_partition(rows: DataFrame, path: str, by: str, values: list[str]) -> None:
     """Writes rows as the partitions `values` of the table at path, each replaced, and cleared where rows has none."""
     spark = rows.sparkSession
-    replace_partitions(rows, path, by)
+    # Made once, and known before anything is replaced.
+    rows = rows.persist(StorageLevel.DISK_ONLY)
     have = {str(r[0]) for r in rows.select(by).distinct().collect()}
+    replace_partitions(rows, path, by)
+    rows.unpersist()
     hadoop = spark._jvm.org.apache.hadoop.fs.Path
     for value in set(values) - have:
         gone = hadoop(f"{path}/{by}={value}")

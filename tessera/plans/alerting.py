@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import alerts as A
+from tessera.operators import results as R
 from tessera.operators import sinks
 from tessera.operators.calendar import known_moment, local_day, with_session
-from tessera.plans import entities, market, sessions
+from tessera.plans import entities, market, reports, sessions
 from tessera.plans.registry import Area
 from tessera.sources import tables as T
 
@@ -90,28 +93,44 @@ def news_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(spark, sf_dir).groupBy("symbol").agg(F.min("session_date").alias("first_session")).crossJoin(began)
 
 
-_AVERAGES = f"""{_DAILY}, e AS (SELECT s.symbol, cal.day FROM (SELECT DISTINCT symbol FROM daily) s, cal WHERE is_session AND cal.day BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'),
+_AVERAGES = f"""{_DAILY}, e AS (SELECT s.symbol, cal.day FROM (SELECT DISTINCT symbol FROM daily) s, cal WHERE datediff('day', DATE '1970-01-01', cal.day) % 3 = 0),
 av AS (SELECT e.symbol, e.day, (SELECT sum(weighted_score * story_count) / sum(story_count) FROM daily d WHERE d.symbol = e.symbol AND d.session_date > e.day - 7 AND d.session_date <= e.day) AS avg_7,
   (SELECT sum(weighted_score * story_count) / sum(story_count) FROM daily d WHERE d.symbol = e.symbol AND d.session_date > e.day - 30 AND d.session_date <= e.day) AS avg_30,
   coalesce((SELECT sum(story_count) FROM daily d WHERE d.symbol = e.symbol AND d.session_date > e.day - 7 AND d.session_date <= e.day), 0)::BIGINT AS stories_7 FROM e)"""
 
 
 def shift_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.days(spark, sf_dir).where("is_session and day between date '2024-01-01' and date '2024-01-31'").select("day")
+    """Every third day of the calendar, sessions or not."""
+    return sessions.days(spark, sf_dir).where(F.col("day").between(sessions.LOW, sessions.HIGH) & F.expr("unix_date(day) % 3 = 0")).select("day", "previous_session")
 
 
 @query(f"WITH {_AVERAGES} SELECT symbol, day, round(coalesce(avg_7, 9), 9) AS avg_7, round(coalesce(avg_30, 9), 9) AS avg_30, stories_7 FROM av")
 def sentiment_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means over 7 and 30 days at every session, 9 for none."""
+    """Means over 7 and 30 days up to every third day, 9 for none."""
     a = A.averages(daily(spark, sf_dir), shift_days(spark, sf_dir))
     return a.select("symbol", "day", F.round(F.coalesce("avg_7", F.lit(9.0)), 9).alias("avg_7"), F.round(F.coalesce("avg_30", F.lit(9.0)), 9).alias("avg_30"), "stories_7")
 
 
-@query()
-def news_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First sessions of a shift with the headlines that lean that way."""
+def shift_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = entities.story_items(spark, sf_dir).select(F.lit("2-HIGH").alias("symbol"), "session_date", "title", "source", "score")
-    return A.refused(A.news_shifts(daily(spark, sf_dir), shift_days(spark, sf_dir), s))
+    return A.refused(A.news_shifts(daily(spark, sf_dir), shift_days(spark, sf_dir), s, shift=0.004, least=2))
+
+
+_WINDOWS = """(SELECT sum(weighted_score * story_count) / sum(story_count) FROM daily d WHERE d.symbol = e.symbol AND d.session_date > e.{day} - 7 AND d.session_date <= e.{day}) AS a7,
+  (SELECT sum(weighted_score * story_count) / sum(story_count) FROM daily d WHERE d.symbol = e.symbol AND d.session_date > e.{day} - 30 AND d.session_date <= e.{day}) AS a30,
+  coalesce((SELECT sum(story_count) FROM daily d WHERE d.symbol = e.symbol AND d.session_date > e.{day} - 7 AND d.session_date <= e.{day}), 0) AS n7"""
+_SHIFTS = f"""{entities._ITEMS}, st_items AS (SELECT title, source, score, {sessions._SESSION} AS session_date FROM items JOIN cal ON cal.day = local::DATE WHERE score IS NOT NULL), {_DAILY.split(T.NEWS + ", ", 1)[1]},
+e AS (SELECT s.symbol, cal.day, cal.previous_session FROM (SELECT DISTINCT symbol FROM daily) s, cal WHERE datediff('day', DATE '1970-01-01', cal.day) % 3 = 0),
+now_ AS (SELECT e.*, {_WINDOWS.format(day="day")} FROM e), was_ AS (SELECT e.symbol, e.day, {_WINDOWS.format(day="previous_session")} FROM e),
+shifts AS (SELECT n.*, sign(n.a7 - n.a30) AS way FROM now_ n JOIN was_ w ON w.symbol = n.symbol AND w.day = n.day WHERE n.n7 >= 2 AND abs(n.a7 - n.a30) >= 0.004 AND NOT coalesce(w.n7 >= 2 AND abs(w.a7 - w.a30) >= 0.004, false)),
+tops AS (SELECT s.day, string_agg('"' || title || '" (' || coalesce(source, 'unknown') || ')', '; ' ORDER BY r) AS heads FROM (SELECT s.day, i.title, i.source, row_number() OVER (PARTITION BY s.day ORDER BY i.score * s.way DESC, i.title) AS r FROM shifts s JOIN st_items i ON i.session_date > s.day - 7 AND i.session_date <= s.day WHERE s.symbol = '2-HIGH') s WHERE r <= 3 GROUP BY s.day)"""
+
+
+@query(f"WITH {_SHIFTS} SELECT s.symbol, s.day AS alert_date, s.day::VARCHAR || ':news_shift' AS subject, n7::BIGINT AS stories, way > 0 AS positive, CASE WHEN s.symbol = '2-HIGH' THEN coalesce(heads, '') ELSE '' END AS heads FROM shifts s LEFT JOIN tops ON tops.day = s.day")
+def news_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First days of a shift, read back from their text: the stories of the week, which way they lean, and the headlines."""
+    t = F.col("text")
+    return shift_rows(spark, sf_dir).select("symbol", "alert_date", "subject", F.regexp_extract(t, r"\((\d+) stories", 1).cast("long").alias("stories"), F.contains(t, F.lit("more positive")).alias("positive"), F.regexp_extract(t, r"(?s) Top stories: (.*)\.$", 1).alias("heads"))
 
 
 def _filed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +159,36 @@ def price_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {market._FIRED} SELECT symbol, date AS alert_date, date::VARCHAR || ':' || signal AS subject, symbol || ': ' || signal || ' on ' || strftime(date, '%d %b') || ', value ' || printf('%.2f', round(value, 6)) || '.' AS text FROM fired WHERE signal IN ('golden_cross', 'high_52w_breakout')")
 def price_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts on the signals that are told."""
+    return signal_rows(spark, sf_dir).select("symbol", "alert_date", "subject", "text")
+
+
+def signal_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = market.rule_firings(T.bars(spark, sf_dir)).where("signal in ('golden_cross', 'high_52w_breakout')")
-    return A.signal_alerts(s, said(spark), F.concat(F.lit("value "), F.format_string("%.2f", F.round("value", 6))), F.col("signal")).select("symbol", "alert_date", "subject", "text")
+    return A.signal_alerts(s, said(spark), F.concat(F.lit("value "), F.format_string("%.2f", F.round("value", 6))), F.col("signal"))
+
+
+def results_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts on results; a filing is seen up to 45 days behind its board date, too late for some."""
+    c = R.changes(T.results(spark, sf_dir))
+    filed = F.date_add("period_end", (20 + F.col("filing_id") % 10).cast("int"))
+    filings = c.groupBy(F.col("filing_id").alias("id"), "symbol").agg(F.max(filed).alias("filed_on")).withColumn("seen_on", F.date_add("filed_on", (F.col("id") % 45).cast("int")))
+    return A.results_alerts(filings, c)
+
+
+_TOLD = "CASE WHEN {0} IS NULL THEN 'n/a' ELSE printf('%+.1f%%', round({0} * 100, 1)) END"
+
+
+@query(f"""WITH {reports._CHANGES}, last_ AS (SELECT symbol, max(period_end) AS latest FROM ch GROUP BY symbol), own AS (SELECT symbol, filing_id, max(period_end) AS latest, min(basis) AS basis, arg_max(fiscal_quarter, period_end) AS quarter, max(period_end) + 20 + (filing_id % 10)::INT AS filed_on FROM ch GROUP BY symbol, filing_id),
+  o AS (SELECT own.*, filed_on + (filing_id % 45)::INT AS seen_on FROM own JOIN last_ USING (symbol, latest))
+  SELECT o.symbol, o.filing_id::VARCHAR AS subject, o.seen_on AS alert_date, quarter || ' ' || o.basis AS of_, strftime(filed_on, '%d %b %Y') AS board, round(r.value)::BIGINT AS revenue, {_TOLD.format("r.yoy")} AS revenue_yoy, {_TOLD.format("r.qoq")} AS revenue_qoq, round(p.value)::BIGINT AS profit, {_TOLD.format("p.yoy")} AS profit_yoy, {_TOLD.format("p.qoq")} AS profit_qoq
+  FROM o JOIN ch r ON r.symbol = o.symbol AND r.basis = o.basis AND r.period_end = o.latest AND r.metric = 'revenue' JOIN ch p ON p.symbol = o.symbol AND p.basis = o.basis AND p.period_end = o.latest AND p.metric = 'net_profit' WHERE o.filing_id % 45 <= 30""")
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts on the results of the latest quarters, read back from their text."""
+    t = F.col("text")
+    part = lambda p: F.regexp_extract(t, p, 1)
+    number = lambda name: F.replace(part(rf"{name} ₹([\d,-]+) cr"), F.lit(","), F.lit("")).cast("long")
+    told = lambda name, of: part(rf"{name} ₹[^;]*{of} ([^,)]+)[,)]")
+    return results_rows(spark, sf_dir).select("symbol", "subject", "alert_date", part(r": (\S+ \S+) results imported").alias("of_"), part(r"board date ([^)]+)\)").alias("board"), number("revenue").alias("revenue"), told("revenue", "YoY").alias("revenue_yoy"), told("revenue", "QoQ").alias("revenue_qoq"), number("net profit").alias("profit"), told("net profit", "YoY").alias("profit_yoy"), told("net profit", "QoQ").alias("profit_qoq"))
 
 
 @query(f"WITH {entities._PENDING} SELECT symbol, action_type || ':' || filing_id AS subject, symbol || ': ' || action_type || coalesce(' ' || ratio, '') || ' detected in a filing (ex-date ' || coalesce(ex_date::VARCHAR, 'not stated') || '), status ' || status || '.' AS text FROM pending WHERE status IN ('upcoming', 'undated', 'needs_review')")
@@ -165,8 +212,20 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.digest(a.where("alert_type = 'results'"), a.select("symbol").distinct(), days, A.pipeline_status(T.runs(spark, sf_dir)))
 
 
-@query()
+_BUILT = " UNION ALL ".join(
+    f"SELECT {symbol} AS symbol, '{kind}' AS alert_type, subject, {day} AS alert_date, '{severity}' AS severity FROM ({AREA.ORACLES[f'alerting_{name}']}) AS {name}_"
+    for name, kind, symbol, day, severity in (
+        ("price_moves", "price_move", "symbol", "alert_date", "high"), ("price_signals", "price_signal", "symbol", "alert_date", "normal"), ("news_shifts", "news_shift", "symbol", "alert_date", "normal"),
+        ("results", "results", "symbol", "alert_date", "high"), ("pending_actions", "pending_action", "symbol", f"DATE '{entities.TODAY}'", "normal"), ("failed_runs", "pipeline", "'*'", "alert_date", "high"),
+    )
+)
+
+
+@query(f"WITH b AS ({_BUILT}), stored AS (SELECT symbol, alert_type, subject FROM b WHERE day(alert_date) % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY symbol, alert_type, subject ORDER BY alert_date) AS r FROM b) SELECT symbol, alert_type, subject, alert_date, severity FROM r WHERE r = 1 AND (symbol, alert_type, subject) NOT IN (SELECT (symbol, alert_type, subject) FROM stored)")
 def built(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All alerts of all days in one job; those that are stored already are left out."""
-    rows = A.refused(price_move_rows(spark, sf_dir).unionByName(A.pending_alerts(entities.pending(spark, sf_dir), F.lit(entities.TODAY))).unionByName(A.pipeline_alerts(T.runs(spark, sf_dir))))
-    return sinks.inserted(T.alerts(spark, sf_dir).select(*A.COLUMNS), rows, ["symbol", "alert_type", "subject"], ["alert_date"])
+    """The alerts of all six builders, all days in one job; those that are stored already, on even days, are left out."""
+    builders = (price_move_rows, signal_rows, shift_rows, results_rows)
+    parts = [b(spark, sf_dir) for b in builders] + [A.pending_alerts(entities.pending(spark, sf_dir), F.lit(entities.TODAY)), A.pipeline_alerts(T.runs(spark, sf_dir))]
+    rows = A.refused(reduce(DataFrame.unionByName, parts))
+    stored = T.alerts(spark, sf_dir).select(*A.COLUMNS).unionByName(rows.where("day(alert_date) % 2 = 0"))
+    return sinks.inserted(stored, rows, ["symbol", "alert_type", "subject"], ["alert_date"]).drop("text")
