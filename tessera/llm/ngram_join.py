@@ -10,8 +10,9 @@ for each prefix shingle, are used twice:
    its component and needs no search of its own: only the classes, pivots aside, that are not in the component
    which most of a list is in are compared with the others of other components. For all links, two sets
    whose distances to the pivot add up to no more than a link allows are linked without being compared. Lists
-   are cut into blocks by size, and blocks out of reach are skipped; so are pairs whose distances
-   to the pivot, known from step 1, differ by more than a link allows (the distance is a metric).
+   are cut into blocks by size. A set's place in a list bounds its overlap through that list and with it the sizes it reaches: blocks
+   that do not reach each other never meet. Pairs whose distances to the pivot, known from step 1, differ by more than a link allows
+   (the distance is a metric) are left out.
 
 Pairs whose parity maps, small bit sets, differ in more bits than a link allows are left out. Other comparisons count the common shingles of two whole texts.
 """
@@ -43,6 +44,8 @@ SLICES = 64
 MORE_ROWS, MORE = 16, 4
 #: Rows of an index list that are joined by one task; longer lists are dealt out in parts.
 LONG = 1000
+#: Sizes of one block differ by this factor at most.
+BLOCK_RATIO = 1.05
 #: Bits of a set's parity map at most; fewer for sets of fewer shingles.
 MAP_BITS = 8192
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -168,6 +171,17 @@ def _may_link(n: Column, place: Column, m: Column, there: Column, percent: int)
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * F.least(n - place, m - there) >= percent * (n + m))
 
 
+def _block(size: Column) -> Column:
+    return F.floor(F.log(size) / math.log(BLOCK_RATIO)).cast("int")
+
+
+def _reached(n: Column, place: Column, percent: int) -> Column:
+    """The blocks of sizes that a set of size n may link with through a shingle at this place: the overlap is at most n - place."""
+    low = F.ceil(percent * n / 100)
+    high = F.least(F.floor(100 * n / percent), F.floor((100 + percent) * (n - place) / percent) - n)
+    return F.when(low <= high, F.sequence(_block(low), _block(high))).otherwise(F.array().cast("array<int>"))
+
+
 def _packed_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """id, packed for the documents of ids: compressed before they are dealt out."""
 
@@ -251,19 +265,22 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
         named = named.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
         shares = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
         named = named.join(shares.groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("of > 1").select("token", "most"), "token")
-    named = named.join(distance, ["id", "pivot"], "left").join(maps.select("id", "parity"), "id")
-    named = materialise(named.withColumn("block", F.floor(F.log("n") / math.log(100 / percent))), "open-lists", compression="zstd")
-    left = named.where("most is null or component <> most").select("token", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), F.col("parity").alias("x"), "rows", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
-    left = left.withColumn("part", F.explode(_parts(long))).drop("rows")
-    right = named.select("token", "block", _part("id", long).alias("part"), F.col("id").alias("b"), "n", "place", "component", "far", F.col("parity").alias("y"))
+    named = materialise(named.join(distance, ["id", "pivot"], "left"), "open-lists", compression="zstd")
+    of = named.withColumn("part", _part("id", long))
+    # Where a set's shingle stands says how large a partner of this list may be: each side names its own block of sizes and those it reaches,
+    # and only blocks that reach each other meet. Sets whose places rule each other out are skipped as blocks.
+    own, reached = _block(F.col("n")), F.explode(_reached(F.col("n"), F.col("place"), percent))
+    left = of.where("most is null or component <> most").withColumn("part", F.explode(_parts(long))).select("token", "part", F.col("id").alias("a"), F.col("n").alias("an"), F.col("place").alias("ap"), F.col("component").alias("ac"), F.col("far").alias("af"), own.alias("k"), reached.alias("l"))
+    right = of.select("token", "part", F.col("id").alias("b"), "n", "place", "component", "far", own.alias("l"), reached.alias("k"))
     apart = 1 - percent / 100
     near = F.coalesce(F.abs(F.col("af") - F.col("far")) <= apart + 1e-9, F.lit(True))
     sure = F.coalesce(F.col("af") + F.col("far") <= apart - 1e-9, F.lit(False))
-    open_ = left.join(right, ["token", "block", "part"]).where((F.col("ac") != F.col("component")) & (sure | (_may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent) & near & _may_be_near(F.col("x"), F.col("y"), F.col("an"), F.col("n"), percent))))
+    open_ = left.join(right, ["token", "part", "k", "l"]).where((F.col("ac") != F.col("component")) & near & _may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent))
     second = open_.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max(sure).alias("sure"))
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
     found = found.union(second.where("sure").select("a", "b"))
-    second = second.where("not sure").select("a", "b")
+    second = second.where("not sure").join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").where(_may_be_near(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent))
+    second = materialise(second.select("a", "b"), "pairs")
     more_ids = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
     # Whose place in a list ruled out its pivot has no text yet.
     missing = more_ids.join(ids, "id", "left_anti")
