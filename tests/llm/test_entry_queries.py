@@ -33,7 +33,7 @@ def folders(spark, tmp_path_factory):
     return out
 
 
-@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("name", [*NAMES, "pipeline"])
 def test_empty_tables(spark, folders, name):
     assert entry.queries()[name](spark, folders["empty"]).count() == 0
 
@@ -109,6 +109,18 @@ def test_op10(spark, folders):
     assert Counter(map(tuple, rows_of(spark, folders, 10))) == Counter((r[0], len(t.encode(r[1] or "", add_special_tokens=False).ids)) for r in ALL)
 
 
+def test_pipeline(spark, folders):
+    """On odd tables: what is packed is whole, and of good documents only."""
+    good = {r[0] for r in ALL if len(words(r[1])) >= 50}
+    got = entry.queries()["pipeline"](spark, folders["odd"]).collect()
+    assert got and {r.doc_id for r in got} <= good
+    for used in [[r for r in got if r.sequence_id == k] for k in {r.sequence_id for r in got}]:
+        at = sorted((r.offset, r.length) for r in used)
+        assert [o for o, _ in at] == [sum(n for _, n in at[:i]) for i in range(len(at))] and sum(n for _, n in at) <= 4096
+    by_doc = Counter((r.doc_id, r.piece) for r in got)
+    assert all(by_doc[(i, 0)] == n for (i, _), n in by_doc.items())
+
+
 @pytest.mark.parametrize("name", sorted(set(NAMES) & set(entry.oracle_sql())))
 def test_against_sql(spark, name):
     con = duckdb.connect()
