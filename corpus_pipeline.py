@@ -1,4 +1,5 @@
-"""From raw documents to packed training sequences: five stages, each over all that the one before kept."""
+"""From raw documents to the places of their tokens in training sequences: five stages, each over all that the one before kept. Every stage
+takes tables without rows, null, empty and very long texts, null and repeated ids, as its operator states."""
 
 from __future__ import annotations
 
@@ -27,12 +28,12 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, in no order: the next stage has its own."""
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the mixed documents in sequences of at most 4096 tokens."""
+    """Where each piece of the mixed documents stands in sequences of at most 4096 tokens; its ids are told by their checksum and not kept."""
     return packing.pack(packing.token_pieces(docs, VOCABULARY, with_ids=False))
 
 
