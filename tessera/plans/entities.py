@@ -27,7 +27,7 @@ FINANCE, MARKET = ("from", "den", "as"), ("The", "El")
 _SINCE = "DATE '2024-01-04'"
 
 #: Chunks between blanks with the number of their sentence, tokens of chunks, the names that tokens make, and those that count.
-_HITS = f"""places AS (SELECT id, k AS place, coalesce([title, summary, text][k + 1], '') AS t, length(text) AS body_chars, make_timestamp(coalesce(published_at, first_seen_at) * 1000000)::DATE AS day FROM articles, range(3) AS r(k)),
+_HITS = rf"""places AS (SELECT id, k AS place, coalesce([title, summary, text][k + 1], '') AS t, length(text) AS body_chars, make_timestamp(coalesce(published_at, first_seen_at) * 1000000)::DATE AS day FROM articles, range(3) AS r(k)),
 chunks AS (SELECT id, place, unnest(range(1, len(c) + 1)) AS j, unnest(c) AS chunk FROM (SELECT id, place, regexp_extract_all(t, '\s+|\S+') AS c FROM places)),
 near AS (SELECT *, lag(chunk) OVER w AS before, lead(chunk) OVER w AS after FROM chunks WINDOW w AS (PARTITION BY id, place ORDER BY j)),
 numbered AS (SELECT id, place, j, chunk, count(*) FILTER (regexp_matches(chunk, '^\s') AND (contains(chunk, chr(10)) OR (regexp_matches(before, '[.!?]$') AND regexp_matches(after, '^[A-Z0-9"''(‘“]')
