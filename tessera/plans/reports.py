@@ -15,6 +15,8 @@ from tessera.sources import tables as T
 AREA = Area("reports")
 query = AREA.query
 CRORE = 10_000_000
+#: Companies whose exhibits are read: all but N7.
+WATCHED = {f"N{k}": f"N{k} Ltd" for k in range(25) if k != 7}
 
 
 def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,27 +73,31 @@ def exhibit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     dollars = F.concat(F.lit("<p>Consolidated Financial Results for the quarter ended "), F.date_format("period_end", "MMMM d, yyyy"), F.lit("</p><p>(US $ in millions) IFRS</p><table><tr><td>Revenue from operations</td><td>1.00</td><td>2.00</td></tr></table>"))
     w = w.groupBy("symbol", "period_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("basis", section.alias("s")))), lambda x: x["s"]), "").alias("body"))
-    html = F.concat(F.lit("<html><body><p>"), "symbol", F.lit(" LIMITED</p><p>prepared under Indian Accounting Standards</p>"), dollars, F.col("body"), F.lit("</body></html>"))
+    standard = F.when(F.col("symbol") == "N5", "IFRS").when(F.col("symbol") < "N3", "Ind AS").otherwise("Indian Accounting Standards")
+    html = F.concat(F.lit("<html><body><p>"), "symbol", F.lit(" LIMITED</p><p>prepared under "), standard, F.lit("</p>"), dollars, F.col("body"), F.lit("</body></html>"))
     return w.select(F.concat_ws("/", "symbol", F.col("period_end").cast("string")).alias("file"), html.cast("binary").alias("content"))
 
 
-@query(f"""WITH {_WIDE} SELECT symbol || '/' || period_end AS file, period_end, basis, x.m AS metric, round(x.v, 4) AS value, x.u AS unit, '-' AS problem FROM (SELECT *, unnest([{{'m': 'revenue', 'v': revenue, 'u': 'INR crore'}}, {{'m': 'net_profit', 'v': net_profit, 'u': 'INR crore'}}, {{'m': 'eps', 'v': eps, 'u': 'INR/share'}}]) AS x FROM wide)""")
+@query(f"""WITH {_WIDE} SELECT symbol || '/' || period_end AS file, period_end, basis, x.m AS metric, round(x.v, 4) AS value, x.u AS unit, '-' AS problem FROM (SELECT *, unnest([{{'m': 'revenue', 'v': revenue, 'u': 'INR crore'}}, {{'m': 'net_profit', 'v': net_profit, 'u': 'INR crore'}}, {{'m': 'eps', 'v': eps, 'u': 'INR/share'}}]) AS x FROM wide WHERE symbol NOT IN ('N5', 'N7'))""")
 def exhibit_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headline figures of the exhibits: of each section in rupees the first table, the last net profit."""
-    m = P.merged_sections(P.table_metrics(P.page_lines(exhibit_files(spark, sf_dir)), "sec"))
+    """Headline figures of the exhibits of watched companies that state an Indian standard: of each section in rupees the first table, the last
+    net profit."""
+    m = P.merged_sections(P.table_metrics(P.exhibit_lines(exhibit_files(spark, sf_dir), WATCHED), "sec"))
     return m.select("file", "period_end", "basis", "metric", F.round("value", 4).alias("value"), "unit", F.coalesce("problem", F.lit("-")).alias("problem"))
 
 
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, page, text: what a PDF's text layer gives, with lost decimal points."""
-    w = wide(spark, sf_dir).where("net_profit > 0 and revenue > 1000")
-    lost = lambda c: F.replace(F.format_string("%.2f", c), F.lit("."), F.lit(" "))
-    text = F.concat(F.lit("AUDITED "), F.upper("basis"), F.lit(" FINANCIAL RESULTS FOR THE QUARTER ENDED "), F.upper(F.date_format("period_end", "MMMM d, yyyy")), F.lit("\n(Rs in crores)\nRevenue from operations (Refer note 8) "), lost("revenue"), F.lit(" 4711.00\nTotal of notes\nNet Profit for the period "), F.format_string("%.2f", "net_profit"), F.lit(" (12.50)"))
+    w = wide(spark, sf_dir)
+    plain = lambda c: F.format_string("%.2f", F.abs(F.col(c)))
+    lost = lambda c: F.when(F.abs(F.col(c)) >= 100, F.replace(plain(c), F.lit("."), F.lit(" "))).otherwise(plain(c))
+    signed = lambda c: F.when(F.col(c) < 0, F.concat(F.lit("("), plain(c), F.lit(")"))).otherwise(plain(c))
+    text = F.concat(F.lit("AUDITED "), F.upper("basis"), F.lit(" FINANCIAL RESULTS FOR THE QUARTER ENDED "), F.upper(F.date_format("period_end", "MMMM d, yyyy")), F.lit("\n(Rs in crores)\nRevenue from operations (Refer note 8) "), lost("revenue"), F.lit(" 4711.00\nTotal of notes\nNet Profit for the period "), signed("net_profit"), F.lit(" (12.50)"))
     text = F.regexp_replace(F.regexp_replace(text, "AUDITED STANDALONE", "AUDITED Standalone Audited"), "AUDITED CONSOLIDATED", "AUDITED Consolidated Audited")
     return w.select(F.concat_ws("/", "symbol", F.col("period_end").cast("string"), "basis").alias("file"), F.lit(1).alias("page"), text.alias("text"))
 
 
-@query(f"""WITH {_WIDE} SELECT symbol || '/' || period_end || '/' || basis AS file, period_end, basis, x.m AS metric, round(x.v, 2) AS value FROM (SELECT *, unnest([{{'m': 'revenue', 'v': revenue}}, {{'m': 'net_profit', 'v': net_profit}}]) AS x FROM wide WHERE net_profit > 0 AND revenue > 1000)""")
+@query(f"""WITH {_WIDE} SELECT symbol || '/' || period_end || '/' || basis AS file, period_end, basis, x.m AS metric, round(x.v, 2) AS value FROM (SELECT *, unnest([{{'m': 'revenue', 'v': revenue}}, {{'m': 'net_profit', 'v': net_profit}}]) AS x FROM wide)""")
 def pdf_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = P.merged_sections(P.table_metrics(P.text_lines(pdf_pages(spark, sf_dir)), "pdf"))
     return m.select("file", "period_end", "basis", "metric", F.round("value", 2).alias("value"))
