@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import alike, folded
 from tessera.operators.components import components
+from tessera.operators.lineage import cut
 
 # How alike titles are, within how many hours, and below how many words their order counts.
 SIMILAR, HOURS, SHORT = 90.0, 48, 6
@@ -15,7 +17,8 @@ WEEKDAYS = "^(mon|tues|wednes|thurs|fri|satur|sun)day$"
 
 def normal_title(title: Column) -> Column:
     """Lower case without accents; what is not a letter, digit, underscore or % is a blank."""
-    return F.trim(F.regexp_replace(F.lower(folded(title)), "[^a-z0-9_%]+", " "))
+    plain = F.when(title.rlike("^[ -~]*$"), title).otherwise(folded(F.when(~title.rlike("^[ -~]*$"), title)))
+    return F.trim(F.regexp_replace(F.lower(plain), "[^a-z0-9_%]+", " "))
 
 
 def company_pattern(names: list[str]) -> str:
@@ -30,24 +33,83 @@ def distinguishing(norm: Column, companies: dict[str, str] | None = None) -> Col
     return F.array_sort(F.array_distinct(F.concat(words, named)))
 
 
+#: Letters of a gram.
+GRAM = 3
+
+
+def _grams(norm: Column) -> Column:
+    """The grams of the words of a title, each with a blank on both sides, and which occurrence of its kind each is: however words are
+    arranged, these are in the title."""
+    words = F.filter(F.split(norm, " "), lambda w: w != "")
+    each = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))))
+    sorted_ = F.array_sort(each)
+    return F.transform(sorted_, lambda g, i: F.concat(g, (i - F.array_position(sorted_, g) + 1).cast("string")))
+
+
+def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS) -> DataFrame:
+    """a, b: all pairs of titles (id, norm, blocks: the blocks of time that they are in) that may reach the similarity and have neighbouring
+    blocks; none that reach it are left out.
+
+    - By letters: a similarity of r per cent leaves at most (100 - r) / 100 of all letters of both to be inserted or deleted. A deletion spoils at
+      most GRAM grams of a title and an insertion GRAM - 1, so that a pair has more grams in common than what that leaves; in one order
+      of all grams, rare ones first, their beginnings share one.
+    - By words: where the words in common make up r / (200 - r) of one title, those others are few letters, and one of its rarest words that
+      together have more letters is a word of the other. This is how a title that another one extends is found.
+    - Titles of single letters may have too few grams for either; they meet all titles of their blocks."""
+    near = titles.select("id", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.array(b - 1, b, b + 1))))).alias("block"))
+    own = titles.select("id", F.explode("blocks").alias("block"))
+    rest = (100 - similar) / 100
+    # |b| is at least (r / (200 - r)) |a|: the most that can be spoilt of a title's grams.
+    least = similar / (200 - similar)
+    spoilt = ((GRAM * (1 + rest) - (GRAM - 1) * (1 - rest)) - (GRAM * (1 - rest) - (GRAM - 1) * (1 + rest)) * least) / 2
+    sized = titles.select("id", F.length("norm").alias("size"), _grams(F.col("norm")).alias("grams"), F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != "")).alias("words"))
+    sized = sized.withColumn("first", F.floor(spoilt * F.col("size") + 1e-9).cast("int") + 1)
+
+    def ranked(column: str) -> DataFrame:
+        """id, the members of a column and how many titles have each."""
+        each = sized.select("id", F.explode(column).alias("key"))
+        return each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+    held = ranked("grams").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    begins = sized.join(held, "id").select("id", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k")).select("id", F.concat(F.lit("g"), F.col("k.key")).alias("key"))
+    words = ranked("words").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    room = F.aggregate("words", F.lit(-1), lambda s, w: s + F.length(w) + 1) * (1 - least)
+    # The rarest words until they have more letters than may be missing.
+    few = F.aggregate("keys", F.struct(F.lit(0.0).cast("double").alias("used"), F.array().cast("array<string>").alias("kept")), lambda s, k: F.when(s["used"] > F.col("room"), s).otherwise(F.struct((s["used"] + F.length(k["key"]) + 1).alias("used"), F.concat(s["kept"], F.array(k["key"])).alias("kept"))), lambda s: s["kept"])
+    probes = sized.withColumn("room", room + 1e-9).join(words, "id").select("id", F.explode(few).alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
+    every = sized.select("id", F.explode("words").alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
+    bare = sized.where(F.col("first") > F.size("grams")).select("id")
+
+    asks = begins.unionByName(probes).join(near, "id").unionByName(bare.join(near, "id").select("id", F.lit("*").alias("key"), "block"))
+    answers = begins.unionByName(every).join(own, "id").unionByName(own.select("id", F.lit("*").alias("key"), "block") if not bare.isEmpty() else own.where("false").select("id", F.lit("*").alias("key"), "block"))
+    met = asks.toDF("a", "key", "block").join(answers.toDF("b", "key", "block"), ["key", "block"]).where("a <> b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT) -> DataFrame:
-    """a, b: ids of titles (id, norm, keys, seconds) that tell the same.
-
-    Titles are compared if they are in the same or the next block of so many hours and the beginning of one of the rarest
-    third of the words of the one with fewer is that of a word of the other. So no block's titles are all compared, and titles that
-    have no such word in common are taken to differ. Keys that conflict are seen before any comparison."""
-    words = titles.withColumn("n", F.size(F.split("norm", " "))).select("id", "norm", "keys", "seconds", "n", F.explode(F.array_distinct(F.transform(F.split("norm", " "), lambda w: F.substring(w, 1, 4)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("rows"))
-    ranked = words.join(counts, "word")
-    few = ranked.groupBy("id", "norm", "keys", "seconds", "n").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("rows", "word"))), lambda x: x["word"]), F.lit(1), F.floor(F.col("n") / 3).cast("int") + 1).alias("rare"))
-    block = F.floor(F.col("seconds") / (hours * 3600))
-    left = few.withColumn("word", F.explode("rare")).withColumn("block", F.explode(F.array(block - 1, block, block + 1))).select(F.col("id").alias("a"), F.col("norm").alias("x"), F.col("keys").alias("p"), F.col("seconds").alias("s"), F.col("n").alias("m"), "word", "block")
-    right = words.withColumn("block", block).select(F.col("id").alias("b"), F.col("norm").alias("y"), F.col("keys").alias("q"), F.col("seconds").alias("t"), "n", "word", "block")
-    pairs = left.join(right, ["word", "block"]).where((F.col("a") != F.col("b")) & (F.col("m") <= F.col("n")) & (F.abs(F.col("s") - F.col("t")) <= hours * 3600))
-    within = (F.size(F.array_except("p", "q")) == 0) | (F.size(F.array_except("q", "p")) == 0)
-    pairs = pairs.where(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    # Equal titles need no comparison.
-    return pairs.where((F.col("x") == F.col("y")) | (alike(short)(F.col("x"), F.col("y")) >= similar)).select("a", "b")
+    """a, b: ids of titles (id, norm, keys, seconds) that tell the same and, together, connect all that do.
+
+    Rows of one title and the same keys are one class: each is linked with the one before it, if that is not too long before. Only classes
+    are compared, so that a title that comes thousands of times is compared once. Rows of two classes that tell the same are linked each
+    with the last row before it of the other one, which connects them as all their links would."""
+    span = hours * 3600
+    kinds = titles.groupBy("norm", "keys").agg(F.min("id").alias("class"), F.array_distinct(F.collect_set(F.floor(F.col("seconds") / span))).alias("blocks"))
+    kinds = cut(kinds)
+    rows = cut(titles.join(kinds.select("norm", "keys", "class"), ["norm", "keys"]).select("id", "class", "seconds"))
+    w = W.partitionBy("class").orderBy("seconds", "id")
+    same = rows.select("id", F.lag("id").over(w).alias("before"), (F.col("seconds") - F.lag("seconds").over(w)).alias("gap")).where(F.col("gap") <= span)
+
+    found = candidate_titles(kinds.select(F.col("class").alias("id"), "norm", "blocks"), similar, hours)
+    of = lambda x: kinds.select(F.col("class").alias(x), F.col("norm").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
+    found = found.join(of("a"), "a").join(of("b"), "b")
+    within = (F.size(F.array_except("ka", "kb")) == 0) | (F.size(F.array_except("kb", "ka")) == 0)
+    alike_ = found.where(within).where((F.col("na") == F.col("nb")) | (alike(short)(F.col("na"), F.col("nb")) >= similar)).select("a", "b")
+    both = alike_.select("a", "b", F.explode(F.array("a", "b")).alias("class")).join(rows, "class")
+    order = W.partitionBy("a", "b").orderBy("seconds", "id").rowsBetween(W.unboundedPreceding, -1)
+    last = lambda side: F.last(F.when(F.col("class") == F.col(side), F.struct("id", "seconds")), ignorenulls=True).over(order)
+    other = F.when(F.col("class") == F.col("a"), last("b")).otherwise(last("a"))
+    across = both.select("id", "seconds", other.alias("other")).where(F.col("seconds") - F.col("other.seconds") <= span)
+    return same.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).unionByName(across.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))).distinct()
 
 
 def grouped(articles: DataFrame, companies: dict[str, str] | None = None, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT) -> DataFrame:
@@ -68,7 +130,7 @@ def regrouped(articles: DataFrame, companies: dict[str, str] | None = None, **ho
     time = F.coalesce("published_at", "first_seen_at")
     first = articles.where("story_id is null").agg(F.min(time).alias("first"))
     hours = how.get("hours", HOURS)
-    recent = articles.join(F.broadcast(first), time >= F.col("first") - F.expr(f"interval {2 * int(hours)} hours")).drop("first")
+    recent = articles.join(first, time >= F.col("first") - F.expr(f"interval {2 * int(hours)} hours")).drop("first")
     new = grouped(recent, companies, **how)
     old = recent.select("id", F.col("story_id").alias("was"))
     return new.join(old, "id").where(~F.col("story_id").eqNullSafe(F.col("was"))).select("id", "story_id")

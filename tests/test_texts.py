@@ -1,6 +1,7 @@
 """Companies in texts, titles that tell the same, filings and forum posts: the rules, case by case."""
 
 import datetime as dt
+import random
 import re
 import time
 
@@ -160,6 +161,45 @@ def test_stories(spark):
     assert story_of(spark, []) == {}
 
 
+def test_no_similar_title_is_missed(spark):
+    """Every pair of titles within 48 hours that is alike to 90 per cent is a candidate, and groups are those of all pairs."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdeiou") for _ in range(r.randint(1, 8))) for _ in range(60)]
+    base = [" ".join(r.choice(words) for _ in range(r.randint(1, 14))) for _ in range(40)] + ["a b c d e f g h i", "a b c d e f g h j", "a"]
+    titles = []
+    for t in base:
+        titles.append(t)
+        for _ in range(5):
+            w = t.split()
+            for _ in range(r.randint(0, 2)):
+                k = r.randrange(len(w))
+                w[k] = r.choice([w[k] + "s", w[k][1:] or "z", r.choice(words), w[k] + " " + r.choice(words)])
+            r.shuffle(w)
+            titles.append(" ".join(w + r.choices(words, k=r.choice([0, 0, 0, 1, 6]))))
+    rows = [(i, t, [k for k in t.split() if k == "bee"], float(r.randrange(0, 400) * 1800)) for i, t in enumerate(titles)]
+    at = {i: (t, s) for i, t, _, s in rows}
+    like = lambda a, b: (similarity.set_ratio if min(len(a.split()), len(b.split())) >= 6 else similarity.sorted_ratio)(a, b) >= 90
+    want = {(i, j) for i in at for j in at if i < j and abs(at[i][1] - at[j][1]) <= 48 * 3600 and like(at[i][0], at[j][0])}
+    df = spark.createDataFrame(rows, "id long, norm string, keys array<string>, seconds double")
+    found = stories.candidate_titles(df.select("id", "norm", F.array(F.floor(F.col("seconds") / (48 * 3600))).alias("blocks")))
+    got = {(x.a, x.b) for x in found.collect()}
+    assert len(want) > 100 and want <= got and len(got) < 0.7 * len(rows) ** 2 / 2
+    links = {(x.a, x.b) for x in stories.matching_pairs(df).collect()}
+    assert links <= want
+    groups = lambda pairs: {frozenset(v) for v in _components(len(rows), pairs)}
+    assert groups(links) == groups(want)
+
+
+def _components(n, pairs):
+    of = {i: {i} for i in range(n)}
+    for a, b in pairs:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for i in of[b]:
+                of[i] = of[a]
+    return of.values()
+
+
 def test_regrouping_changes_little(spark):
     rows = [article("a", LONG, story="a"), article("b", LONG, 30, story="a"), article("c", LONG, 60), article("d", "Rain is expected in the north on most days", 61), article("z", LONG, -300, story="z")]
     d = spark.createDataFrame(rows, "id string, title string, published_at timestamp, first_seen_at timestamp, story_id string")
