@@ -4,8 +4,9 @@ Documents of one set are one class. A class's prefix, its rarest shingles, must
 of any similar class; shingles are ordered by a count sketch of all documents, whose size follows their number. Index lists, one
 for each prefix shingle, are used twice:
 
-1. Each class in a list is compared with the list's pivot, its smallest id, and in a long list with a few further ones, if their sizes and
+1. Each class in a list is compared with the list's pivot, the one that shares most of its prefix with others, and in a long list with a few further ones, if their sizes and
    places in the list (which bound the overlap) allow a link.
+   Lists that stay mixed have further pivots, a few rounds long.
 2. The pivot's answers give those of the sets that are highly similar to it. For components, what is linked with a pivot is in
    its component and needs no search of its own: only the classes, pivots aside, that are not in the component
    which most of a list is in are compared with the others of other components. For all links, two sets
@@ -42,6 +43,8 @@ MOST_BUCKETS = 26
 SLICES = 64
 #: Lists of more than so many rows have further pivots, so many of them: what one pivot leaves open another one mostly links.
 MORE_ROWS, MORE = 16, 4
+#: Rounds of further pivots at most (one that finds no link is the last), and how many open comparisons for each row of a list need no further one.
+ROUNDS, OPEN_SHARE = 3, 2
 #: Rows of an index list that are joined by one task; longer lists are dealt out in parts.
 LONG = 1000
 #: Sizes of one block differ by this factor at most.
@@ -230,6 +233,14 @@ def _part(key: str, long: int) -> Column:
     return F.pmod(F.xxhash64(key), F.ceil(F.col("rows") / long)).cast("int")
 
 
+def _mixed(named: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components, with their component and the one that most of the list is in."""
+    of = named.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    shares = of.groupBy("token", "component").agg(F.count("*").alias("rows"))
+    most = shares.groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("rows", "component"))["component"].alias("most"))
+    return of.join(most.where("of > 1").select("token", "most"), "token")
+
+
 def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False, long: int = LONG) -> DataFrame:
     """a, b: links between classes that connect what all links between them would connect, or every link.
 
@@ -238,10 +249,14 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     sets = materialise(sets, "classes")
     maps = sets.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "parity")
     listed = sets.select("doc_id", "n_shingles", F.posexplode("prefix").alias("place", "token"))
-    least = [F.min(F.when(F.pmod(F.xxhash64("doc_id"), F.lit(MORE)) == k, F.col("doc_id"))) for k in range(MORE)]
-    lists = listed.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc_id").alias("pivot"), F.array_compact(F.array(*least)).alias("more")).where(F.col("rows") > 1)
-    pivot = (F.col("doc_id") == F.col("pivot")) | ((F.col("rows") > MORE_ROWS) & F.array_contains("more", F.col("doc_id")))
-    listed = materialise(listed.join(lists, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "pivot", "rows", pivot.alias("is_pivot")), "lists", compression="zstd")
+    rows = listed.groupBy("token").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    shared = materialise(listed.join(rows, "token").select("token", F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "place", "rows"), "lists", compression="zstd")
+    # How much of a set's prefix other sets have too: a text that others were made from has the most, as changes are shingles of their own.
+    share = shared.groupBy("id", "n").agg((F.count("*") / (F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).alias("share")).select("id", "share")
+    best = lambda among=None: F.max_by("id", F.when(F.lit(True) if among is None else among, F.struct("share", -F.col("id"))))
+    heads = shared.join(share, "id").groupBy("token").agg(best().alias("pivot"), F.array_compact(F.array(*[best(F.pmod(F.xxhash64("id"), F.lit(MORE)) == k) for k in range(MORE)])).alias("more"))
+    pivot = (F.col("id") == F.col("pivot")) | ((F.col("rows") > MORE_ROWS) & F.array_contains("more", F.col("id")))
+    listed = materialise(shared.join(heads, "token").select("token", "id", "n", "place", "pivot", "rows", pivot.alias("is_pivot")), "lists", compression="zstd")
 
     # Step 1: each with its lists' pivots.
     pivots = listed.where("is_pivot").select("token", F.col("id").alias("with"), F.col("n").alias("m"), F.col("place").alias("there"), F.explode(_parts(long)).alias("part"))
@@ -255,6 +270,33 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     linked = (100 + percent) * F.col("common") >= percent * (F.col("n") + F.col("m"))
     found = seen.where(linked).select("a", "b")
 
+    # Further rounds for components: each list that is still mixed has a next pivot. A round compares each row of such lists once.
+    used = listed.where("is_pivot").select("token", "id")
+    for _ in range(0 if every else ROUNDS):
+        found = materialise(found.distinct(), "links")
+        mixed = _mixed(listed.where("rows > 2"), components(found))
+        weight = mixed.agg(F.coalesce(F.sum((F.col("component") != F.col("most")).cast("long") * F.col("rows")), F.lit(0)), F.count("*")).first()
+        if weight[0] <= OPEN_SHARE * weight[1]:
+            break
+        order = F.struct("share", -F.col("id"))
+        chosen = mixed.join(used, ["token", "id"], "left_anti").join(share, "id").groupBy("token").agg(F.max_by(F.struct("id", "n", "place", "component"), order).alias("p"), F.max("rows").alias("rows"))
+        chosen = materialise(chosen.select("token", F.col("p.id").alias("with"), F.col("p.n").alias("m"), F.col("p.place").alias("there"), F.col("p.component").alias("its"), "rows"), "next-pivots")
+        used = used.unionByName(chosen.select("token", F.col("with").alias("id")))
+        parts = mixed.withColumn("part", _part("id", long)).join(chosen.withColumn("part", F.explode(_parts(long))).drop("rows"), ["token", "part"])
+        again = parts.where((F.col("component") != F.col("its")) & _may_link(F.col("n"), F.col("place"), F.col("m"), F.col("there"), percent)).select(F.greatest("id", "with").alias("a"), F.least("id", "with").alias("b")).distinct()
+        again = again.join(first, ["a", "b"], "left_anti")
+        again = again.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").where(_may_be_near(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent))
+        again = materialise(again.select("a", "b"), "pairs")
+        first = first.unionByName(again)
+        new_ids = again.select(F.col("a").alias("id")).union(again.select("b")).distinct().join(ids, "id", "left_anti")
+        if not new_ids.isEmpty():
+            new_ids = materialise(new_ids, "ids")
+            texts, ids = texts.union(materialise(_packed_texts(docs, new_ids), "texts")), ids.union(new_ids)
+        more = materialise(_compared(again, texts, words).where(linked).select("a", "b"), "compared")
+        found = found.union(more)
+        if more.isEmpty():
+            break
+
     # Step 2: what is left open. A pair's first common shingle heads a list that step 1 used if one
     # of the two is its pivot; so pivots, and lists of two, have no more to give.
     distance = seen.select(F.col("a").alias("id"), F.col("b").alias("pivot"), (1 - F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).alias("far"))
@@ -262,9 +304,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     if every:
         named = named.withColumn("component", F.col("id")).withColumn("most", F.lit(None).cast("long"))
     else:
-        named = named.join(components(found), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        shares = named.groupBy("token", "component").agg(F.count("*").alias("rows"))
-        named = named.join(shares.groupBy("token").agg(F.count("*").alias("of"), F.max(F.struct("rows", "component"))["component"].alias("most")).where("of > 1").select("token", "most"), "token")
+        named = _mixed(named, components(found))
     named = materialise(named.join(distance, ["id", "pivot"], "left"), "open-lists", compression="zstd")
     of = named.withColumn("part", _part("id", long))
     # Where a set's shingle stands says how large a partner of this list may be: each side names its own block of sizes and those it reaches,
