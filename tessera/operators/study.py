@@ -12,56 +12,74 @@ from pyspark.sql import functions as F
 # Samples, seed, least events, verdicts.
 SAMPLES, SEED, LEAST = 10_000, 20260924, 30
 TOO_FEW, NONE, BETTER, WORSE = "too few events to judge", "no clear difference", "beats baseline (CI > 0)", "worse than baseline (CI < 0)"
-#: Events of a group that one task resamples; larger groups are resampled where their events lie.
-AT_ONCE = 100_000
+#: Resamples whose sums travel in one row, groups that a task holds sums of at once, rows that draw at once.
+SLICE, HELD, ROWS = 1000, 64, 64
+#: A value is held as a whole number of these, so that sums are the same in any order.
+STEP = 2.0**-30
+_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def interval(values: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> tuple[float, float]:
-    """The 95 % interval of the mean over resamples of values in their order; NaN for fewer than two."""
-    n, rng = len(values), np.random.default_rng(seed)
-    if n < 2:
-        return float("nan"), float("nan")
-    each = max(1, 2_000_000 // n)
-    means = np.concatenate([values[rng.integers(0, n, (min(each, samples - k), n))].mean(axis=1) for k in range(0, samples, each)])
-    low, high = np.percentile(means, [2.5, 97.5])
-    return float(low), float(high)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * _B
+        x = (x ^ (x >> np.uint64(27))) * _C
+        return x ^ (x >> np.uint64(31))
 
 
-def intervals(rows: DataFrame, keys: list[str], value: str, order: list[str], samples: int = SAMPLES, seed: int = SEED, at_once: int = AT_ONCE) -> DataFrame:
-    """keys, n, ci_low, ci_high of each group's mean. A group of up to at_once rows is resampled as a whole, in the order given, so that a
-    seed gives the same interval again. Of larger groups each row takes part in each resample as often as a Poisson draw says, made from its
-    order, so that tasks add up sums and nobody holds the group."""
+def draws(positions: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
+    """How often each row (by its position, 64 bits) is in each resample, rows by samples: a Poisson draw of mean 1 that is a function of
+    (seed, sample, position) alone, whoever makes it and in whatever order."""
+    with np.errstate(over="ignore"):
+        of_sample = _mixed(np.uint64(seed) + _A * np.arange(1, samples + 1, dtype=np.uint64))
+        mixed = _mixed(_mixed(positions.astype(np.uint64) + _A)[:, None] ^ of_sample[None, :])
+    # Where the distribution function passes each draw of 53 bits.
+    upto = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1.0, 18.0)]))
+    return np.searchsorted(upto, (mixed >> np.uint64(11)) * 2.0**-53, side="right").astype(np.int64)
+
+
+def intervals(rows: DataFrame, keys: list[str], value: str, order: list[str], samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
+    """keys, n, ci_low, ci_high: the 95 % interval of each group's mean over resamples; null for fewer than two rows.
+
+    In each resample a row counts as often as its draw says, the same law for groups of any size. A row's position is the hash of its
+    columns in `order`, which should tell the rows of a group apart. Tasks draw for the rows that lie with them and add up whole numbers,
+    so that an interval depends neither on partitions nor on the order of rows, and nobody holds a group. Values are taken to 2^-30."""
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", n long, ci_low double, ci_high double"
-    sized = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
+    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    of = rows.where(F.col(value).isNotNull()).select(*keys, F.round(F.col(value) / STEP).cast("long").alias("_v"), F.xxhash64(*order).alias("_p"))
 
-    def whole(part: pd.DataFrame) -> pd.DataFrame:
-        low, high = interval(part.sort_values(order, kind="stable")[value].to_numpy(), samples, seed)
-        return part[keys][:1].assign(n=len(part), ci_low=low, ci_high=high)
+    def told(sums: dict[tuple, np.ndarray]) -> pd.DataFrame:
+        out = [(*key, k, total[0, at : at + SLICE].tobytes(), total[1, at : at + SLICE].tobytes()) for key, total in sums.items() for k, at in enumerate(range(0, samples, SLICE))]
+        return pd.DataFrame(out, columns=[*keys, "slice", "sums", "counts"])
 
     def drawn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, np.ndarray] = {}
         for part in parts:
-            for key, group in part.groupby(keys, dropna=False):
-                total = sums.setdefault(key if isinstance(key, tuple) else (key,), np.zeros((2, samples)))
-                for x, h in zip(group[value], group["_h"]):
-                    w = np.random.default_rng([seed, int(h) & (2**63 - 1)]).poisson(1.0, samples)
-                    total += np.stack([w * x, w])
-        for key, total in sums.items():
-            yield pd.DataFrame({**dict(zip(keys, [[k] for k in key])), "sums": [total[0].tolist()], "counts": [total[1].tolist()]})
-
-    def added(part: pd.DataFrame) -> pd.DataFrame:
-        sums, counts = (np.sum(np.stack(part[c].map(np.asarray)), axis=0) for c in ("sums", "counts"))
-        low, high = np.percentile(sums / np.maximum(counts, 1), [2.5, 97.5])
-        return part[keys][:1].assign(n=int(part["_n"].iloc[0]), ci_low=low, ci_high=high)
-
-    small = sized.where(F.col("_n") <= at_once).select(*keys, value, *[c for c in order if c not in keys]).groupBy(*keys).applyInPandas(whole, schema)
-    big = sized.where(F.col("_n") > at_once).select(*keys, value, "_n", F.xxhash64(*keys, *order).alias("_h"))
-    if big.isEmpty():
-        return small
-    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    parts = big.mapInPandas(drawn, f"{head}, sums array<double>, counts array<double>").join(big.groupBy(*keys).agg(F.first("_n").alias("_n")), keys)
-    return small.unionByName(parts.groupBy(*keys).applyInPandas(added, schema))
+            for key, group in part.groupby(keys, dropna=False, sort=False):
+                key = key if isinstance(key, tuple) else (key,)
+                if key not in sums and len(sums) == HELD:
+                    yield told(sums)
+                    sums = {}
+                total = sums.setdefault(key, np.zeros((2, samples), np.int64))
+                v, p = group["_v"].to_numpy(), group["_p"].to_numpy().view(np.uint64)
+                for at in range(0, len(v), ROWS):
+                    w = draws(p[at : at + ROWS], samples, seed)
+                    total += np.stack([v[at : at + ROWS] @ w, w.sum(axis=0)])
+        if sums:
+            yield told(sums)
+
+    def added(key: tuple, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: np.ndarray | int = 0
+        for part in parts:
+            for c in zip(part["sums"], part["counts"]):
+                total = total + np.stack([np.frombuffer(x, np.int64) for x in c])
+        yield pd.DataFrame([(*key[:-1], (total[0] / np.maximum(total[1], 1) * STEP).tolist())], columns=[*keys, "means"])
+
+    counts = of.groupBy(*keys).agg(F.count("*").alias("n"))
+    slices = of.mapInPandas(drawn, f"{head}, slice int, sums binary, counts binary").groupBy(*keys, "slice").applyInPandas(added, f"{head}, means array<double>")
+    ends = slices.select(*keys, F.explode("means").alias("m")).groupBy(*keys).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    same = [counts[k].eqNullSafe(ends[k]) for k in keys]
+    end = lambda k: F.when(F.col("n") > 1, F.col("ends")[k])
+    return counts.join(ends, same).select(*[counts[k] for k in keys], "n", end(0).alias("ci_low"), end(1).alias("ci_high"))
 
 
 def verdict(n: Column, low: Column, high: Column, least: int = LEAST) -> Column:

@@ -62,14 +62,27 @@ def test_cooldown_and_strict_limits(spark):
 
 
 def test_intervals(spark):
+    """Any partitions and order give one interval, that of a plain version with the same draws; the law is the bootstrap's."""
     x = np.random.default_rng(3).normal(0.02, 0.05, 300)
-    rows = spark.createDataFrame([("s", 1, i, float(v)) for i, v in enumerate(x)] + [("t", 1, 0, 1.0)], "signal string, horizon int, k int, edge double").repartition(5)
-    got = {r.signal: r for r in study.intervals(rows, ["signal", "horizon"], "edge", ["k"]).collect()}
+    rows = spark.createDataFrame([("s", 1, i, float(v)) for i, v in enumerate(x)] + [("t", 1, 0, 1.0), ("t", None, 1, 2.0), ("t", None, 2, 3.0)], "signal string, horizon int, k int, edge double")
+    of = lambda df, **how: {(r.signal, r.horizon): (r.n, r.ci_low, r.ci_high) for r in study.intervals(df, ["signal", "horizon"], "edge", ["k"], **how).collect()}
+    got = of(rows.repartition(5), samples=2000)
+    assert got == of(rows.orderBy(F.desc("k")).coalesce(1), samples=2000)
+    p = np.array([r[0] for r in rows.where("signal = 's'").orderBy("k").select(F.xxhash64("k")).collect()], np.int64).view(np.uint64)
+    w = study.draws(p, 2000)
+    means = (w * x[:, None]).sum(axis=0) / w.sum(axis=0)
+    assert got[("s", 1)][0] == 300 and np.allclose(got[("s", 1)][1:], np.percentile(means, [2.5, 97.5]), atol=1e-8)
+    assert got[("t", 1)] == (1, None, None) and 2 <= got[("t", None)][1] <= got[("t", None)][2] <= 3
     rng = np.random.default_rng(study.SEED)
-    want = np.percentile(x[rng.integers(0, 300, (study.SAMPLES, 300))].mean(axis=1), [2.5, 97.5])
-    assert np.allclose([got["s"].ci_low, got["s"].ci_high], want) and got["t"].ci_low is None
-    big = {r.signal: r for r in study.intervals(rows, ["signal", "horizon"], "edge", ["k"], samples=2000, at_once=100).collect()}
-    assert big["s"].n == 300 and np.allclose([big["s"].ci_low, big["s"].ci_high], want, atol=0.002)
+    classic = np.percentile(x[rng.integers(0, 300, (10_000, 300))].mean(axis=1), [2.5, 97.5])
+    assert np.allclose(of(rows)[("s", 1)][1:], classic, atol=0.001)
+
+
+def test_draws_are_poisson():
+    w = study.draws(np.arange(500, dtype=np.uint64), 2000)
+    shares = np.bincount(w.ravel(), minlength=5)[:5] / w.size
+    assert np.allclose(shares, np.exp(-1) / np.array([1, 1, 2, 6, 24]), atol=0.002)
+    assert abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.08 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.15
 
 
 @pytest.mark.parametrize(("n", "low", "high", "said"), [(29, 1.0, 2.0, study.TOO_FEW), (30, 0.1, 0.2, study.BETTER), (30, -0.2, -0.1, study.WORSE), (30, -0.1, 0.1, study.NONE)])
