@@ -31,10 +31,16 @@ def draws(positions: np.ndarray, samples: int = SAMPLES, seed: int = SEED) -> np
     (seed, sample, position) alone, whoever makes it and in whatever order."""
     with np.errstate(over="ignore"):
         of_sample = _mixed(np.uint64(seed) + _A * np.arange(1, samples + 1, dtype=np.uint64))
-        mixed = _mixed(_mixed(positions.astype(np.uint64) + _A)[:, None] ^ of_sample[None, :])
-    # Where the distribution function passes each draw of 53 bits.
+        mixed = _mixed(_mixed(positions.astype(np.uint64) + _A)[:, None] ^ of_sample[None, :]) >> np.uint64(11)
+    # How many values of the distribution function each draw of 53 bits has passed.
     upto = np.cumsum(np.exp(-1) / np.cumprod(np.r_[1.0, np.arange(1.0, 18.0)]))
-    return np.searchsorted(upto, (mixed >> np.uint64(11)) * 2.0**-53, side="right").astype(np.int64)
+    out = np.zeros(mixed.shape, np.int8)
+    for least in np.ceil(upto * 2.0**53).astype(np.uint64):
+        over = mixed >= least
+        if not over.any():
+            break
+        out += over
+    return out.astype(np.int64)
 
 
 def intervals(rows: DataFrame, keys: list[str], value: str, order: list[str], samples: int = SAMPLES, seed: int = SEED) -> DataFrame:
@@ -72,7 +78,8 @@ def intervals(rows: DataFrame, keys: list[str], value: str, order: list[str], sa
         for part in parts:
             for c in zip(part["sums"], part["counts"]):
                 total = total + np.stack([np.frombuffer(x, np.int64) for x in c])
-        yield pd.DataFrame([(*key[:-1], (total[0] / np.maximum(total[1], 1) * STEP).tolist())], columns=[*keys, "means"])
+        some = total[1] > 0  # a resample of very few rows may have none
+        yield pd.DataFrame([(*key[:-1], (total[0][some] / total[1][some] * STEP).tolist())], columns=[*keys, "means"])
 
     counts = of.groupBy(*keys).agg(F.count("*").alias("n"))
     slices = of.mapInPandas(drawn, f"{head}, slice int, sums binary, counts binary").groupBy(*keys, "slice").applyInPandas(added, f"{head}, means array<double>")

@@ -55,11 +55,19 @@ def said(spark: SparkSession) -> DataFrame:
     return A.notes(rules, spark.sql(f"SELECT * FROM {_STUDY} AS t(signal, horizon, n, note)"))
 
 
-@query("""SELECT * FROM (VALUES ('gap_up', 'Backtest (Gap up): historically no edge vs doing nothing at 1 trading day (n=302); not confirmed out of sample.'),
-  ('gap_down', 'Backtest (Gap down): historically moved further in the signal''s direction than an average day at 5 trading days (n=272), possibly by chance; too few past events to judge (n=12).'),
-  ('volume_spike', 'Backtest (Volume spike): no backtest result at 5 trading days yet.')) t(signal, note)""")
+_NOTE = "CASE n % 5 WHEN 0 THEN 'too few events to judge' WHEN 1 THEN 'no clear difference' WHEN 2 THEN 'beats baseline (CI > 0)' WHEN 3 THEN 'worse than baseline (CI < 0)' ELSE 'other' END"
+_AT = "w.horizon || ' trading day' || CASE WHEN w.horizon = 1 THEN '' ELSE 's' END"
+
+
+@query(f"""WITH st AS (SELECT event_type AS signal, (1 + 4 * (event_id % 3))::INT AS horizon, count(*) AS n FROM events WHERE event_id % 3 < 2 GROUP BY ALL), w AS (SELECT DISTINCT event_type AS signal, h AS horizon FROM events, (VALUES (1), (5), (20)) v(h)),
+  c AS (SELECT w.signal, w.horizon, CASE WHEN n IS NULL THEN 'no backtest result at ' || {_AT} || ' yet' WHEN n % 5 = 0 THEN 'too few past events to judge (n=' || n || ')' WHEN n % 5 = 1 THEN 'historically no edge vs doing nothing at ' || {_AT} || ' (n=' || n || ')'
+    WHEN n % 5 IN (2, 3) THEN 'historically moved ' || CASE WHEN n % 5 = 2 THEN 'further' ELSE 'less' END || ' in the signal''s direction than an average day at ' || {_AT} || ' (n=' || n || '), possibly by chance' ELSE 'n=' || n END AS clause FROM w LEFT JOIN st ON st.signal = w.signal AND st.horizon = w.horizon)
+  SELECT signal, 'Backtest (' || upper(signal) || '): ' || string_agg(clause, '; ' ORDER BY horizon) || CASE WHEN length(signal) % 2 = 0 THEN '; not confirmed out of sample' ELSE '' END || '.' AS note FROM c GROUP BY signal""")
 def backtest_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return said(spark)
+    """What the past of each kind of event says at three horizons, one of them without results."""
+    e = T.table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"), (1 + 4 * (F.col("event_id") % 3)).cast("int").alias("horizon"))
+    rules = e.select("signal").distinct().select("signal", F.upper("signal").alias("label"), F.array(*[F.lit(h) for h in (1, 5, 20)]).alias("horizons"), F.when(F.length("signal") % 2 == 0, "not confirmed out of sample").alias("status"))
+    return A.notes(rules, e.where("horizon < 9").groupBy("signal", "horizon").agg(F.count("*").alias("n")).withColumn("note", F.expr(_NOTE)))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,10 +46,10 @@ def of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.with_session(e, "moment", days(spark, sf_dir)).groupBy("event_type", "session_date").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_K}, e AS (SELECT event_id, ts + INTERVAL 330 MINUTE AS local FROM events WHERE event_id % 20 = 0), d AS (SELECT event_id, CASE WHEN strftime(local, '%H:%M:%S') >= '16:00:00' THEN local::DATE ELSE local::DATE - 1 END AS day FROM e) SELECT event_id, CASE WHEN is_session THEN cal.day ELSE previous_session END AS session FROM d JOIN cal ON cal.day = d.day")
+@query(f"WITH {_K}, e AS (SELECT event_id, ts + INTERVAL 330 MINUTE AS local FROM events), d AS (SELECT event_id, CASE WHEN strftime(local, '%H:%M:%S') >= '16:00:00' THEN local::DATE ELSE local::DATE - 1 END AS day FROM e) SELECT event_id, CASE WHEN is_session THEN cal.day ELSE previous_session END AS session FROM d JOIN cal ON cal.day = d.day")
 def latest_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last session that had closed at some moments."""
-    now = T.table(spark, sf_dir, "events").where("event_id % 20 = 0").select("event_id", F.col("ts").cast("timestamp").alias("now"))
+    now = T.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("now"))
     key, closed = C.completed_session("now", days(spark, sf_dir))
     return now.withColumn("day", key).join(closed, "day").select("event_id", "session")
 
@@ -74,17 +74,18 @@ def completed_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.where(~dates.is_filler(F.col("open"), F.col("high"), F.col("low"), F.col("close"), F.col("volume") - 1)).select("symbol", "date", "close")
 
 
-@query("""WITH t AS (SELECT DATE '2001-08-20' + i::INT * 13 AS today FROM range(20) r(i)), q AS (SELECT last_day(DATE '1995-03-31' + to_months(3 * j::INT)) AS period_end FROM range(40) r(j)),
+@query("""WITH t AS (SELECT DISTINCT o_orderdate::DATE AS today FROM orders), q AS (SELECT last_day(DATE '1985-03-31' + to_months(3 * j::INT)) AS period_end FROM range(160) r(j)),
   d AS (SELECT today, period_end, row_number() OVER (PARTITION BY today ORDER BY period_end DESC) AS r FROM t JOIN q ON period_end + 60 <= today) SELECT today, period_end FROM d WHERE r <= 8""")
 def last_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The eight quarters whose results are due at a date."""
-    return spark.range(20).select(F.date_add(F.lit("2001-08-20").cast("date"), (F.col("id") * 13).cast("int")).alias("today")).select("today", F.explode(dates.last_quarters(F.col("today"), 8, 60)).alias("period_end"))
+    """The eight quarters whose results are due, on each day with orders."""
+    days = T.table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("today")).distinct()
+    return days.select("today", F.explode(dates.last_quarters(F.col("today"), 8, 60)).alias("period_end"))
 
 
-@query("SELECT o_orderkey AS k, strftime(CASE WHEN d - e <= 75 THEN e END, '%Y-%m-%d') AS window_quarter FROM (SELECT o_orderkey, o_orderdate::DATE AS d, (date_trunc('quarter', o_orderdate)::DATE - 1) AS e FROM orders WHERE o_orderkey % 10 = 0)")
+@query("SELECT o_orderkey AS k, strftime(CASE WHEN d - e <= 75 THEN e END, '%Y-%m-%d') AS window_quarter FROM (SELECT o_orderkey, o_orderdate::DATE AS d, (date_trunc('quarter', o_orderdate)::DATE - 1) AS e FROM orders)")
 def window_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quarter end whose 75 days of results hold a date."""
-    o = T.table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = T.table(spark, sf_dir, "orders")
     return o.select(F.col("o_orderkey").alias("k"), dates.window_quarter(F.col("o_orderdate").cast("date"), 75).cast("string").alias("window_quarter"))
 
 
@@ -113,8 +114,9 @@ def missing_weekdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span.where("weekday(date) < 5").join(b, ["symbol", "date"], "left_anti")
 
 
-@query(f"WITH {T.BARS}, r AS (SELECT 's' || n AS symbol, CASE WHEN n % 3 = 0 THEN NULL ELSE DATE '2001-01-01' + n::INT END AS last_date FROM range(9) t(n)) SELECT symbol, coalesce(last_date, DATE '2001-12-31' - 1825) AS start FROM r")
+@query("SELECT 's' || s_suppkey AS symbol, coalesce(max(l_shipdate)::DATE, DATE '2001-12-31' - 1825) AS start FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND s_suppkey % 3 <> 0 GROUP BY s_suppkey")
 def fetch_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From when bars are fetched: the last stored date again, or five years back."""
-    r = spark.range(9).select(F.format_string("s%d", "id").alias("symbol"), F.when(F.col("id") % 3 != 0, F.date_add(F.lit("2001-01-01").cast("date"), F.col("id").cast("int"))).alias("last_date"))
-    return r.select("symbol", dates.fetch_start(F.col("last_date"), F.lit("2001-12-31").cast("date")).alias("start"))
+    """From when each watched symbol's bars are fetched: the last stored date again, or five years back where none is stored."""
+    watched = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    stored = T.table(spark, sf_dir, "lineitem").where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("k")).agg(F.max("l_shipdate").cast("date").alias("last_date"))
+    return watched.join(stored, "k", "left").select(F.format_string("s%d", "k").alias("symbol"), dates.fetch_start(F.col("last_date"), F.lit("2001-12-31").cast("date")).alias("start"))

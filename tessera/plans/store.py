@@ -45,9 +45,10 @@ def pipeline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return moments(T.runs(spark, sf_dir), "started_at").orderBy("started_at")
 
 
-@query(f"WITH {T.CORPORATE_ACTIONS} SELECT * FROM corporate_actions WHERE symbol = '1-URGENT'")
+@query(f"WITH {T.STORED_ACTIONS} SELECT * FROM stored_actions WHERE symbol = '1-URGENT'")
 def corporate_actions_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.corporate_actions(spark).where("symbol = '1-URGENT'").orderBy("ex_date")
+    """One symbol's recorded actions by date."""
+    return T.stored_actions(spark, sf_dir).where("symbol = '1-URGENT'").orderBy("ex_date", "action_type")
 
 
 @query(f"WITH {T.ARTICLES} SELECT id, title, coalesce(story_id, -1) AS story_id, coalesce(published_at, first_seen_at) AS event_time FROM articles WHERE coalesce(published_at, first_seen_at) >= {S} + 100000")

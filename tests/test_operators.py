@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +28,59 @@ def test_full_frames_are_null_before(spark):
     assert got.where("sma_50 is not null").count() == 11
 
 
+def plain_indicators(rows):
+    """Bar by bar."""
+    out, y, prev = [], {}, None
+    for bar, (h, l, c) in enumerate(rows):
+        up, down = (max(c - prev, 0), max(prev - c, 0)) if prev is not None else (None, None)
+        x = {"ema_20": c, "ema_12": c, "ema_26": c, "up": up, "down": down, "range": max(h - l, abs(h - prev), abs(l - prev)) if prev is not None else h - l}
+        for m, (w, first, _) in series.MEANS.items():
+            if bar >= first:
+                y[m] = x[m] if bar == first else (1 - w) * y[m] + w * x[m]
+        macd = y["ema_12"] - y["ema_26"]
+        if bar >= 25:
+            y["signal"] = macd if bar == 25 else 0.8 * y["signal"] + 0.2 * macd
+        told = lambda m, v: v if bar >= sum((series.MEANS | series.SIGNAL)[m][1:]) - 1 else None
+        macd, signal = told("ema_26", macd), told("signal", y.get("signal"))
+        rsi = told("up", 100 * y["up"] / (y["up"] + y["down"]) if bar and y["up"] + y["down"] > 0 else None)
+        out.append((told("ema_20", y["ema_20"]), macd, signal, macd - signal if signal is not None else None, rsi, told("range", y["range"])))
+        prev = c
+    return out
+
+
+def test_indicators_in_blocks_and_in_parts(spark):
+    """Blocks give what stepping bar by bar gives, and a run that goes on from a stored state what one run over all bars gives."""
+    r = random.Random(2)
+    rows = {}
+    for symbol, n in (("a", 700), ("b", 130), ("c", 20), ("d", 1)):
+        close = 100.0
+        rows[symbol] = []
+        for _ in range(n):
+            close = max(1.0, close + r.gauss(0, 2))
+            rows[symbol].append((close + r.random(), close - r.random(), close))
+    rows["flat"] = [(5.0, 5.0, 5.0)] * 80
+    day = dt.date(2020, 1, 1)
+    bars = spark.createDataFrame([(s, day + dt.timedelta(i), *x) for s, all_ in rows.items() for i, x in enumerate(all_)], "symbol string, date date, high double, low double, close double")
+    names = ["ema_20", "macd", "macd_signal", "macd_hist", "rsi_14", "atr_14"]
+    of = lambda df: {(x.symbol, x.date): tuple(x[n] for n in names) for x in df.collect()}
+
+    def same(got, want):
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-8) for a, b in zip(got[k], v)), (k, got[k], v)
+
+    want = {(s, day + dt.timedelta(i)): v for s, all_ in rows.items() for i, v in enumerate(plain_indicators(all_))}
+    same(of(series.smoothed(bars)), want)
+    got, state = {}, None
+    for low, high in ((0, 1), (1, 15), (15, 26), (26, 90), (90, 700)):
+        part = bars.where(F.col("date").between(day + dt.timedelta(low), day + dt.timedelta(high - 1)))
+        out, new = series.indicators(part, state)
+        got |= of(out)
+        new = spark.createDataFrame(new.collect(), series.STATE)
+        state = new if state is None else new.unionByName(state.join(new, "symbol", "left_anti"))
+    same(got, want)
+
+
 def test_sinks(spark):
     stored = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, n string, v double")
     new = spark.createDataFrame([(2, None), (3, 3.0)], "k int, v double")
