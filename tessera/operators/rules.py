@@ -4,6 +4,8 @@ A further type is a further entry of RULES. Nothing looks ahead: every frame end
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -86,6 +88,23 @@ def firings(bars: DataFrame, rules: list[SignalRule]) -> DataFrame:
     return out
 
 
+def digest(rules: list[SignalRule]) -> str:
+    """What tells a set of rules from every other one, by name, type, parameters, direction and cooldown; labels and the order do not count."""
+    told = sorted((r.name, r.type, json.dumps(r.params, sort_keys=True), r.direction, r.cooldown) for r in rules)
+    return hashlib.sha256(json.dumps(told).encode()).hexdigest()
+
+
+def frozen(configured: list[SignalRule], registered: set[str], of: str) -> list[SignalRule]:
+    """The configured rules that claims were registered for. ValueError if one is missing or any of them is not as it was when `of` was its
+    digest: what is tested must not be tuned afterwards."""
+    found = [r for r in configured if r.name in registered]
+    if missing := registered - {r.name for r in found}:
+        raise ValueError(f"registered rules are not configured: {sorted(missing)}")
+    if digest(found) != of:
+        raise ValueError("registered rules have changed")
+    return found
+
+
 def displayed(signals: DataFrame, confirmed: DataFrame, filtered: list[str]) -> DataFrame:
     """signals without those of filtered names, and the confirmed ones in their place."""
     return signals.where(~F.col("signal").isin(filtered)).unionByName(confirmed)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import scoring, series
 from tessera.operators import study as S
-from tessera.operators.rules import SignalRule, counted, displayed, firings
+from tessera.operators.rules import SignalRule, counted, displayed, firings, frozen
 from tessera.operators.series import by_date, full
 from tessera.plans import entities, market
 from tessera.plans.registry import Area
@@ -127,15 +127,37 @@ def universe_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.kept_events(b, T.corporate_actions(spark).where("action_type = 'demerger'"), 200.0).select("symbol", "date", "reason")
 
 
-@query(f"WITH {T.BARS}, i AS (SELECT symbol, date, {market._FULL('avg', 'close', 50)} AS sma_50 FROM bars) SELECT symbol, date, round(coalesce(sma_50, -1), 4) AS sma_50 FROM i WHERE symbol = '1-URGENT' OR date >= DATE '2001-03-01'")
+#: The gap rules that claims are registered for, and their digest on that day.
+UNIVERSE = [*RULES, SignalRule("gap_up", "gap", {"threshold": 80.0, "side": "up"}, "bullish")]
+REGISTERED, DIGEST = {"gap_down", "gap_up"}, "a59e338b9057c746551b5d5fd02e6dd7792b5e3c192f0416d873d913b4feca70"
+_UNIVERSE = f"""{T.BARS}, g AS (SELECT symbol, date, (open / lag(close) {_W}) - 1) * 100 AS value, close / lag(close) {_W}) - 1 AS move FROM bars WHERE date BETWEEN DATE '1995-06-01' AND DATE '2000-06-30'), u AS (SELECT symbol, date, CASE WHEN value > 80 THEN 'gap_up' ELSE 'gap_down' END AS signal, CASE WHEN value > 80 THEN 'bullish' ELSE 'bearish' END AS direction, value FROM g WHERE value > 80 OR value < -50),
+d AS (SELECT * FROM ({T.ACTIONS.replace('D)', ')')}) t(symbol, date, kind, factor) WHERE kind = 'demerger')"""
+
+
+@query(f"WITH {_UNIVERSE} SELECT u.symbol, u.date, signal, direction, round(value, 6) AS value, CASE WHEN d.symbol IS NOT NULL THEN 'known demerger ex-date' WHEN abs(value) > 200 THEN 'overnight move beyond 200%' ELSE '' END AS reason FROM u LEFT JOIN d ON d.symbol = u.symbol AND d.date = u.date")
+def universe_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered rules, as they were frozen, over all symbols' bars of the registered period; why some events are left out."""
+    b = T.bars(spark, sf_dir).where("date between date '1995-06-01' and date '2000-06-30'")
+    found = firings(b, frozen(UNIVERSE, REGISTERED, DIGEST)).select("symbol", "date", "signal", "direction", F.round("value", 6).alias("value"))
+    return S.kept_events(found, T.corporate_actions(spark).where("action_type = 'demerger'"), 200.0)
+
+
+_KEPT = ("ema_20", "macd", "macd_signal", "rsi_14", "atr_14")
+
+
+@query(f"WITH {T.BARS}, i AS (SELECT symbol, date, {market._FULL('avg', 'close', 50)} AS sma_50 FROM bars), r AS (SELECT * FROM ({market.ORACLES['market_smoothed_indicators']})) SELECT i.symbol, i.date, round(coalesce(sma_50, -1), 4) AS sma_50, " + ", ".join(f"round(coalesce(r.{c}, -1), 4) AS {c}" for c in _KEPT) + " FROM i JOIN r ON r.symbol = i.symbol AND r.date = i.date WHERE i.symbol = '1-URGENT' OR i.date >= DATE '2001-03-01'")
 def incremental_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Indicators from the last stored date on, out of 600 days of bars before it; all of a symbol whose actions have changed."""
-    b, since = T.bars(spark, sf_dir), "2001-03-01"
+    """Indicators from the last stored date on; all of a symbol whose actions have changed. Means over windows look back over 600 days of bars,
+    recursive ones go on from the state that the stored bars have left."""
+    b, since = T.bars(spark, sf_dir), F.lit("2001-03-01").cast("date")
     dirty = spark.createDataFrame([("1-URGENT",)], "symbol string")
-    whole = b.join(F.broadcast(dirty), "symbol", "left_semi")
-    recent = b.join(F.broadcast(dirty), "symbol", "left_anti").where(F.col("date") >= F.date_sub(F.lit(since).cast("date"), 600))
+    whole, clean = b.join(dirty, "symbol", "left_semi"), b.join(dirty, "symbol", "left_anti")
+    _, state = series.indicators(clean.where(F.col("date") < since))
+    new, _ = series.indicators(clean.where(F.col("date") >= since), state)
+    recursive = series.smoothed(whole).unionByName(new).select("symbol", "date", *[F.round(F.coalesce(c, F.lit(-1.0)), 4).alias(c) for c in _KEPT])
     of = lambda df: df.select("symbol", "date", F.round(F.coalesce(full(F.avg, "close", 50), F.lit(-1.0)), 4).alias("sma_50"))
-    return of(whole).unionByName(of(recent).where(F.col("date") >= F.lit(since).cast("date")))
+    means = of(whole).unionByName(of(clean.where(F.col("date") >= F.date_sub(since, 600))).where(F.col("date") >= since))
+    return means.join(recursive, ["symbol", "date"])
 
 
 @query(f"WITH RECURSIVE {T.BARS}, r AS (SELECT symbol, date, rsi_14 FROM ({market.ORACLES['market_smoothed_indicators']})), p AS (SELECT b.symbol, date, close, lag(close) {_W}) AS prev, high, low, {market._FULL('avg', 'close', 200)} AS sma_200, max(date) OVER (PARTITION BY symbol) AS last FROM bars b) SELECT p.symbol, arg_max(close, date) AS close, round(100 * (arg_max(close, date) / arg_max(prev, date) - 1), 6) AS change_pct, max(high) FILTER (date > last - 364) AS high_52w, min(low) FILTER (date > last - 364) AS low_52w, round(arg_max(sma_200, date), 4) AS sma_200, round(arg_max(rsi_14, date), 6) AS rsi_14, arg_max(close, date) > arg_max(sma_200, date) AS above FROM p JOIN r USING (symbol, date) GROUP BY p.symbol")

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import random
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import alerts, calendar, results, scoring, sinks, study
-from tessera.operators.rules import SignalRule, firings
+from tessera.operators.rules import SignalRule, digest, firings, frozen
 from tessera.sources import parsers, registries
 
 KNOWN = [dt.date(2026, 9, d) for d in (18, 21, 22, 23, 25)]
@@ -78,6 +79,16 @@ def test_intervals(spark):
     assert np.allclose(of(rows)[("s", 1)][1:], classic, atol=0.001)
 
 
+def test_frozen_rules():
+    rules = [SignalRule("a", "gap", {"threshold": 2.0, "side": "up"}, label="A"), SignalRule("b", "gap", {"side": "up", "threshold": 3.0}), SignalRule("c", "rsi_cross", {"level": 30})]
+    of = digest(rules[:2])
+    assert frozen(rules[::-1], {"a", "b"}, of) == [rules[1], rules[0]]
+    with pytest.raises(ValueError, match="changed"):
+        frozen([replace(rules[0], params={"threshold": 2.5, "side": "up"}), rules[1]], {"a", "b"}, of)
+    with pytest.raises(ValueError, match="not configured"):
+        frozen(rules[1:], {"a", "b"}, of)
+
+
 def test_draws_are_poisson():
     w = study.draws(np.arange(500, dtype=np.uint64), 2000)
     shares = np.bincount(w.ravel(), minlength=5)[:5] / w.size
