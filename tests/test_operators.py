@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, text
-from tessera.operators import series, sinks
+from tessera.operators import alerts, series, sinks
+from tessera.operators.asof import as_of
 from tessera.streaming.sessions import windowed
 
 
@@ -81,6 +82,38 @@ def test_indicators_in_blocks_and_in_parts(spark):
     same(got, want)
 
 
+def test_windows_for_any_days(spark):
+    """One asked day gives what all days give, a day without a session too; shifts are seen against the trading day before."""
+    day = dt.date(2026, 1, 1)
+    daily = spark.createDataFrame([("a", day + dt.timedelta(i), 1.0 if i < 24 else -1.0, 1 + i % 2) for i in range(30)] + [("b", day, None, 0)], "symbol string, session_date date, weighted_score double, story_count int")
+    ask = lambda *ds: {(r.symbol, r.day): r for r in alerts.averages(daily, spark.createDataFrame([(d,) for d in ds], "day date")).collect()}
+    every = ask(*[day + dt.timedelta(i) for i in range(-3, 70)])
+    rows = {day + dt.timedelta(i): (1.0 if i < 24 else -1.0, 1 + i % 2) for i in range(30)}
+    for (symbol, d), r in every.items():
+        for got, n in ((r.avg_7, 7), (r.avg_30, 30)):
+            of = [x for at, x in rows.items() if symbol == "a" and d - dt.timedelta(n) < at <= d]
+            assert (got is None and not of) or abs(got - sum(w * k for w, k in of) / sum(k for _, k in of)) < 1e-12
+    last = day + dt.timedelta(29)
+    alone = ask(last)[("a", last)]
+    assert alone == every[("a", last)] and alone.avg_7 < 0 < alone.avg_30
+    stories = spark.createDataFrame([("a", day + dt.timedelta(25), "Bad news", "S", -0.9), ("a", day + dt.timedelta(2), "Old news", "S", -0.9)], "symbol string, session_date date, title string, source string, score double")
+    days = spark.createDataFrame([(day + dt.timedelta(i), day + dt.timedelta(i - 1)) for i in (25, 29)], "day date, previous_session date")
+    told = alerts.news_shifts(daily, days, stories).collect()
+    assert [(r.symbol, r.alert_date.day) for r in told] == [("a", 26)] and "Bad news" in told[0].text and "Old news" not in told[0].text
+
+
+def test_as_of(spark):
+    t = lambda k: dt.date(2026, 1, k)
+    left = spark.createDataFrame([("a", t(3), 1), ("a", t(5), 2), ("a", t(1), 3), ("b", t(3), 4), (None, t(3), 5), ("a", None, 6)], "k string, at date, n int")
+    right = spark.createDataFrame([("a", t(2), 20), ("a", t(3), 30), ("a", t(9), 90), ("b", t(4), 40)], "k string, day date, v int")
+    of = lambda **how: {r.n: r.got for r in as_of(left, right, ["k"], "at", "day", {"v": "got"}, **how).collect()}
+    assert of() == {1: 30, 2: 30, 3: None, 4: None, 5: None, 6: None}
+    assert of(same=False) == {1: 20, 2: 30, 3: None, 4: None, 5: None, 6: None}
+    assert of(forward=True) == {1: 30, 2: 90, 3: 20, 4: 40, 5: None, 6: None}
+    assert of(forward=True, same=False) == {1: 90, 2: 90, 3: 20, 4: 40, 5: None, 6: None}
+    assert as_of(left, right.limit(0), ["k"], "at", "day", {"v": "got"}).where("got is null").count() == 6 and as_of(left.limit(0), right, ["k"], "at", "day", {"v": "got"}).count() == 0
+
+
 def test_sinks(spark):
     stored = spark.createDataFrame([(1, "a", 1.0), (2, "b", 2.0)], "k int, n string, v double")
     new = spark.createDataFrame([(2, None), (3, 3.0)], "k int, v double")
