@@ -66,3 +66,11 @@ def label(p: Column) -> Column:
 def pending(rows: DataFrame, stored: DataFrame, keys: list[str], scorer: Scorer) -> DataFrame:
     """Of rows those that the scorer has not scored."""
     return rows.join(stored.where(F.col("model_name") == scorer.name).select(*keys), keys, "left_anti")
+
+
+def by_session(mentions: DataFrame, negative: float = -0.5) -> DataFrame:
+    """symbol, session_date, story_count, article_count, mean_score, weighted_score, strong_negative_stories, latest_first_seen_at.
+
+    mentions: article_id, symbol, story, score, confidence, first_seen_at, session_date. Copies are one story, of the first session of any."""
+    story = mentions.groupBy("symbol", "story").agg(F.min("session_date").alias("session_date"), F.avg("score").alias("score"), F.max("confidence").alias("confidence"), F.count_distinct("article_id").alias("articles"), F.max("first_seen_at").alias("seen"))
+    return story.groupBy("symbol", "session_date").agg(F.count("*").alias("story_count"), F.sum("articles").alias("article_count"), F.avg("score").alias("mean_score"), F.try_divide(F.sum(F.col("score") * F.col("confidence")), F.sum("confidence")).alias("weighted_score"), F.count_if(F.col("score") <= negative).alias("strong_negative_stories"), F.max("seen").alias("latest_first_seen_at"))

@@ -52,7 +52,7 @@ def changed_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.exceptAll(new).unionAll(new.exceptAll(old)).select(key).distinct()
 
 
-def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
+def replace_partitions(rows: DataFrame, path: str, by: str | list[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 

@@ -11,6 +11,7 @@ from tessera.operators import alerts as A
 from tessera.operators import results as R
 from tessera.operators import sinks
 from tessera.operators.calendar import known_moment, local_day, with_session
+from tessera.operators.scoring import by_session
 from tessera.plans import entities, market, reports, sessions
 from tessera.plans.registry import Area
 from tessera.sources import tables as T
@@ -76,8 +77,7 @@ def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     s = scored(spark, sf_dir).withColumn("story", F.coalesce("story_id", "article_id")).withColumn("moment", known_moment("published_at", "first_seen_at"))
     s = with_session(s, "moment", sessions.days(spark, sf_dir))
-    story = s.groupBy("symbol", "story").agg(F.min("session_date").alias("session_date"), F.avg("score").alias("score"), F.max("confidence").alias("confidence"), F.count_distinct("article_id").alias("articles"), F.max("first_seen_at").alias("seen"))
-    return story.groupBy("symbol", "session_date").agg(F.count("*").alias("story_count"), F.sum("articles").alias("article_count"), F.avg("score").alias("mean_score"), F.try_divide(F.sum(F.col("score") * F.col("confidence")), F.sum("confidence")).alias("weighted_score"), F.count_if(F.col("score") <= -0.5).alias("strong_negative_stories"), F.max("seen").alias("latest_first_seen_at"))
+    return by_session(s)
 
 
 _DAILY = f"""{sessions._K}, {T.NEWS}, sc AS (SELECT s.article_id, s.symbol, s.score, m.confidence, coalesce(a.story_id, a.id) AS story, a.first_seen_at, make_timestamp(coalesce(least(a.published_at, a.first_seen_at), a.first_seen_at) * 1000000) + INTERVAL 330 MINUTE AS local
