@@ -42,8 +42,19 @@ class WordScorer:
         return out
 
 
-def scored(rows: DataFrame, text: str, scorer: Scorer, batch: int = 16) -> DataFrame:
-    """rows with model_name, model_version, label, p_positive, p_negative, p_neutral, score. Each task loads the scorer once and gives it texts in batches."""
+class ColumnScorer(Protocol):
+    """A scorer that Spark computes itself."""
+
+    name: str
+    version: str
+
+    def with_probabilities(self, rows: DataFrame, text: str, name: str) -> DataFrame:
+        """rows with a struct of p_positive, p_negative and p_neutral."""
+
+
+def scored(rows: DataFrame, text: str, scorer: Scorer | ColumnScorer, batch: int = 16) -> DataFrame:
+    """rows with model_name, model_version, label, p_positive, p_negative, p_neutral, score. A scorer that is not columns is loaded once in each
+    task, which gives it texts in batches."""
 
     @F.pandas_udf("p_positive double, p_negative double, p_neutral double")
     def probabilities(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -53,7 +64,8 @@ def scored(rows: DataFrame, text: str, scorer: Scorer, batch: int = 16) -> DataF
             got = [p for k in range(0, len(texts), batch) for p in scorer.score(texts[k : k + batch])]
             yield pd.DataFrame(got, columns=["p_positive", "p_negative", "p_neutral"])
 
-    of = rows.withColumn("_p", probabilities(F.col(text)))
+    own = getattr(scorer, "with_probabilities", None)
+    of = own(rows, text, "_p") if own else rows.withColumn("_p", probabilities(F.col(text)))
     return of.select(*rows.columns, F.lit(scorer.name).alias("model_name"), F.lit(scorer.version).alias("model_version"), label(F.col("_p")).alias("label"), "_p.*", (F.col("_p.p_positive") - F.col("_p.p_negative")).alias("score"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.operators import scoring, series
+from tessera.operators import scoring, sentiment, series
 from tessera.operators import study as S
 from tessera.operators.rules import SignalRule, counted, displayed, firings, frozen
 from tessera.operators.series import by_date, full
@@ -183,10 +183,35 @@ def scored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.scored(scoring.pending(d, stored, ["doc_id"], scorer), "text", scorer).select("doc_id", "label", F.round("score", 9).alias("score"))
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text, sentiment of the labelled documents: toxic ones are negative, others of low quality neutral."""
+    kind = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 0, "neutral").when(F.col("quality") == 1, "positive")
+    return T.table(spark, sf_dir, "documents").select("doc_id", "text").join(T.table(spark, sf_dir, "labels").select("doc_id", kind.alias("sentiment")), "doc_id")
+
+
+def trained(spark: SparkSession, sf_dir: str) -> sentiment.TrainedScorer:
+    return sentiment.fit(labelled(spark, sf_dir), "text", "sentiment", "doc_id")
+
+
 @query()
 def scored_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Linked mentions with the score of the sentences that name the company."""
-    return scoring.scored(entities.scorer_inputs(spark, sf_dir), "text", scoring.WordScorer(GOOD, BAD)).drop("text")
+    """Linked mentions with the trained model's score of the sentences that name the company."""
+    return scoring.scored(entities.scorer_inputs(spark, sf_dir), "text", trained(spark, sf_dir)).drop("text")
+
+
+@query()
+def scored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the trained model, and whether it has neither been fitted nor calibrated on them."""
+    d = T.table(spark, sf_dir, "documents").select("doc_id", "text")
+    of = scoring.scored(d, "text", trained(spark, sf_dir)).withColumn("held_out", sentiment.fold("doc_id") == 0)
+    return of.select("doc_id", "held_out", "label", *[F.round(c, 6).alias(c) for c in ("p_positive", "p_negative", "p_neutral", "score")])
+
+
+@query()
+def scorer_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the trained model does on labelled documents that it has not seen."""
+    rows = labelled(spark, sf_dir)
+    return sentiment.held_out(rows, "text", "sentiment", "doc_id", trained(spark, sf_dir)).withColumn("calibration_error", F.round("calibration_error", 6))
 
 
 @query(f"WITH {T.BARS}, o AS (SELECT *, hash_k FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) % 4 AS hash_k FROM bars)) SELECT symbol, date, open, CASE WHEN hash_k = 1 AND open = high AND high = low AND low = close THEN 1.0 ELSE close END AS close, CASE WHEN hash_k = 1 THEN 0 ELSE volume END AS volume FROM o WHERE hash_k <> 0")
