@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import results as R
+from tessera.operators.lineage import shared_folder
 from tessera.plans.registry import Area
+from tessera.sources import formats
 from tessera.sources import parsers as P
 from tessera.sources import tables as T
 
@@ -62,6 +65,17 @@ def xbrl_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("file", "symbol_hint", "period_end", "basis", "metric", F.round("value", 4).alias("value"), "unit")
 
 
+@query(AREA.ORACLES["reports_xbrl_figures"])
+def xbrl_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same figures from a folder of instances, a file each, read as a source."""
+    formats.register(spark)
+    folder = f"{shared_folder(spark)}/xbrl-{uuid.uuid4().hex}"
+    xbrl_files(spark, sf_dir).select("file", F.col("content").cast("string").alias("value")).repartition("file").write.partitionBy("file").text(folder)
+    r = P.xbrl_results(spark.read.format("xbrl").load(folder).drop("error")).where("metric not like 'x:%'")
+    name = F.url_decode(F.regexp_extract("file", "/file=([^/]*)/", 1))
+    return r.select(name.alias("file"), "symbol_hint", "period_end", "basis", "metric", F.round("value", 4).alias("value"), "unit")
+
+
 def exhibit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, content: HTML exhibits with both bases of a quarter, in lakh, behind a summary in dollars."""
     w = wide(spark, sf_dir)
