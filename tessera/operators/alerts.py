@@ -16,7 +16,7 @@ COLUMNS = ["symbol", "alert_type", "subject", "alert_date", "severity", "text"]
 
 
 def pct(value: Column) -> Column:
-    return F.coalesce(F.format_string("%+.1f%%", value * 100), F.lit("n/a"))
+    return F.when(value.isNotNull(), F.format_string("%+.1f%%", value * 100)).otherwise("n/a")
 
 
 def trading_days(n: Column) -> Column:
