@@ -122,7 +122,7 @@ def linked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = T.posts(spark, sf_dir).select(F.col("id").alias("post_id"), "platform", "author", "created_at", "first_seen_at")
     s = T.post_sentiment(spark, sf_dir).where(F.col("model_name") == T.MODEL).select("post_id", "symbol", "score")
     m = T.post_mentions(spark, sf_dir).where("confidence >= 0.2").join(p, "post_id").join(s, ["post_id", "symbol"], "left")
-    return with_session(m.withColumn("moment", known_moment("created_at", "first_seen_at")), "moment", sessions.days(spark, sf_dir))
+    return with_session(m.withColumn("moment", known_moment("created_at", "first_seen_at")), "moment", sessions.days(spark, sf_dir), how="inner")
 
 
 @query(f"WITH {_ITEMS} SELECT post_id, symbol, moment, session_date FROM items")

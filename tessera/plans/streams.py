@@ -45,6 +45,9 @@ def daily_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     articles = T.articles(spark, sf_dir).select("id", "title", "summary", "text", "story_id", "published_at", "first_seen_at")
     articles.repartition(files, "id").write.parquet(f"{folder}/arrived")
     arrived = spark.readStream.schema(articles.schema).option("maxFilesPerTrigger", math.ceil(files / BATCHES)).parquet(f"{folder}/arrived")
-    desk = Desk(spark, f"{folder}/desk", sessions.days(spark, sf_dir), link, WordScorer(GOOD, BAD))
+    # The desk leaves out what has no session: moments behind the calendar's last one get one that is null again in the end.
+    later = F.lit("9999-12-31").cast("date")
+    days = sessions.days(spark, sf_dir).withColumn("next_session", F.coalesce("next_session", later))
+    desk = Desk(spark, f"{folder}/desk", days, link, WordScorer(GOOD, BAD))
     desk.start(arrived).awaitTermination()
-    return desk.sentiment().withColumns({"mean_score": F.round("mean_score", 9), "weighted_score": F.round("weighted_score", 9), "latest_first_seen_at": T.seconds("latest_first_seen_at")})
+    return desk.sentiment().withColumns({"session_date": F.nullif("session_date", later), "mean_score": F.round("mean_score", 9), "weighted_score": F.round("weighted_score", 9), "latest_first_seen_at": T.seconds("latest_first_seen_at")})
