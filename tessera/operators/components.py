@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, growing
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,10 +15,10 @@ def components(links: DataFrame) -> DataFrame:
     labels = cut(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")))
     while True:
         of = labels.select(F.col("id").alias("other"), F.col("component").alias("near"))
-        least = both.join(of, "other").groupBy("id").agg(F.min("near").alias("near"))
-        new = labels.join(least, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
+        least = both.join(growing(of), "other").groupBy("id").agg(F.min("near").alias("near"))
+        new = labels.join(growing(least), "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
         jump = labels.select(F.col("id").alias("component"), F.col("component").alias("far"))
-        new = cut(new.join(jump, "component", "left").select("id", "was", F.least("component", "far").alias("component")))
+        new = cut(new.join(growing(jump), "component", "left").select("id", "was", F.least("component", "far").alias("component")))
         if new.where("was <> component").isEmpty():
             return new.select("id", "component")
         labels = new.select("id", "component")

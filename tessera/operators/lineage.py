@@ -24,3 +24,9 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
+
+
+def growing(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is not to be broadcast: it grows with the input, though estimates, which take an array for one element,
+    may call it small. Such a broadcast goes through the driver whole."""
+    return df.hint("merge")

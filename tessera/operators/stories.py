@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.similarity import alike, folded
 from tessera.operators.components import components
-from tessera.operators.lineage import cut
+from tessera.operators.lineage import cut, growing
 
 # How alike titles are, within how many hours, and below how many words their order counts.
 SIMILAR, HOURS, SHORT = 90.0, 48, 6
@@ -57,8 +57,8 @@ def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = H
     - By words: where the words in common make up r / (200 - r) of one title, those others are few letters, and one of its rarest words that
       together have more letters is a word of the other. This is how a title that another one extends is found.
     - Titles of single letters may have too few grams for either; they meet all titles of their blocks."""
-    near = titles.select("id", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.array(b - 1, b, b + 1))))).alias("block"))
-    own = titles.select("id", F.explode("blocks").alias("block"))
+    near = growing(titles.select("id", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.array(b - 1, b, b + 1))))).alias("block")))
+    own = growing(titles.select("id", F.explode("blocks").alias("block")))
     rest = (100 - similar) / 100
     # |b| is at least (r / (200 - r)) |a|: the most that can be spoilt of a title's grams.
     least = similar / (200 - similar)
@@ -69,21 +69,21 @@ def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = H
     def ranked(column: str) -> DataFrame:
         """id, the members of a column and how many titles have each."""
         each = sized.select("id", F.explode(column).alias("key"))
-        return each.join(each.groupBy("key").agg(F.count("*").alias("n")), "key")
+        return each.join(growing(each.groupBy("key").agg(F.count("*").alias("n"))), "key")
 
     held = ranked("grams").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    begins = sized.join(held, "id").select("id", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k")).select("id", F.concat(F.lit("g"), F.col("k.key")).alias("key"))
+    begins = sized.join(growing(held), "id").select("id", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k")).select("id", F.concat(F.lit("g"), F.col("k.key")).alias("key"))
     words = ranked("words").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     room = F.aggregate("words", F.lit(-1), lambda s, w: s + F.length(w) + 1) * (1 - least)
     # The rarest words until they have more letters than may be missing.
     few = F.aggregate("keys", F.struct(F.lit(0.0).cast("double").alias("used"), F.array().cast("array<string>").alias("kept")), lambda s, k: F.when(s["used"] > F.col("room"), s).otherwise(F.struct((s["used"] + F.length(k["key"]) + 1).alias("used"), F.concat(s["kept"], F.array(k["key"])).alias("kept"))), lambda s: s["kept"])
-    probes = sized.withColumn("room", room + 1e-9).join(words, "id").select("id", F.explode(few).alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
+    probes = sized.withColumn("room", room + 1e-9).join(growing(words), "id").select("id", F.explode(few).alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
     every = sized.select("id", F.explode("words").alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
     bare = sized.where(F.col("first") > F.size("grams")).select("id")
 
     asks = begins.unionByName(probes).join(near, "id").unionByName(bare.join(near, "id").select("id", F.lit("*").alias("key"), "block"))
     answers = begins.unionByName(every).join(own, "id").unionByName(own.select("id", F.lit("*").alias("key"), "block") if not bare.isEmpty() else own.where("false").select("id", F.lit("*").alias("key"), "block"))
-    met = asks.toDF("a", "key", "block").join(answers.toDF("b", "key", "block"), ["key", "block"]).where("a <> b")
+    met = asks.toDF("a", "key", "block").join(growing(answers.toDF("b", "key", "block")), ["key", "block"]).where("a <> b")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -96,7 +96,7 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     span = hours * 3600
     kinds = titles.groupBy("norm", "keys").agg(F.min("id").alias("class"), F.array_distinct(F.collect_set(F.floor(F.col("seconds") / span))).alias("blocks"))
     kinds = cut(kinds)
-    rows = cut(titles.join(kinds.select("norm", "keys", "class"), ["norm", "keys"]).select("id", "class", "seconds"))
+    rows = cut(titles.join(growing(kinds.select("norm", "keys", "class")), ["norm", "keys"]).select("id", "class", "seconds"))
     w = W.partitionBy("class").orderBy("seconds", "id")
     # A run of rows none of which is too long behind the one before it is linked with its first row.
     begins = F.coalesce(F.col("seconds") - F.lag("seconds").over(w) > span, F.lit(True))
@@ -104,11 +104,11 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     same = runs.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
     found = candidate_titles(kinds.select(F.col("class").alias("id"), "norm", "blocks"), similar, hours)
-    of = lambda x: kinds.select(F.col("class").alias(x), F.col("norm").alias(f"n{x}"), F.col("keys").alias(f"k{x}"))
+    of = lambda x: growing(kinds.select(F.col("class").alias(x), F.col("norm").alias(f"n{x}"), F.col("keys").alias(f"k{x}")))
     found = found.join(of("a"), "a").join(of("b"), "b")
     within = (F.size(F.array_except("ka", "kb")) == 0) | (F.size(F.array_except("kb", "ka")) == 0)
     alike_ = found.where(within).where((F.col("na") == F.col("nb")) | (alike(short)(F.col("na"), F.col("nb")) >= similar)).select("a", "b")
-    both = alike_.select("a", "b", F.explode(F.array("a", "b")).alias("class")).join(rows, "class")
+    both = alike_.select("a", "b", F.explode(F.array("a", "b")).alias("class")).join(growing(rows), "class")
     order = W.partitionBy("a", "b").orderBy("seconds", "id").rowsBetween(W.unboundedPreceding, -1)
     last = lambda side: F.last(F.when(F.col("class") == F.col(side), F.struct("id", "seconds")), ignorenulls=True).over(order)
     other = F.when(F.col("class") == F.col("a"), last("b")).otherwise(last("a"))
@@ -120,12 +120,13 @@ def grouped(articles: DataFrame, companies: dict[str, str] | None = None, simila
     """id, story_id for each of articles (id, title, published_at, first_seen_at, story_id): the first id that a story has already, by time,
     else its earliest article."""
     of = articles.select("id", "story_id", F.unix_micros(F.coalesce("published_at", "first_seen_at")).alias("micros"), normal_title(F.coalesce("title", F.lit(""))).alias("norm"))
-    titles = of.select("id", "norm", distinguishing(F.col("norm"), companies).alias("keys"), (F.col("micros") / 1_000_000).alias("seconds"))
+    of = cut(of.withColumn("keys", distinguishing(F.col("norm"), companies)))
+    titles = of.select("id", "norm", "keys", (F.col("micros") / 1_000_000).alias("seconds"))
     group = components(matching_pairs(titles, similar, hours, short))
-    of = of.join(group, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    of = of.join(growing(group), "id", "left").withColumn("component", F.coalesce("component", "id"))
     time = F.struct("micros", "id")
     named = of.groupBy("component").agg(F.coalesce(F.min_by("story_id", F.when(F.col("story_id").isNotNull(), time)), F.min_by("id", time)).alias("story"))
-    return of.join(named, "component").select("id", F.col("story").alias("story_id"))
+    return of.join(growing(named), "component").select("id", F.col("story").alias("story_id"))
 
 
 def regrouped(articles: DataFrame, companies: dict[str, str] | None = None, **how: float) -> DataFrame:
@@ -137,4 +138,4 @@ def regrouped(articles: DataFrame, companies: dict[str, str] | None = None, **ho
     recent = articles.join(first, time >= F.col("first") - F.expr(f"interval {2 * int(hours)} hours")).drop("first")
     new = grouped(recent, companies, **how)
     old = recent.select("id", F.col("story_id").alias("was"))
-    return new.join(old, "id").where(~F.col("story_id").eqNullSafe(F.col("was"))).select("id", "story_id")
+    return new.join(growing(old), "id").where(~F.col("story_id").eqNullSafe(F.col("was"))).select("id", "story_id")
