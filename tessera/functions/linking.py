@@ -29,6 +29,8 @@ LIST_TAIL = r"(?:,|&|\band)\s*$"
 SENTENCE_END = r"\n+|(?<=[.!?])\s+(?=[A-Z0-9\"'(‘“])"
 LONG_BODY = 1500
 THRESHOLD = 0.5
+#: Characters of texts whose hits leave the function together.
+TOGETHER = 1_000_000
 PLACES = ("title", "summary", "body")
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 
@@ -103,16 +105,24 @@ class TermAutomaton:
     def find(self, text: str) -> Iterator[tuple[int, int, object]]:
         """(start, end, of) of every occurrence, by its end."""
         tokens = TOKEN.findall(text)
-        low = [t.lower() for t in tokens]
+        # All at once where that gives the same tokens.
+        low = [t.lower() for t in tokens] if "\0" in text else "\0".join(tokens).lower().split("\0")
         begins = list(accumulate(map(len, tokens), initial=0))
         goes, back, ends, state = self.next, self.back, self.ends, 0
+        root = goes[0]
         for k, word in enumerate(low):
-            if word not in goes[state]:
-                if word.isspace():
-                    word = " "
-                while state and word not in goes[state]:
-                    state = back[state]
-            state = goes[state].get(word, 0)
+            if not state:
+                # Terms begin with no blank, so that most tokens end here.
+                if word not in root:
+                    continue
+                state = root[word]
+            else:
+                if word not in goes[state]:
+                    if word.isspace():
+                        word = " "
+                    while state and word not in goes[state]:
+                        state = back[state]
+                state = goes[state].get(word, 0)
             for n, allowed, of in ends[state]:
                 first = k - n + 1
                 if allowed is not None and "".join(" " if t.isspace() else t for t in tokens[first : k + 1]) not in allowed:
@@ -272,22 +282,31 @@ def hits(companies: list[Company], finance: tuple[str, ...] = FINANCE, market: t
     def found(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         registry = Registry(companies, finance, market)
         for batch in parts:
-            out = []
+            out, chars = [], 0
             for *texts, day in zip(*batch):
                 row, told, reports = [], {}, -1
                 for place, text in enumerate(texts):
                     of, report = registry.hits(text, day)
                     if place == 0:
                         reports = report
-                    sentences = Sentences(text) if of else None
+                    sentences, known = Sentences(text) if of else None, {}
                     for c, name, kind, strong, start, end in of:
-                        key = sentences.at(start).strip()
+                        k = sentences.number(start)
+                        if k not in known:
+                            known[k] = told.setdefault(sentences.at(start).strip(), len(told))
                         moved = place == 0 and moves.match(text, end) is not None and tail.search(text[:start]) is None
-                        row.append((companies[c].symbol, place, name, kind, strong, start, moved, told.setdefault(key, len(told))))
+                        row.append((companies[c].symbol, place, name, kind, strong, start, moved, known[k]))
+                    chars += len(text or "")
                 out.append((reports, row, list(told)))
-            yield pd.DataFrame(out, columns=["report", "hits", "sentences"])
-
-    return found
+                # A batch of texts has far more hits than fit into memory as easily as the texts do: they go in parts.
+                if chars >= TOGETHER:
+                    yield pd.DataFrame(out, columns=["report", "hits", "sentences"])
+                    out, chars = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=["report", "hits", "sentences"])
+
+    # Else a filter on the hits is pushed below, and every text is read a second time for it.
+    return found.asNondeterministic()
 
 
 def mentions(rows: DataFrame, companies: list[Company], day: str = "day", finance: tuple[str, ...] = FINANCE, market: tuple[str, ...] = MARKET) -> DataFrame:
