@@ -135,12 +135,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return _placed(docs, weights, share, most, block).drop("start", "slots")
 
 
-def mixed_documents(docs: DataFrame, in_order: bool = False) -> DataFrame:
+def mixed_documents(docs: DataFrame, in_order: bool = True) -> DataFrame:
     """The rows of docs in the mix, each as often as its words were taken, to the nearest whole number (0, 1 or 2 times). Rows without
     words are not in it; rows that repeat are each mixed. An empty table gives an empty result; very long texts move whole.
 
-    in_order: sorted by the slots that the copies begin in, for a mix that is written as it is to be read. That shuffles all texts once
-    more; what packs or shuffles the mix has no use for it."""
+    in_order: sorted by the slots that the copies begin in, as a mix is read. That shuffles all texts once more; what packs or
+    shuffles the mix has no use for it and says so."""
     rows, n = numbered(docs)
     slot, start = f"{n}slot", f"{n}start"
     times = F.round(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
