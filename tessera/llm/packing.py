@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
-from tessera.llm.tokens import WordEncoder, array_parts, ended
+from tessera.llm.tokens import array_parts, ended, word_encoder
 
 MOST = 4096
 END = 1
@@ -47,11 +47,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, most: int = MOST, end: int =
     and the end id, cut every `most` tokens. docs: doc_id and text; other columns are ignored.
 
     A null text is empty and gives the end id alone. Rows that repeat are each cut. Very long texts are encoded
-    whole and leave a task in runs of pieces. An empty table gives an empty result. special_as_text: see WordEncoder."""
+    whole and leave a task in runs of pieces. An empty table gives an empty result. special_as_text: see tokens.WordEncoder."""
     names = PIECES.names if with_ids else PIECES.names[:-1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(vocabulary, special_as_text)
+        encoder = word_encoder(vocabulary, special_as_text)
         for batch in batches:
             for at, texts in array_parts(batch.column(1)):
                 ids, begin = ended(*encoder.encode(texts), end, np.uint32)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ class WordEncoder:
     """Encodes texts word by word and remembers words: the tokenizer drops white space and no token
     crosses it, so a text's ids are those of its words in a row. Its letters end where punctuation
     begins and it folds case, so that words are remembered without their closing punctuation and in lower case.
-    The memory is emptied when it holds `words` entries.
+    When the memory would hold more than `words` entries, the half that fewest calls have met goes.
 
     special_as_text: whether the strings of special tokens in a text are ordinary text; else they
     give their ids, as the tokenizer has it unless told otherwise."""
@@ -30,12 +31,20 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words = words
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begin, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        # Where a word's ids begin, how many they are, and in how many calls it was met, which counts for half after each forgetting.
+        self.begin, self.count, self.met = (np.zeros(1 << 14, np.int64) for _ in range(3))
+
+    def _forget(self) -> None:
+        n = len(self.known)
+        kept = np.sort(np.argsort(-self.met[:n], kind="stable")[: self.words // 2])
+        words, count = list(self.known), self.count[kept]
+        upto = np.cumsum(count)
+        ids = self.flat[np.repeat(self.begin[kept] - (upto - count), count) + np.arange(upto[-1] if len(upto) else 0)]
+        met, self.known, self.used = self.met[kept] // 2, {}, 0
+        self._remember([words[k] for k in kept.tolist()], ids, count)
+        self.met[: len(kept)] = met
 
     def _encoded(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -45,17 +54,18 @@ class WordEncoder:
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while n + len(words) > len(self.begin):
-            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+            self.begin, self.count, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count, self.met))
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[n : n + len(words)] = self.used + np.cumsum(counts) - counts
         self.count[n : n + len(words)] = counts
+        self.met[n : n + len(words)] = 0
         self.used += len(ids)
         self.known.update(zip(words, range(n, n + len(words))))
 
     def _learn(self, words: list[str]) -> None:
         """Words of letters are encoded in a row and told apart by the tokens that end a word; the row is given
         up if there are other ends than theirs."""
-        letters = pc.utf8_is_alpha(pa.array(words, pa.string())).to_pylist()
+        letters = pc.utf8_is_alpha(pa.array(words, pa.string())).to_numpy(zero_copy_only=False).tolist()
         rest = [w for w, x in zip(words, letters) if not x]
         alone = [w for w, x in zip(words, letters) if x]
         for at in range(0, len(alone), 500):
@@ -79,16 +89,18 @@ class WordEncoder:
             texts = pc.ascii_lower(texts)
         split = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([A-Za-z])([.,;:!?])", r"\1 \2"))
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         at = list(map(self.known.get, words))
         if None in at:
             new = [w for w, k in zip(words, at) if k is None]
             if len(self.known) + len(new) > self.words:
                 self._forget()
-                new = words
+                new = [w for w in words if w not in self.known]
             self._learn(new)
             at = list(map(self.known.get, words))
-        at = np.array(at, np.int64)[coded.indices.to_numpy()]
+        at = np.array(at, np.int64)
+        self.met[at] += 1
+        at = at[coded.indices.to_numpy()]
         counts = self.count[at]
         upto = np.concatenate([[0], np.cumsum(counts)])
         ids = self.flat[np.repeat(self.begin[at] - upto[:-1], counts) + np.arange(upto[-1])]
@@ -96,6 +108,12 @@ class WordEncoder:
         return ids, upto[offsets - offsets[0]]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+    """A Python worker's encoder, which later tasks of that worker find with the words that it knows."""
+    return WordEncoder(path, special_as_text)
+
+
 def ended(ids: np.ndarray, begin: np.ndarray, end: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """ids with the end id behind each text, and where each text's begin."""
     n = len(begin) - 1
