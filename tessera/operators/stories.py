@@ -91,8 +91,8 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     """a, b: ids of titles (id, norm, keys, seconds) that tell the same or hang together by such, and, together, connect all that do.
 
     Rows of one title and the same keys are one class: they hang together in runs without too long a gap. Only classes
-    are compared, so that a title that comes thousands of times is compared once. Rows of two classes that tell the same are linked each
-    with the last row before it of the other one, which connects them as all their links would."""
+    are compared, so that a title that comes thousands of times is compared once. Runs of two classes that tell the same are linked by
+    their first rows where rows of both are near enough, which connects them as all their links would."""
     span = hours * 3600
     kinds = titles.groupBy("norm", "keys").agg(F.min("id").alias("class"), F.array_distinct(F.collect_set(F.floor(F.col("seconds") / span))).alias("blocks"))
     kinds = cut(kinds)
@@ -101,6 +101,7 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     # A run of rows none of which is too long behind the one before it is linked with its first row.
     begins = F.coalesce(F.col("seconds") - F.lag("seconds").over(w) > span, F.lit(True))
     runs = rows.withColumn("begins", begins).withColumn("head", F.last(F.when(F.col("begins"), F.col("id")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    runs = cut(runs.select("id", "class", "seconds", "head"))
     same = runs.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
     found = candidate_titles(kinds.select(F.col("class").alias("id"), "norm", "blocks"), similar, hours)
@@ -108,12 +109,26 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     found = found.join(of("a"), "a").join(of("b"), "b")
     within = (F.size(F.array_except("ka", "kb")) == 0) | (F.size(F.array_except("kb", "ka")) == 0)
     alike_ = found.where(within).where((F.col("na") == F.col("nb")) | (alike(short)(F.col("na"), F.col("nb")) >= similar)).select("a", "b")
-    both = alike_.select("a", "b", F.explode(F.array("a", "b")).alias("class")).join(growing(rows), "class")
-    order = W.partitionBy("a", "b").orderBy("seconds", "id").rowsBetween(W.unboundedPreceding, -1)
-    last = lambda side: F.last(F.when(F.col("class") == F.col(side), F.struct("id", "seconds")), ignorenulls=True).over(order)
-    other = F.when(F.col("class") == F.col("a"), last("b")).otherwise(last("a"))
-    across = both.select("id", "seconds", other.alias("other")).where(F.col("seconds") - F.col("other.seconds") <= span)
-    return same.unionByName(across.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b"))).distinct()
+    return same.unionByName(_runs_that_meet(alike_, runs.groupBy("class", "head").agg(F.min("seconds").alias("begin"), F.max("seconds").alias("end")), span)).distinct()
+
+
+def _runs_that_meet(pairs: DataFrame, runs: DataFrame, span: int) -> DataFrame:
+    """a, b: the heads of two runs (class, head, begin, end) of paired classes (a, b) that have rows within the span of each other.
+
+    No gap in a run is longer than the span, so that these are the runs that are no farther apart, or overlap. The class that fills fewer
+    blocks of time asks for runs of the other in its own blocks: a title that comes again and again is not gone through for each of those like it."""
+    block = lambda seconds: F.floor(seconds / span)
+    runs = cut(runs)
+    sizes = cut(runs.groupBy("class").agg(F.sum(block(F.col("end")) - block(F.col("begin")) + 1).alias("size")))
+    of = lambda x: growing(sizes.select(F.col("class").alias(x), F.col("size").alias(f"s{x}")))
+    fewer = F.col("sa") <= F.col("sb")
+    asked = pairs.join(of("a"), "a").join(of("b"), "b").select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("class"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("other"))
+    # A second more, as differences of moments are rounded.
+    around = F.sequence(block(F.col("begin") - span - 1), block(F.col("end") + span + 1))
+    asks = asked.join(growing(runs), "class").select(F.col("other").alias("class"), "head", "begin", "end", F.explode(around).alias("block"))
+    there = runs.select("class", F.col("head").alias("to"), F.col("begin").alias("from"), F.col("end").alias("until"), F.explode(F.sequence(block(F.col("begin")), block(F.col("end")))).alias("block"))
+    met = asks.join(growing(there), ["class", "block"]).where((F.col("begin") - F.col("until") <= span) & (F.col("from") - F.col("end") <= span))
+    return met.select(F.least("head", "to").alias("a"), F.greatest("head", "to").alias("b")).distinct()
 
 
 def grouped(articles: DataFrame, companies: dict[str, str] | None = None, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT) -> DataFrame:

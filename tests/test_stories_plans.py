@@ -1,5 +1,7 @@
 """What story groups send through the driver."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from tessera.operators import stories
@@ -19,3 +21,21 @@ def test_nothing_that_grows_is_broadcast(spark):
         assert "Join" in plan(df) and "BroadcastHashJoin" not in plan(df)
     links = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert {r.component for r in components(links).collect()} == {0}
+
+
+def test_a_title_that_comes_often_is_not_gone_through_for_each_that_is_like_it(spark):
+    """The runs of paired classes that have rows within the span of each other, against all pairs of their rows; edges of the span included."""
+    r, span = random.Random(11), 100
+    rows = [("a", i, 60.0 * i) for i in range(200)] + [(c, 1000 + 10 * k + i, r.randrange(0, 140) * 100 + r.choice([0.0, 0.25])) for k, c in enumerate("bcdef") for i in range(8)]
+    pairs, runs, met = [("a", c) for c in "bcdef"] + [("b", "c")], [], set()
+    for c in "abcdef":
+        for _, i, t in sorted((x for x in rows if x[0] == c), key=lambda x: x[2]):
+            if runs and runs[-1][0] == c and t - runs[-1][3] <= span:
+                runs[-1][3] = t
+            else:
+                runs.append([c, i, t, t])
+    head = {i: h for c, h, s, e in runs for d, i, t in rows if c == d and s <= t <= e}
+    for x, y in pairs:
+        met |= {tuple(sorted((head[i], head[j]))) for c, i, t in rows if c == x for d, j, u in rows if d == y and abs(t - u) <= span}
+    got = stories._runs_that_meet(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(runs, "class string, head long, begin double, end double"), span).collect()
+    assert sorted(map(tuple, got)) == sorted(met) and len(got) > 10
