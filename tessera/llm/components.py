@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import delete, written
+from tessera.llm.common import delete, materialise, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -29,10 +29,20 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
         links, new = written(_small_star(_large_star(links)).where("a <> b").distinct(), "links")
         delete(spark, path)
         path = new
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(links.select("b", "b").distinct())
+
+
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """id, component of what components (labels) and further links (a, b) connect: only the components that these links meet are
+    gone through again."""
+    of = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    met = components(between)
+    old = labels.join(met.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left").select("id", F.coalesce("now", "component").alias("component"))
+    return materialise(old.union(met.join(labels, "id", "left_anti").select("id", "component")), "components")

@@ -27,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise, numbered
-from tessera.llm.components import components
-from tessera.llm.tokens import in_parts
+from tessera.llm.components import components, joined
+from tessera.llm.tokens import array_parts, in_parts
 
 WORDS = 4
 PERCENT = 85
@@ -75,16 +76,51 @@ class Shingler:
             known.clear()
         for w in set(words).difference(known):
             known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.array([known[w] for w in words], np.uint64)
-        n = min(self.words, len(words))
-        with np.errstate(over="ignore"):
-            out = np.full(len(words) - n + 1, n, np.uint64)
-            for i in range(n):
-                out = out * _A + h[i : len(h) - n + 1 + i]
-            out ^= out >> np.uint64(31)
-            out *= _B
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
+        return np.unique(_rolled(np.array([known[w] for w in words], np.uint64), min(self.words, len(words))))
+
+    def of_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of all texts: their hashes in a row, and where each text's begin (with the end of the last one)."""
+        import xxhash
+
+        split = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+        coded = split.flatten().dictionary_encode()
+        each = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        of = np.fromiter(map(xxhash.xxh3_64_intdigest, each), np.uint64, len(each))[coded.indices.to_numpy()]
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        begin = offsets - offsets[0]
+        if b"" in each:  # beside white space at the ends of a text
+            word = coded.indices.to_numpy() != each.index(b"")
+            begin, of = np.concatenate([[0], np.cumsum(word)])[begin], of[word]
+        size = np.diff(begin)
+        count = np.where(size, np.maximum(size - self.words + 1, 1), 0)
+        upto = np.concatenate([[0], np.cumsum(count)])
+        out = np.zeros(upto[-1], np.uint64)
+        if len(of) >= self.words:
+            # Those that begin in a text of enough words and end within it.
+            whole = np.repeat(size >= self.words, count)
+            at = np.arange(upto[-1]) + np.repeat(begin[:-1] - upto[:-1], count)
+            out[whole] = _rolled(of, self.words)[at[whole]]
+        for i in np.flatnonzero((size > 0) & (size < self.words)).tolist():
+            out[upto[i]] = _rolled(of[begin[i] : begin[i + 1]], int(size[i]))[0]
+        for a, b in zip(upto[:-1].tolist(), upto[1:].tolist()):
+            out[a:b].sort()
+        first = np.ones(len(out), bool)
+        first[1:] = out[1:] != out[:-1]
+        first[upto[:-1][count > 0]] = True
+        return out[first], np.concatenate([[0], np.cumsum(first)])[upto]
+
+
+def _rolled(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    with np.errstate(over="ignore"):
+        out = np.full(len(words) - n + 1, n, np.uint64)
+        for i in range(n):
+            out *= _A
+            out += words[i : len(words) - n + 1 + i]
+        out ^= out >> np.uint64(31)
+        out *= _B
+        out ^= out >> np.uint64(29)
+    return out
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -118,8 +154,8 @@ def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(words), np.zeros(buckets, np.uint32)
         for batch in batches:
-            for _, texts in in_parts(batch.column(0).to_pylist()):
-                np.add.at(counts, _bucket(np.concatenate([shingler(t) for t in texts]), buckets), np.uint32(1))
+            for _, texts in array_parts(batch.column(0)):
+                np.add.at(counts, _bucket(shingler.of_texts(texts)[0], buckets), np.uint32(1))
         if counts.any():
             cut = [zlib.compress(counts[i * wide : (i + 1) * wide].tobytes(), 1) for i in range(SLICES)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(cut, pa.binary())], names=["slice", "counts"])
@@ -140,6 +176,11 @@ def shingle_levels(docs: DataFrame, words: int = WORDS) -> np.ndarray:
     return np.maximum(levels, np.uint8(math.log2(max(1.0, shingles / buckets))))
 
 
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    begin = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *values]), pa.int64()))
+
+
 def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, levels: np.ndarray | None = None) -> DataFrame:
     """doc_id, n_shingles, digest (of the set; null if it is empty) and, with levels, prefix (the
     hashes one of which any linked set has in its own prefix, in the common order) and parity."""
@@ -151,18 +192,16 @@ def shingle_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, le
 
         shingler, levels = Shingler(words), held.value
         for batch in batches:
-            for start, texts in in_parts(batch.column(1).to_pylist()):
-                n, digests, prefixes, maps = [], [], [], []
-                for t in texts:
-                    h = shingler(t)
-                    n.append(len(h))
-                    digests.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                    if levels is not None:
-                        first = len(h) - (percent * len(h) + 99) // 100 + 1 if len(h) else 0
-                        prefixes.append(h[np.lexsort((h, levels[_bucket(h, len(levels))]))[:first]].view(np.int64))
-                        maps.append(_parity_map(h))
-                columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array(digests, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(x, pa.list_(pa.int64())) for x in (prefixes, maps)] if levels is not None else []), names=names)
+            for start, texts in array_parts(batch.column(1)):
+                hashes, begin = shingler.of_texts(texts)
+                n, each = np.diff(begin), [hashes[a:b] for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
+                columns = [batch.column(0).slice(start, len(texts)), pa.array(n, pa.int64()), pa.array([xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in each], pa.binary())]
+                if levels is not None:
+                    level, first = levels[_bucket(hashes, len(levels))], np.where(n, n - (percent * n + 99) // 100 + 1, 0)
+                    # Hashes are sorted, and stay so within a level.
+                    prefixes = [h[np.argsort(level[a : a + len(h)], kind="stable")[:k]].view(np.int64) for h, a, k in zip(each, begin.tolist(), first.tolist())]
+                    columns += [_lists(prefixes), _lists([_parity_map(h) for h in each])]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, n_shingles long, digest binary" + (", prefix array<long>, parity array<long>" if levels is not None else "")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, schema)
@@ -241,8 +280,9 @@ def _mixed(named: DataFrame, known: DataFrame) -> DataFrame:
     return of.join(most.where("of > 1").select("token", "most"), "token")
 
 
-def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = PERCENT, every: bool = False, long: int = LONG) -> DataFrame:
-    """a, b: links between classes that connect what all links between them would connect, or every link.
+def _linked(docs: DataFrame, sets: DataFrame, words: int, percent: int, every: bool = False, long: int = LONG) -> tuple[DataFrame, DataFrame]:
+    """Links between classes that connect what all links between them would connect: id, component of what the pivots link, and a, b, the links
+    behind them. With every: all links, in two tables (a, b).
 
     docs: doc_id and text, one row for each id that sets (doc_id, n_shingles, prefix, parity) names; sets has one row
     for each class. Lists of more than `long` rows are joined in parts, the pivot, or the rows that are still open, with each."""
@@ -272,9 +312,9 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
 
     # Further rounds for components: each list that is still mixed has a next pivot. A round compares each row of such lists once.
     used = listed.where("is_pivot").select("token", "id")
+    labels = None if every else components(found)
     for _ in range(0 if every else ROUNDS):
-        found = materialise(found.distinct(), "links")
-        mixed = _mixed(listed.where("rows > 2"), components(found))
+        mixed = _mixed(listed.where("rows > 2"), labels)
         weight = mixed.agg(F.coalesce(F.sum((F.col("component") != F.col("most")).cast("long") * F.col("rows")), F.lit(0)), F.count("*")).first()
         if weight[0] <= OPEN_SHARE * weight[1]:
             break
@@ -293,9 +333,9 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
             new_ids = materialise(new_ids, "ids")
             texts, ids = texts.union(materialise(_packed_texts(docs, new_ids), "texts")), ids.union(new_ids)
         more = materialise(_compared(again, texts, words).where(linked).select("a", "b"), "compared")
-        found = found.union(more)
         if more.isEmpty():
             break
+        labels = joined(labels, more)
 
     # Step 2: what is left open. A pair's first common shingle heads a list that step 1 used if one
     # of the two is its pivot; so pivots, and lists of two, have no more to give.
@@ -304,7 +344,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     if every:
         named = named.withColumn("component", F.col("id")).withColumn("most", F.lit(None).cast("long"))
     else:
-        named = _mixed(named, components(found))
+        named = _mixed(named, labels)
     named = materialise(named.join(distance, ["id", "pivot"], "left"), "open-lists", compression="zstd")
     of = named.withColumn("part", _part("id", long))
     # Where a set's shingle stands says how large a partner of this list may be: each side names its own block of sizes and those it reaches,
@@ -318,7 +358,7 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     open_ = left.join(right, ["token", "part", "k", "l"]).where((F.col("ac") != F.col("component")) & near & _may_link(F.col("an"), F.col("ap"), F.col("n"), F.col("place"), percent))
     second = open_.groupBy(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).agg(F.max(sure).alias("sure"))
     second = materialise(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    found = found.union(second.where("sure").select("a", "b"))
+    sure = second.where("sure").select("a", "b")
     second = second.where("not sure").join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").where(_may_be_near(F.col("x"), F.col("y"), F.col("n"), F.col("m"), percent))
     second = materialise(second.select("a", "b"), "pairs")
     more_ids = second.select(F.col("a").alias("id")).union(second.select("b")).distinct()
@@ -326,12 +366,12 @@ def links(docs: DataFrame, sets: DataFrame, words: int = WORDS, percent: int = P
     missing = more_ids.join(ids, "id", "left_anti")
     if not missing.isEmpty():
         texts = texts.union(materialise(_packed_texts(docs, missing), "texts"))
-    return found.union(_compared(second, texts, words).where(linked).select("a", "b"))
+    return found if every else labels, sure.union(_compared(second, texts, words).where(linked).select("a", "b"))
 
 
-def _classes(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id (the smallest), n_shingles, digest, prefix, parity: a row for each set that a row with an id has."""
-    of = shingle_sets(docs, words, percent, shingle_levels(docs, words)).where("digest is not null and doc_id is not null")
+def _classes(rows: DataFrame) -> DataFrame:
+    """doc_id (the smallest), n_shingles, digest, prefix, parity: a row for each set that one of rows (shingle_sets) with an id has."""
+    of = rows.where("digest is not null and doc_id is not null")
     return of.groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("doc_id"), F.any_value("prefix").alias("prefix"), F.any_value("parity").alias("parity"))
 
 
@@ -341,10 +381,11 @@ def all_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, long:
 
     A group of n similar sets has up to n squared links; similar_groups finds the groups without them."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = materialise(_classes(docs, words, percent), "classes")
-    found = links(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent, every=True, long=long)
-    rows = shingle_sets(docs, words, percent).where("doc_id is not null")
-    members = rows.join(classes.select("n_shingles", "digest", F.col("doc_id").alias("class_id")), ["n_shingles", "digest"]).select("class_id", "doc_id", "n_shingles")
+    rows = materialise(shingle_sets(docs, words, percent, shingle_levels(docs, words)), "sets")
+    classes = materialise(_classes(rows), "classes")
+    first, second = _linked(docs, classes.select("doc_id", "n_shingles", "prefix", "parity"), words, percent, every=True, long=long)
+    found = first.union(second)
+    members = rows.where("doc_id is not null").join(classes.select("n_shingles", "digest", F.col("doc_id").alias("class_id")), ["n_shingles", "digest"]).select("class_id", "doc_id", "n_shingles")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), members
 
 
@@ -356,8 +397,9 @@ def similar_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     doc_id takes the component of its set, null if no other row has it. Ids that stand for
     several texts link what those texts link. Very long texts are shingled whole. An empty table gives an empty result."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = components(links(docs, _classes(docs, words, percent).select("doc_id", "n_shingles", "prefix", "parity"), words, percent, long=long))
-    rows = materialise(shingle_sets(docs, words, percent), "sets")
+    rows = materialise(shingle_sets(docs, words, percent, shingle_levels(docs, words)), "sets")
+    labels, more = _linked(docs, _classes(rows).select("doc_id", "n_shingles", "prefix", "parity"), words, percent, long=long)
+    found = joined(labels, more)
     named = rows.where("digest is not null").groupBy("n_shingles", "digest").agg(F.min("doc_id").alias("id"))
     named = named.join(found, "id", "left").select("n_shingles", "digest", F.coalesce("component", "id").alias("component_id"))
     return rows.join(named, ["n_shingles", "digest"], "left").select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
