@@ -11,7 +11,9 @@ from tessera.operators.lineage import cut, growing
 
 def components(links: DataFrame) -> DataFrame:
     """id, component (its smallest id) of every id in links (a, b)."""
-    both = cut(links.select("a", "b").union(links.select("b", "a")).toDF("id", "other").where("id <> other").distinct())
+    # Both ways from one reading: what makes the links may be long.
+    ways = F.array(F.struct(F.col("a").alias("id"), F.col("b").alias("other")), F.struct(F.col("b").alias("id"), F.col("a").alias("other")))
+    both = cut(links.where("a <> b").select(F.explode(ways).alias("way")).select("way.id", "way.other").distinct())
     labels = cut(both.groupBy("id").agg(F.least("id", F.min("other")).alias("component")))
     while True:
         of = labels.select(F.col("id").alias("other"), F.col("component").alias("near"))

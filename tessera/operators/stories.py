@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.similarity import alike, folded
+from tessera.functions.similarity import alike, folded, possible
 from tessera.operators.components import components
 from tessera.operators.lineage import cut, growing
 
@@ -33,58 +33,29 @@ def distinguishing(norm: Column, companies: dict[str, str] | None = None) -> Col
     return F.array_sort(F.array_distinct(F.concat(words, named)))
 
 
-#: Letters of a gram.
-GRAM = 3
+#: Titles of a tile, in the mean.
+TILE = 512
 
 
-def _grams(norm: Column) -> Column:
-    """The grams of the words of a title, each with a blank on both sides, and which occurrence of its kind each is: however words are
-    arranged, these are in the title."""
-    words = F.filter(F.split(norm, " "), lambda w: w != "")
-    each = F.flatten(F.transform(words, lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(GRAM)))))
-    # Sorted once, in an array of one element; a gram's occurrences then stand side by side.
-    numbered = lambda of: F.transform(of, lambda g, i: F.concat(g, (i - F.array_position(of, g) + 1).cast("string")))
-    return F.get(F.transform(F.array(F.array_sort(each)), numbered), F.lit(0))
-
-
-def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS) -> DataFrame:
+def candidate_titles(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT, tile: int = TILE) -> DataFrame:
     """a, b: all pairs of titles (id, norm, blocks: the blocks of time that they are in) that may reach the similarity and have neighbouring
     blocks; none that reach it are left out.
 
-    - By letters: a similarity of r per cent leaves at most (100 - r) / 100 of all letters of both to be inserted or deleted. A deletion spoils at
-      most GRAM grams of a title and an insertion GRAM - 1, so that a pair has more grams in common than what that leaves; in one order
-      of all grams, rare ones first, their beginnings share one.
-    - By words: where the words in common make up r / (200 - r) of one title, those others are few letters, and one of its rarest words that
-      together have more letters is a word of the other. This is how a title that another one extends is found.
-    - Titles of single letters may have too few grams for either; they meet all titles of their blocks."""
-    near = growing(titles.select("id", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.array(b - 1, b, b + 1))))).alias("block")))
-    own = growing(titles.select("id", F.explode("blocks").alias("block")))
-    rest = (100 - similar) / 100
-    # |b| is at least (r / (200 - r)) |a|: the most that can be spoilt of a title's grams.
-    least = similar / (200 - similar)
-    spoilt = ((GRAM * (1 + rest) - (GRAM - 1) * (1 - rest)) - (GRAM * (1 - rest) - (GRAM - 1) * (1 + rest)) * least) / 2
-    sized = titles.select("id", F.length("norm").alias("size"), _grams(F.col("norm")).alias("grams"), F.array_distinct(F.filter(F.split("norm", " "), lambda w: w != "")).alias("words"))
-    sized = cut(sized.withColumn("first", F.floor(spoilt * F.col("size") + 1e-9).cast("int") + 1))
-
-    def ranked(column: str) -> DataFrame:
-        """id, the members of a column and how many titles have each."""
-        each = sized.select("id", F.explode(column).alias("key"))
-        return each.join(growing(each.groupBy("key").agg(F.count("*").alias("n"))), "key")
-
-    held = ranked("grams").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    begins = sized.join(growing(held), "id").select("id", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k")).select("id", F.concat(F.lit("g"), F.col("k.key")).alias("key"))
-    words = ranked("words").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
-    room = F.aggregate("words", F.lit(-1), lambda s, w: s + F.length(w) + 1) * (1 - least)
-    # The rarest words until they have more letters than may be missing.
-    few = F.aggregate("keys", F.struct(F.lit(0.0).cast("double").alias("used"), F.array().cast("array<string>").alias("kept")), lambda s, k: F.when(s["used"] > F.col("room"), s).otherwise(F.struct((s["used"] + F.length(k["key"]) + 1).alias("used"), F.concat(s["kept"], F.array(k["key"])).alias("kept"))), lambda s: s["kept"])
-    probes = sized.withColumn("room", room + 1e-9).join(growing(words), "id").select("id", F.explode(few).alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
-    every = sized.select("id", F.explode("words").alias("w")).select("id", F.concat(F.lit("w"), "w").alias("key"))
-    bare = sized.where(F.col("first") > F.size("grams")).select("id")
-
-    asks = begins.unionByName(probes).join(near, "id").unionByName(bare.join(near, "id").select("id", F.lit("*").alias("key"), "block"))
-    answers = begins.unionByName(every).join(own, "id").unionByName(own.select("id", F.lit("*").alias("key"), "block") if not bare.isEmpty() else own.where("false").select("id", F.lit("*").alias("key"), "block"))
-    met = asks.toDF("a", "key", "block").join(growing(answers.toDF("b", "key", "block")), ["key", "block"]).where("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    The titles of a block are dealt to tiles. Each tile meets those of its block and of the next one, each pair of tiles in a row of its own,
+    where products of matrices tell for all pairs of titles at once how much they have in common (possible_pairs)."""
+    placed = titles.select("id", "norm", F.explode(F.array_distinct("blocks")).alias("block"))
+    parts = cut(placed.groupBy("block").agg(F.ceil(F.count("*") / tile).alias("parts")))
+    dealt = placed.join(growing(parts), "block").withColumn("part", F.pmod(F.xxhash64("id"), "parts"))
+    tiles = cut(dealt.groupBy("block", "part").agg(F.collect_list(F.struct("id", "norm")).alias("titles")))
+    behind = parts.join(growing(parts.select((F.col("block") - 1).alias("block"), F.col("parts").alias("next"))), "block", "left")
+    of = lambda block, first, last: F.transform(F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<long>")), lambda p: F.struct(block.alias("block"), p.alias("part")))
+    reach = F.concat(of(F.col("block"), F.col("part"), F.col("parts") - 1), of(F.col("block") + 1, F.lit(0).cast("long"), F.coalesce("next", F.lit(0)) - 1))
+    asks = tiles.join(growing(behind), "block").select(F.col("titles").alias("x"), F.explode(reach).alias("to")).select("x", "to.block", "to.part")
+    met = asks.join(growing(tiles.withColumnRenamed("titles", "y")), ["block", "part"]).select("x", "y", possible(similar, short)(F.col("x.norm"), F.col("y.norm")).alias("found"))
+    size = F.size("y")
+    pairs = F.transform("found", lambda k: F.struct(F.get("x.id", (k / size).cast("int")).alias("a"), F.get("y.id", (k % size).cast("int")).alias("b")))
+    each = met.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where("a <> b")
+    return each.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOURS, short: int = SHORT) -> DataFrame:
@@ -104,7 +75,7 @@ def matching_pairs(titles: DataFrame, similar: float = SIMILAR, hours: int = HOU
     runs = cut(runs.select("id", "class", "seconds", "head"))
     same = runs.where("id <> head").select(F.least("id", "head").alias("a"), F.greatest("id", "head").alias("b"))
 
-    found = candidate_titles(kinds.select(F.col("class").alias("id"), "norm", "blocks"), similar, hours)
+    found = candidate_titles(kinds.select(F.col("class").alias("id"), "norm", "blocks"), similar, hours, short)
     of = lambda x: growing(kinds.select(F.col("class").alias(x), F.col("norm").alias(f"n{x}"), F.col("keys").alias(f"k{x}")))
     found = found.join(of("a"), "a").join(of("b"), "b")
     within = (F.size(F.array_except("ka", "kb")) == 0) | (F.size(F.array_except("kb", "ka")) == 0)

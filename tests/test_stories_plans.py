@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions.similarity import WIDTH, possible_pairs, set_ratio, sorted_ratio
 from tessera.operators import stories
 from tessera.operators.components import components
 
@@ -39,3 +40,57 @@ def test_a_title_that_comes_often_is_not_gone_through_for_each_that_is_like_it(s
         met |= {tuple(sorted((head[i], head[j]))) for c, i, t in rows if c == x for d, j, u in rows if d == y and abs(t - u) <= span}
     got = stories._runs_that_meet(spark.createDataFrame(pairs, "a string, b string"), spark.createDataFrame(runs, "class string, head long, begin double, end double"), span).collect()
     assert sorted(map(tuple, got)) == sorted(met) and len(got) > 10
+
+
+def _alike(a, b, similar):
+    return (set_ratio if min(len(a.split()), len(b.split())) >= stories.SHORT else sorted_ratio)(a, b) >= similar
+
+
+def _candidates(spark, titles, blocks, **how):
+    df = spark.createDataFrame([(i, t, [b]) for i, (t, b) in enumerate(zip(titles, blocks))], "id long, norm string, blocks array<long>")
+    return {(x.a, x.b) for x in stories.candidate_titles(df, **how).collect()}
+
+
+def _titles(r, n):
+    """Titles of one language: few syllables, so that any two share grams; every tenth is like the one before it."""
+    parts = ["th", "en", "er", "io", "an", "on", "es", "le", "ou", "ha"]
+    out = []
+    for i in range(n):
+        w = out[-1].split() if i % 10 == 9 else ["".join(r.choice(parts) for _ in range(r.randint(1, 4))) for _ in range(8)]
+        if i % 10 == 9:
+            w[r.randrange(8)] += r.choice("sz")
+        out.append(" ".join(w))
+    return out
+
+
+def test_few_titles_are_compared_that_are_not_alike(spark):
+    """Titles that share a gram, as all of a language do, are no candidates for that."""
+    titles = _titles(random.Random(4), 200)
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if _alike(titles[i], titles[j], 90)}
+    got = _candidates(spark, titles, [0] * 200)
+    assert len(want) >= 20 and want <= got and len(got) < 4 * len(want)
+
+
+def test_tiles_meet_those_of_their_block_and_the_next(spark):
+    r = random.Random(6)
+    titles, blocks = _titles(r, 150), [r.choice([-2, -1, 0, 1, 5]) for _ in range(150)]
+    want = {(i, j) for i in range(150) for j in range(i + 1, 150) if abs(blocks[i] - blocks[j]) <= 1 and _alike(titles[i], titles[j], 90)}
+    got = _candidates(spark, titles, blocks, tile=7)
+    assert want and want <= got and all(abs(blocks[a] - blocks[b]) <= 1 for a, b in got) and got == _candidates(spark, titles, blocks)
+
+
+def test_no_alike_titles_are_ruled_out():
+    """Bounds hold at any threshold, for short and empty titles, other letters, and where members share columns."""
+    r, found = random.Random(3), 0
+    for k in range(60):
+        words = ["".join(r.choice("abcdé") for _ in range(r.randint(1, r.choice([1, 3, 9])))) for _ in range(r.choice([6, 30]))]
+        titles = [" ".join(r.choice(words) for _ in range(r.randint(0, 9))) for _ in range(8)]
+        titles += [" ".join(r.sample(t.split(), len(t.split())) + r.choices(words, k=r.choice([0, 1, 5]))) for t in titles] + [t[1:].strip() for t in titles]
+        similar, short = r.choice([60.0, 90.0, 95.0, 100.0]), r.choice([0, 2, 6])
+        got = set(possible_pairs(titles, titles, similar, short, r.choice([8, 64, WIDTH])).tolist())
+        for i, a in enumerate(titles):
+            for j, b in enumerate(titles):
+                if (set_ratio if min(len(a.split()), len(b.split())) >= short else sorted_ratio)(a, b) >= similar:
+                    found += i != j
+                    assert i * len(titles) + j in got
+    assert found > 1000
