@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from tessera.functions.similarity import WIDTH, possible_pairs, set_ratio, sorted_ratio
+from tessera.operators import components as components_module
 from tessera.operators import stories
 from tessera.operators.components import components
 
@@ -24,6 +25,14 @@ def test_nothing_that_grows_is_broadcast(spark):
     assert {r.component for r in components(links).collect()} == {0}
 
 
+def test_components_plan_their_links_once(spark, monkeypatch):
+    """What makes the links may be long; the driver has it in one place of a plan, not one for each direction."""
+    plans, cut = [], components_module.cut
+    monkeypatch.setattr(components_module, "cut", lambda df: plans.append(plan(df)) or cut(df))
+    got = components(spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert plans[0].count("Range (") == 1 and {r.component for r in got.collect()} == {0}
+
+
 def test_a_title_that_comes_often_is_not_gone_through_for_each_that_is_like_it(spark):
     """The runs of paired classes that have rows within the span of each other, against all pairs of their rows; edges of the span included."""
     r, span = random.Random(11), 100
